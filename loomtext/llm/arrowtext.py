@@ -74,9 +74,21 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(U) * U(0x9FB21C651E98DF25))
 
 
+_SIGN = np.ones(256, bool)
+_SIGN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) of all rows, and each row's number of words."""
-    solid = ~_SPACE[data]
+    return _runs(data, offs, ~_SPACE[data])
+
+
+def tokens(data: np.ndarray, offs: np.ndarray, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``, of runs of ASCII letters, digits and bytes from 128 on; of their first ``prefix`` bytes if given."""
+    return _runs(data, offs, ~_SIGN[data], prefix)
+
+
+def _runs(data: np.ndarray, offs: np.ndarray, solid: np.ndarray, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     rows = offs[:-1][offs[:-1] < offs[1:]]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
@@ -86,6 +98,8 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last[ends] = solid[ends]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     counts = np.diff(np.searchsorted(s, offs))
+    if prefix:
+        e = np.minimum(e, s + prefix)
     out, i = np.empty(len(s), U), 0
     while i < len(s):  # words in pieces of CHUNK bytes, so that the tables of powers stay small
         j = max(i + 1, int(np.searchsorted(e, s[i] + CHUNK, side="right")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import bpe, jaccard_join, omh, packing, pii, token_counts
+from . import bpe, jaccard_join, omh, packing, pii, token_counts, toxicity
 
 #: A stand-in; a deployment passes a secret of its own.
 PII_KEY = "a key for tests"
@@ -40,6 +40,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "section", "sec_start", "sec_end", F.col("tokens").cast("long").alias("n_tokens"), "doc_tokens")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= toxicity.REJECT).alias("rejected"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.pack(docs, bpe.default_vocabulary(), with_ids=False)
