@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import bpe, jaccard_join, omh, packing, pii, token_counts, toxicity
+from . import bpe, jaccard_join, nn_descent, omh, packing, pii, token_counts, toxicity
 
 #: A stand-in; a deployment passes a secret of its own.
 PII_KEY = "a key for tests"
@@ -53,6 +53,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymize(docs, PII_KEY, found="found")
