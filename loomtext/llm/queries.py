@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import bpe, jaccard_join, nn_descent, omh, packing, pii, token_counts, toxicity
+from . import bpe, jaccard_join, nn_descent, omh, packing, pii, preference, token_counts, toxicity, warc
 
 #: A stand-in; a deployment passes a secret of its own.
 PII_KEY = "a key for tests"
@@ -47,6 +47,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= toxicity.REJECT).alias("rejected"))
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.counterfactual_pairs(preference.conversations(_table(spark, sf_dir, "conversations")))
+    out = preference.format_pairs(pairs, keep=("conv_id",))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(
+        "conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen", spans("chosen_spans").alias("chosen_loss"), "rejected", spans("rejected_spans").alias("rejected_loss")
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return out.select("page_id", "type", "record_id", "refers_to", "target_uri", "content_length", "block_digest", "source_payload_digest", "block")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.pack(docs, bpe.default_vocabulary(), with_ids=False)
