@@ -202,7 +202,7 @@ class State:
         if name == "split" and len(args) in (2, 3) and args[1][0] == "var":
             fixed = {"FS": self.fs, "OFS": self.ofs, "ORS": self.ors, "SUBSEP": self.subsep}
             sep = self.fs if len(args) == 2 else args[2][1] if args[2][0] == "str" else fixed.get(args[2][1]) if args[2][0] == "var" else None
-            if sep is None or self.under() is not None:
+            if sep is None or self.guard is not None:
                 raise NotExact("separator known at run time only")
             self.arrays[args[1][1]] = split_record(self.expr(args[0]).text, sep)
             return num(F.size(self.arrays[args[1][1]]).cast("double"))
@@ -250,7 +250,7 @@ class State:
         return new if before else num(old.number)
 
     def _store(self, target: tuple, value: Val) -> Val:
-        when = self.under()
+        when = self.guard  # what a record does after ``next`` is never seen
         if target[0] == "var":
             name = target[1]
             if name in ("FS", "OFS", "ORS", "SUBSEP", "NR"):
@@ -481,9 +481,13 @@ class RecordProgram:
                 t = t if want else ~t
                 cond = t if cond is None else cond & t
             v = state.expr(g.value)
-            col = {"sum": v.number, "const": v.col, "min": v.number, "max": v.number}[g.how]
+            if g.how in ("min", "max"):  # by number, shown as it stood; texts have no order that aggregation could keep
+                sure = F.when(v.wholly, v.number).otherwise(F.raise_error(F.lit("awk: the least or greatest of values that aren't all numbers depends on their order")).cast("double"))
+                pair = F.struct(sure, v.text.alias("text"))
+                return (F.min if g.how == "min" else F.max)(pair if cond is None else F.when(cond, pair))["text"]
+            col = v.number if g.how == "sum" else v.col
             col = col if cond is None else F.when(cond, col)
-            return {"sum": F.sum, "const": F.max, "min": F.min, "max": F.max}[g.how](col)
+            return (F.sum if g.how == "sum" else F.max)(col)
 
         scalars: dict[str, list[Gather]] = {}
         arrays: dict[str, list[Gather]] = {}
@@ -498,8 +502,7 @@ class RecordProgram:
             for c in cols[1:]:
                 total = F.coalesce(total, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))
             aggs.append(total.alias(f"s_{name}"))
-            kind = gs[0].how != "const" or gs[0].value[0] == "num"
-            given[name] = Val(F.col(f"s_{name}"), kind)
+            given[name] = _gathered(f"s_{name}", gs[0])
         keyed: dict[str, tuple[str, Val]] = {}
         groups: dict[str, tuple[Column, list[Column]]] = {}
         for name, gs in arrays.items():
@@ -513,7 +516,7 @@ class RecordProgram:
                 total = F.coalesce(total, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))
             total = F.when(F.coalesce(*cols).isNotNull(), total)
             groups.setdefault(key, (made, []))[1].append(total.alias(f"a_{name}"))
-            keyed[name] = (key, Val(F.col(f"a_{name}"), gs[0].how != "const" or gs[0].value[0] == "num"))
+            keyed[name] = (key, _gathered(f"a_{name}", gs[0]))
         one = None if src is None else src.agg(*aggs)
         tables = {} if src is None else {k: src.groupBy(made.alias("__key")).agg(*cols) for k, (made, cols) in groups.items()}
         parts, number = [], 0
@@ -600,6 +603,12 @@ class RecordProgram:
         return rows.mapInArrow(run, "part int, text string")
 
 
+def _gathered(column: str, g: Gather) -> Val:
+    if g.how == "sum" or (g.how == "const" and g.value[0] == "num"):
+        return num(F.col(column))
+    return string(F.coalesce(F.col(column), F.lit("")))
+
+
 def _flat(statements: list) -> list:
     out = []
     for s in statements:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,12 @@ def read_binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     listed = [paths] if isinstance(paths, str) else list(paths)
     out = None
     for i, p in enumerate(listed):
-        one = spark.read.format("binaryFile").load(p).select(F.xxhash64("path").alias("doc_id"), F.lit(i).cast("long").alias("doc_ord"), "path", "content")
+        files = spark.read.format("binaryFile").load(p)
+        full = files.select("path", "content")
+        # The file source leaves out empty files; they are documents too.
+        names = spark.createDataFrame([(unquote(f.replace("file:///", "file:/")),) for f in files.inputFiles()], "path string")
+        empty = names.join(full.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
+        one = full.unionByName(empty).select(F.xxhash64("path").alias("doc_id"), F.lit(i).cast("long").alias("doc_ord"), "path", "content")
         out = one if out is None else out.unionByName(one)
     return out
 
