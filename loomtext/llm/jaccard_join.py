@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import U, mix, shingles, slices, utf8
+from .arrowtext import CHUNK, U, mix, shingles, slices, utf8
 from .graph import components
 from .store import Store
 
-SEEDS, SMALL, TILE, TASK = 6, 48, 256, 1 << 20
+SEEDS, SMALL, TILE, TASK = 6, 48, 256, 1 << 19
 BUCKETS = 64
 
 
@@ -118,9 +118,9 @@ def slice_marks(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
 
 
 def _sets(batch: pa.RecordBatch, col: int, k: int):
-    """(row range, sets) of a batch, a few MB of text at a time."""
+    """(row range, sets) of a batch, some text at a time."""
     data, offs = utf8(batch.column(col))
-    for a, b in slices(offs, 2 << 20):
+    for a, b in slices(offs, 2 * CHUNK):
         yield a, b, shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k)
 
 
@@ -170,7 +170,7 @@ def _regions(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
                 if len(who):
                     held.append((h1[who], mark))
                     size += len(who)
-                if size > TASK:
+                if size > TASK // 2:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -225,7 +225,7 @@ def _regions(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
                     p, old_mark, old_pivot, old_told = now, old_mark[:0], old_pivot[:0], old_told[:0]
                 held.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
                 size += len(held[-1][0]) >> 2
-                if size > 4 * TASK:
+                if size > 2 * TASK:
                     yield flush()
                     held, size = [], 0
         if held:
