@@ -15,6 +15,8 @@ part them. Documents are therefore first dealt to regions they can share with a
 * Members of different components remain. Pairs whose distances to the pivot differ by more than the radius are outside
   each other's window; pairs whose counts of shingles in 64 buckets differ in sum by more than H cannot link. The others
   are compared exactly: in small regions pair by pair, in large ones tile by tile, so that a task holds two tiles.
+* Regions of more than ``LIMIT`` members are dealt again, by other hashes, into regions within them, and so on: a linked
+  pair meets again on every level, while documents that only share the slice part.
 
 Shingles and sets are held as 64-bit fingerprints; sets are told apart by 128 bits.
 
@@ -37,7 +39,11 @@ from .arrowtext import CHUNK, U, mix, shingles, slices, utf8
 from .graph import components
 from .store import Store
 
-SEEDS, SMALL, TILE, TASK = 6, 48, 256, 1 << 19
+SEEDS, SMALL, TILE, LIMIT, TASK = 6, 48, 1024, 16384, 1 << 19
+#: Rounds of dealing large regions again; what is still large then is compared tile by tile as well.
+LEVELS = 3
+#: Shingles of a tile, about; a tile of long documents has fewer members.
+TILE_SHINGLES = 1 << 19
 BUCKETS = 64
 
 
@@ -72,7 +78,7 @@ def set_marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return n, _i64(mix(h[0], 33)), _i64(mix(h[1] + n.astype(U), 34))
 
 
-def slice_marks(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def slice_marks(sets: list[np.ndarray], percent: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(index of the set, mark) for every slice of every set, in all the classes and seeds it takes part in."""
     n = np.array([len(s) for s in sets], np.int64)
     if not len(n) or not n.max():
@@ -93,9 +99,9 @@ def slice_marks(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
             flat = np.concatenate([sets[i] for i in who])
             sizes = n[who]
             base = np.concatenate(([0], np.cumsum(m)))
-            a = mix(flat, 40 + seed)
+            a = mix(flat, 40 + seed + 100 * level)
             key = (((a >> U(32)) * np.repeat(m, sizes).astype(U)) >> U(32)).astype(np.int64) + np.repeat(base[:-1], sizes)
-            b = mix(flat, 60 + seed)
+            b = mix(flat, 60 + seed + 100 * level)
             total = int(base[-1])
             count = np.bincount(key, minlength=total)
             lo = np.bincount(key, weights=(b & U(0xFFFFFFFF)).astype(np.float64), minlength=total)
@@ -302,24 +308,50 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, same long, total long").withColumn("linked", F.expr(f"100 * same >= {percent} * total"))
 
 
+def _dealt_again(members: DataFrame, sets: DataFrame, percent: int, level: int) -> DataFrame:
+    """Members (region, rep, label) of large regions, in regions within their regions."""
+    rows = members.join(sets.select("rep", "shingles"), "rep").select("region", "rep", "label", "shingles")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, rep, label = (batch.column(i).to_numpy() for i in range(3))
+            who, mark = slice_marks([np.frombuffer(x, U) for x in batch.column(3).to_pylist()], percent, level)
+            inner = _i64(mix(region[who].view(U) * U(0x9FB21C651E98DF25) + mark, 95))
+            yield pa.RecordBatch.from_arrays([pa.array(inner), pa.array(rep[who]), pa.array(label[who])], names=["region", "rep", "label"])
+
+    return rows.mapInArrow(run, "region long, rep long, label long")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the regions that still hold different components, with their region's number and shingles."""
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingled"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return members.drop("n").join(size.where("size > 1 and lo < hi").select("region", "size", "shingled"), "region")
+
+
 def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between different components in regions of many members: every pair of tiles meets in one task."""
-    tiles = members.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tiles = members.withColumn("tiles", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingled") / TILE_SHINGLES)).cast("int"))
+    tiles = tiles.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     rows = tiles.select("region", "rep", "label", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
     rows = rows.select("region", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "label", "t")
-    rows = rows.join(sets.select("rep", "n", "shingles"), "rep").select("region", "i", "j", "t", "rep", "label", "shingles")
+    rows = rows.join(sets.select("rep", "shingles"), "rep").select("region", "i", "j", "t", "rep", "label", "shingles")
 
     def meet(table: pa.Table) -> pa.Table:
         t, rep, label = (table.column(c).to_numpy() for c in ("t", "rep", "label"))
         own = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
         n = np.array([len(s) for s in own])
-        flat, at = np.unique(np.concatenate(own), return_inverse=True)
-        rows_of = np.repeat(np.arange(len(own)), n)
-        same = np.zeros((len(own), len(own)))
-        for lo in range(0, len(flat), 16384):  # a dense block of shingles at a time
-            hit = (at >= lo) & (at < lo + 16384)
-            x = np.zeros((len(own), min(16384, len(flat) - lo)), np.float32)
-            x[rows_of[hit], at[hit] - lo] = 1
+        _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = often > 1  # only these can be in two sets
+        place = np.cumsum(shared) - 1
+        rows_of = np.repeat(np.arange(len(own)), n)[shared[at]]
+        cols_of = place[at[shared[at]]]
+        same, block = np.zeros((len(own), len(own)), np.float32), 4096
+        for lo in range(0, int(shared.sum()), block):  # a dense block of shingles at a time
+            hit = (cols_of >= lo) & (cols_of < lo + block)
+            x = np.zeros((len(own), block), np.float32)
+            x[rows_of[hit], cols_of[hit] - lo] = 1
             same += x @ x.T
         linked = 100 * same >= percent * (n[:, None] + n[None, :] - same)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -361,10 +393,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     found = store.cut(components(links, store), "balls")
 
     # What is left: members of different components in regions of three or more.
-    members = regions.join(names.select("rep", F.col("h1").alias("node")), "node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("region", "rep", F.coalesce("component", "rep").alias("label"))
-    open_ = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 2 and lo < hi").select("region", "size")
-    left = store.cut(members.join(open_, "region").distinct(), "left")
+    members = regions.join(light.select("rep", "n", F.col("h1").alias("node")), "node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    members = members.select("region", "rep", "n", F.coalesce("component", "rep").alias("label")).distinct()
+    left = store.cut(_open(members).where("size > 2"), "left")
+    level = 0
+    while level < LEVELS and (large := left.where(f"size > {LIMIT}")).limit(1).count():
+        level += 1
+        again = _dealt_again(large, sets, percent, level).distinct().join(light.select("rep", "n"), "rep").select("region", "rep", "n", "label")
+        left = store.cut(left.where(f"size <= {LIMIT}").unionByName(_open(again)), "left")
     few = left.where(f"size <= {SMALL}")
     other = few.select("region", F.col("rep").alias("b"), F.col("label").alias("lb"))
     more = few.select("region", F.col("rep").alias("a"), F.col("label").alias("la")).join(other, "region").where("a < b and la <> lb").select("a", "b").distinct()
