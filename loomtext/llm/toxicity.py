@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 A text's features are its distinct words (A-Z lower-cased, cut at everything that is neither ASCII letter or digit nor
-a byte from 128 on) and the words' first 4 and 5 bytes, hashed to ``2**BITS`` places. All thresholds share one weight vector: P(grade <= j) =
+a byte from 128 on) and the words' first 4 and 5 bytes, hashed to ``2**BITS`` places. Those whose frequency
+differs between toxic and clean documents (chi-squared of ``CHI`` or more) get weights. All thresholds share one weight vector: P(grade <= j) =
 sigmoid(theta_j - w.x) with theta_0 < theta_1 < ...; the expected severity is the sum over j of P(grade > j).
 
 Grades come from the labels: from their column ``grade`` if they have one. Otherwise a clean document has grade 0, and
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .arrowtext import U, slices, tokens, utf8
 
-BITS, SAMPLE, MIN_DF, RIDGE, ODDS = 22, 8192, 3, 0.02, 20
+BITS, SAMPLE, MIN_DF, RIDGE, ODDS, CHI = 22, 8192, 3, 0.05, 20, 8.0
 PREFIXES = (4, 5)
 #: P(grade > 0) from which a document is rejected.
 REJECT = 0.5
@@ -69,7 +70,7 @@ def _loss(par: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, each
     return float(-(np.log(p) * each).sum() + 0.5 * ridge * w @ w), np.concatenate((grad_w, grad_raw))
 
 
-def _minimise(f, x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
+def _minimise(f, x: np.ndarray, rounds: int = 150, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS with backtracking."""
     fx, g = f(x)
     steps: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -99,24 +100,39 @@ def _minimise(f, x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray
     return x
 
 
+def _flat(docs: list[np.ndarray], min_df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column) of the features in ``min_df`` documents or more, and the features' names."""
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    names, col, df = np.unique(np.concatenate([np.zeros(0, np.int32), *docs]), return_inverse=True, return_counts=True)
+    keep = df >= min_df
+    place = (np.cumsum(keep) - 1).astype(np.int32)
+    used = keep[col]
+    return row[used], place[col[used]], names[keep].astype(np.int64)
+
+
+def _telling(row: np.ndarray, col: np.ndarray, names: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Only the features whose frequency differs between toxic and clean documents, by a chi-squared test."""
+    n, t = len(toxic), int(toxic.sum())
+    df = np.bincount(col, minlength=len(names)).astype(float)
+    hit = np.bincount(col, toxic[row], minlength=len(names))
+    want = df * t / n
+    chi = (hit - want) ** 2 * (1 / want + 1 / np.maximum(df - want, 1e-9)) * n / np.maximum(n - df, 1)
+    keep = chi >= CHI
+    place, used = np.cumsum(keep) - 1, keep[col]
+    return row[used].astype(np.int64), place[col[used]], names[keep]
+
+
 def fit(docs: list[np.ndarray], grades: np.ndarray, min_df: int = MIN_DF, ridge: float = RIDGE) -> Model:
     """Fit on feature lists and grades 0, 1, ...; the classes toxic and clean get equal weight in sum."""
-    dim, levels = 1 << BITS, int(grades.max(initial=0))
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    col = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-    toxic = grades > 0
+    levels, toxic = int(grades.max(initial=0)), grades > 0
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(dim), np.full(1, 50.0))
-    used = np.bincount(col, minlength=dim) >= min_df
-    names = np.flatnonzero(used)
-    place = np.zeros(dim, np.int64)
-    place[names] = np.arange(len(names))
-    keep = used[col]
-    row, col = row[keep], place[col[keep]]
+        return Model(np.zeros(1 << BITS), np.full(1, 50.0))
+    row, col, names = _flat(docs, min_df)
+    row, col, names = _telling(row, col, names, toxic)
     each = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
     start = np.concatenate((np.zeros(len(names)), [0.5], np.zeros(levels - 1)))
     par = _minimise(lambda x: _loss(x, row, col, grades, each, len(names), levels, ridge), start)
-    weights = np.zeros(dim)
+    weights = np.zeros(1 << BITS)
     weights[names] = par[: len(names)]
     raw = par[len(names) :]
     return Model(weights, raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:])))))
@@ -124,30 +140,31 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, min_df: int = MIN_DF, ridge:
 
 def severity_grades(docs: list[np.ndarray], toxic: np.ndarray, min_df: int = MIN_DF) -> np.ndarray:
     """Grades 0 to 3 from labels 0 and 1, by thirds of evidence."""
-    dim, n = 1 << BITS, max(int(toxic.sum()), 1)
-    df = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(d for d, t in zip(docs, toxic, strict=True) if t == k)]), minlength=dim) for k in (0, 1)]
-    odds = (df[1] + 0.5) / n / ((df[0] + 0.5) / max(len(docs) - n, 1))
-    mark = (odds >= ODDS) & (df[1] >= min_df)
-    hits = np.array([mark[d].sum() for d in docs])
     if not toxic.any():
         return toxic
+    row, col, names = _flat(docs, min_df)
+    bad = toxic[row] > 0
+    among = [np.bincount(col[bad == k], minlength=len(names)) for k in (False, True)]
+    odds = (among[1] + 0.5) / toxic.sum() / ((among[0] + 0.5) / max(int((toxic == 0).sum()), 1))
+    mark = (odds >= ODDS) & (among[1] >= min_df)
+    hits = np.bincount(row, mark[col], minlength=len(docs))
     low, high = np.quantile(hits[toxic > 0], [1 / 3, 2 / 3])
     grades = np.where(toxic > 0, 1 + (hits > low) + (hits > high), 0)
     return np.searchsorted(np.unique(np.append(grades, 0)), grades)  # without gaps
 
 
 def _feature_lists(df: DataFrame) -> DataFrame:
-    """``grade, features`` of the rows (text, grade)."""
+    """``grade, features`` of the rows (text, grade); features as packed 32-bit numbers."""
 
     def run(batches):
         for batch in batches:
             data, offs = utf8(batch.column(0))
             for a, b in slices(offs):
                 row, col = features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                cuts = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(cuts), pa.array(col.astype(np.int32)))], names=["grade", "features"])
+                packed = [x.astype(np.int32).tobytes() for x in np.split(col, np.searchsorted(row, np.arange(1, b - a)))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(packed, pa.binary())], names=["grade", "features"])
 
-    return df.mapInArrow(run, "grade int, features array<int>")
+    return df.mapInArrow(run, "grade int, features binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
@@ -158,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "grade").limit(sample)
     rows = docs.select(docs[key].alias("__key"), docs[text].alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select(F.col("__text").cast("string").alias("text"), "grade")
     got = _feature_lists(rows).collect()
-    lists = [np.array(r.features, np.int64) for r in got]
+    lists = [np.frombuffer(r.features, np.int32) for r in got]
     grades = np.array([r.grade for r in got], np.int64)
     if not graded:
         grades = severity_grades(lists, (grades > 0).astype(np.int64))
