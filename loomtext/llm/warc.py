@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:loomtext:warc")
 DATE = "2024-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|html|body)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
