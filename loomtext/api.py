@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import ship
-from .lang.program import Node, edits_text, parse
+from .lang.program import Awk, Node, Simple, edits_text, parse, walk
 from .operators.edit import NotExact
 from .plans import lower
 from .plans.local import run_document, stitch
@@ -23,6 +23,7 @@ SCHEMAS = {
     "views": [T.StructField("seq", T.LongType()), *_SPAN, T.StructField("value", T.StringType())],
     "edits": [T.StructField("seq", T.LongType()), *_SPAN, T.StructField("replacement", T.StringType())],
     "documents": [T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())],
+    "rendered": [T.StructField("text", T.StringType())],
 }
 
 
@@ -30,8 +31,8 @@ def _text(value) -> str:
     return value.decode("utf-8", "surrogateescape") if isinstance(value, bytes) else value or ""
 
 
-def _rows(nodes: tuple[Node, ...], doc: str, what: str) -> list[tuple]:
-    run, left = run_document(nodes, doc)
+def _rows(nodes: tuple[Node, ...], doc: str, what: str, machines: dict | None = None) -> list[tuple]:
+    run, left = run_document(nodes, doc, machines)
     if what == "outputs":
         return list(enumerate(run.printed))
     if what == "views":
@@ -39,6 +40,8 @@ def _rows(nodes: tuple[Node, ...], doc: str, what: str) -> list[tuple]:
     if what == "edits":
         return [(i, run.byte(a), run.byte(b), new) for i, (a, b, new) in enumerate(run.edits)]
     new = stitch(doc, run.edits)
+    if what == "rendered":
+        return [("".join(run.printed) + (new if edits_text(nodes) else ""),)]
     return [(new, new != doc)]
 
 
@@ -56,9 +59,10 @@ class Result:
     key: str
     text: str
     tier: str = "auto"
+    order: tuple[str, ...] = ()
 
-    def _lowered(self, build, what: str):
-        if self.tier == "local" or dict(self.docs.dtypes)[self.text] != "string":
+    def _lowered(self, build):
+        if self.tier == "local" or self.order or dict(self.docs.dtypes)[self.text] != "string":
             return None
         try:
             return build(self.nodes, F.coalesce(F.col(self.text), F.lit("")))
@@ -68,7 +72,10 @@ class Result:
             return None
 
     def _local(self, what: str) -> DataFrame:
-        df = self.docs.select(F.col(self.key), F.col(self.text))
+        df = self.docs.select(F.col(self.key), F.col(self.text), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(self.order)])
+        carry = bool(self.order)
+        if carry:  # documents one after the other, by request
+            df = df.repartition(1).sortWithinPartitions(*[f"__o{i}" for i in range(len(self.order))])
         ship(df.sparkSession)
         schema = T.StructType([df.schema[self.key], *SCHEMAS[what]])
         nodes = self.nodes
@@ -76,11 +83,11 @@ class Result:
         def run(batches):
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            kind = to_arrow_schema(schema)
+            kind, machines = to_arrow_schema(schema), {}
             for b in batches:
                 keys, rows = [], []
                 for key, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    made = _rows(nodes, _text(doc), what)
+                    made = _rows(nodes, _text(doc), what, machines if carry else None)
                     keys += [key] * len(made)
                     rows += made
                     if len(rows) > 50_000:
@@ -93,7 +100,7 @@ class Result:
     @cached_property
     def outputs(self) -> DataFrame:
         """``key, seq, text``: what the program prints, a row per record in order."""
-        made = self._lowered(lower.prints, "outputs")
+        made = self._lowered(lower.prints)
         if made is None:
             return self._local("outputs")
         docs = self.docs
@@ -104,7 +111,7 @@ class Result:
     @cached_property
     def values(self) -> DataFrame:
         """``key, seq, value``: the views that come out, without their places."""
-        made = self._lowered(lower.views, "views")
+        made = self._lowered(lower.views)
         if made is None:
             return self._local("views").drop("start", "end")
         docs = self.docs
@@ -127,13 +134,26 @@ class Result:
         """``key, text, changed``: every document as the program leaves it."""
         if not edits_text(self.nodes):
             return self.docs.select(self.key, F.col(self.text).alias("text"), F.lit(False).alias("changed"))
-        made = self._lowered(lower.rewritten, "documents")
+        made = self._lowered(lower.rewritten)
         if made is None:
             return self._local("documents")
         out = self.docs.select(self.key, F.col(self.text).alias("__old"), made.alias("text"))
         return out.select(self.key, "text", (F.col("text") != F.coalesce(F.col("__old"), F.lit(""))).alias("changed"))
 
 
+    @cached_property
+    def rendered(self) -> DataFrame:
+        """``key, text``: all that is printed for a document, then the document itself if the program edits."""
+        edited = edits_text(self.nodes)
+        printing = any(isinstance(n, Awk) or (isinstance(n, Simple) and n.kind in "p=") for n in walk(self.nodes))
+        if edited and not printing:
+            return self.documents.select(self.key, "text")
+        made = None if edited or not printing else self._lowered(lower.prints)
+        if made is None:
+            return self._local("rendered")
+        return self.docs.select(F.col(self.key), F.array_join(made, "").alias("text"))
+
+
 def _frame(keys: list, rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * (len(kind) - 1)
     arrays = [pa.array(keys, kind[0].type)]
@@ -147,9 +167,13 @@ class Program:
     source: str
     nodes: tuple[Node, ...]
 
-    def run(self, docs: DataFrame, key: str = "doc_id", text: str = "text", tier: str = "auto") -> Result:
-        """Run over a corpus; ``tier`` is ``auto``, ``expressions`` (or fail) or ``local``."""
-        return Result(self.nodes, docs, key, text, tier)
+    def run(self, docs: DataFrame, key: str = "doc_id", text: str = "text", tier: str = "auto", carry: tuple[str, ...] = ()) -> Result:
+        """Run over a corpus; ``tier`` is ``auto``, ``expressions`` (or fail) or ``local``.
+
+        Record programs start anew for each document. ``carry`` names columns that order the documents and lets variables,
+        arrays and NR live on from one to the next, which takes a single task.
+        """
+        return Result(self.nodes, docs, key, text, tier, tuple(carry))
 
 
 def compile(source: str) -> Program:  # noqa: A001

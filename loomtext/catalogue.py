@@ -139,6 +139,14 @@ _add(
     SQL["view_spans"].replace("'the' as value", "'THE' as replacement"),
 )
 
+_program(
+    "rendered",
+    r"x/.*\n?/ /the/ { p s/the/X/ }",
+    "rendered",
+    _DOCS.format(f"array_to_string(list_transform(list_filter({LINES}, lambda x: contains(x, 'the')), lambda x: {_ended('x')}), '') || " + _line_edit("regexp_replace(x, 'the', 'X')")),
+)
+_program("rendered_lines", "/ing/", "rendered", _DOCS.format(f"array_to_string(list_transform(list_filter({LINES}, lambda x: contains(x, 'ing')), lambda x: {_ended('x')}), '')"))
+
 # Records
 
 _LINEITEM = "concat_ws(' ', l_orderkey, l_partkey, cast(l_quantity as int), l_returnflag, l_linestatus, l_linenumber)"
@@ -177,6 +185,11 @@ _records("awk_next", '{ if ($3 == "F") next; print $1 }', "orders", f"o_orderkey
 _records("awk_multi_index", "{ c[$4, $5]++ } END { for (k in c) { split(k, p, SUBSEP); print p[1], p[2], c[k] } }", "lineitem", f"l_returnflag || ' ' || l_linestatus || ' ' || count(*) || {NL} as text from lineitem group by l_returnflag, l_linestatus")
 _records("awk_logic", '{ if ($3 >= 10 && !($4 == "R") || $1 < 50) print $1 }', "lineitem", f"l_orderkey || {NL} as text from lineitem where (l_quantity >= 10 and l_returnflag <> 'R') or l_orderkey < 50")
 _records("awk_running", "{ s += $4; print $1, s }", "orders", f"o_orderkey || ' ' || cast(sum(round(o_totalprice)) over (order by o_orderkey) as bigint) || {NL} as text from orders", ["o_orderkey"])
+_add(
+    "awk_carried",
+    lambda spark, d: compile(r"x/.*\n?/ @{ n += NF END { print NR, n } }").run(_table(spark, d, "documents").select("doc_id", "text"), carry=("doc_id",)).rendered,
+    f"""select doc_id, sum(len({LINES})) over (order by doc_id) || ' ' || sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) over (order by doc_id) || {NL} as text from documents""",
+)
 _program(
     "awk_documents",
     r"x/.*\n?/ @{ n += NF END { print NR, n } }",

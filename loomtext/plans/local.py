@@ -237,7 +237,7 @@ def stitch(doc: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join([*out, doc[at:]])
 
 
-def run_document(nodes: tuple[Node, ...], doc: str) -> tuple[Run, list[View]]:
-    """All that a program does to one document."""
-    run = Run(doc)
+def run_document(nodes: tuple[Node, ...], doc: str, machines: dict[int, Machine] | None = None) -> tuple[Run, list[View]]:
+    """All that a program does to one document; ``machines`` carries interpreters over from earlier ones."""
+    run = Run(doc, machines={} if machines is None else machines)
     return run, list(execute(nodes, iter([View(doc, 0)]), run))

@@ -72,3 +72,12 @@ def test_empty_table(spark):
     for program in ("/a/", "x/a/ =", "s/a/b/g", "s/a/b/ s/b/c/"):
         run = compile(program).run(none)
         assert run.outputs.count() == run.documents.count() == run.edits.count() == run.views.count() == 0
+
+
+def test_rendered_and_carried(spark):
+    df = spark.createDataFrame([(1, "b\na\n", 2), (2, "a", 1)], "doc_id long, text string, at int")
+    show = lambda r: {x.doc_id: x.text for x in r.rendered.collect()}
+    assert show(compile(r"x/.*\n?/ p s/a/c/").run(df)) == {1: "b\na\nb\nc\n", 2: "a\nc"}
+    assert show(compile("/a/").run(df)) == {1: "a\n", 2: "a\n"} and show(compile("s/a/c/").run(df)) == {1: "b\nc\n", 2: "c"}
+    count = compile(r"x/.*\n?/ @{ END { print NR } }")
+    assert show(count.run(df)) == {1: "2\n", 2: "1\n"} and show(count.run(df, carry=("at",))) == {1: "3\n", 2: "1\n"}
