@@ -24,7 +24,7 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,7 @@ def _codes(nodes: DataFrame, table: int) -> DataFrame:
 def _start(nodes: DataFrame, table: int, parts: int) -> DataFrame:
     """Candidate entries from windows over vectors in the order of their codes."""
     rows = _codes(nodes.select("node", "label", "dim", "vector"), table)
+    # Cut evenly by range, whatever the labels' sizes.
     rows = rows.repartitionByRange(parts, "label", "dim", "code", "node").sortWithinPartitions("label", "dim", "code", "node")
 
     def best(ids, x):
@@ -109,16 +110,12 @@ def _start(nodes: DataFrame, table: int, parts: int) -> DataFrame:
 
 def _top(entries: DataFrame) -> DataFrame:
     """The ``K`` best entries of each node."""
-    from pyspark.sql import Window
-
     ranked = entries.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")))
     return ranked.where(f"r <= {K}").select("u", "v", "sim")
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, threshold: float, parts: int) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """Candidates from neighbours of neighbours, as (u, v, sim) that would enter u's list."""
-    from pyspark.sql import Window
-
     back = lists.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.col("sim").desc(), "u"))).where(f"r <= {K}")
     meet = lists.select(F.col("u").alias("g"), F.col("v").alias("m")).union(back.select(F.col("v").alias("g"), F.col("u").alias("m"))).distinct()
     worst = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("m"), F.when(F.col("c") == K, F.col("worst")).otherwise(-2.0).alias("worst"))
@@ -126,7 +123,7 @@ def _descend(lists: DataFrame, nodes: DataFrame, threshold: float, parts: int) -
     rows = rows.select("g", "m", "dim", "worst", "vector").repartition(parts, "g").sortWithinPartitions("g", "m")
 
     def run(batches):
-        held, last = None, None
+        held = None
 
         def work(table, final):
             g = table.column(0).to_numpy()
@@ -158,8 +155,7 @@ def _descend(lists: DataFrame, nodes: DataFrame, threshold: float, parts: int) -
                 out, held = work(held, False)
                 yield out
         if held is not None and held.num_rows:
-            last, _ = work(held, True)
-            yield last
+            yield work(held, True)[0]
 
     return rows.mapInArrow(run, _LIST)
 
@@ -225,17 +221,15 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = store.cut(classes.select("node", "label", F.size("vector").alias("dim"), "vector", "copies"), "nodes")
     n = nodes.count()
-    # Each table's rows are cut evenly by range, whatever the labels' sizes.
-    lists = None
-    table = 0
-    for attempt in range(EXTRA):
+    lists, table = None, 0
+    for _ in range(EXTRA):
         for _ in range(TABLES):
             new = _start(nodes, table, parts)
             lists = new if lists is None else lists.union(new)
             table += 1
         lists = store.cut(_top(lists), "lists")
         for _ in range(ROUNDS):
-            before, lists = lists, store.cut(_top(lists.union(_descend(lists, nodes, threshold, parts))), "lists")
+            before, lists = lists, store.cut(_top(lists.union(_descend(lists, nodes, parts))), "lists")
             changed = lists.join(before, ["u", "v"], "left_anti").count()
             store.drop(before)
             if changed <= SETTLED * K * n:
