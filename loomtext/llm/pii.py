@@ -10,7 +10,8 @@ is again valid (Luhn digits, calendar dates, octets, area codes). No table of va
 | card | 13 to 19 digits, Luhn | all digits but the first; the check digit is made anew |
 | phone | North American plan: area and exchange from 200 on | area, exchange and line |
 | ssn | area 001-899 but 666, group and serial not zero | area, group and serial |
-| date | a day of the calendar from 1800 to 2199, Y-M-D or with / or . | the day, within these 400 years |
+| date | a day of the calendar from 1800 to 2199: Y-M-D, D-M-Y or M-D-Y with - / or ., or an English month's name | the day, within these 400 years |
+| iban | two letters, check digits, 11 to 30 more; remainder 1 modulo 97 | letters and digits of the account, each within its class; the check digits are made anew |
 | ip | four octets | all 32 bits |
 | email | local part of up to 64 characters | letters and digits of the local part, each within its class |
 | secret | access keys and hexadecimal strings from 16 digits on | letters and digits but a key's prefix, each within its class |
@@ -21,19 +22,24 @@ other text stay; columns besides the text pass through, names of our own columns
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 #: Patterns of the kinds, in order of precedence.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
+    "day": rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} (?:{MONTHS}),? [0-9]{{4}}|(?:{MONTHS}) [0-9]{{1,2}},? [0-9]{{4}})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,128})(?![0-9A-Za-z])",
 }
 
@@ -138,23 +144,85 @@ def _ssn(v: Column, key: str) -> Column:
     return F.when(ok, _with(feistel(x, serial - 1, 898 * 99, 9999, key, "ssn"), make)).otherwise(v)
 
 
+def _moved_day(d: Column, key: str) -> Column:
+    """The 400 years from 1800 have 146097 = 189 * 773 days."""
+    first = F.lit("1800-01-01").cast("date")
+    n = F.datediff(d, first)
+    return _with(feistel(F.floor(n / 773), n % 773, 189, 773, key, "date"), lambda p: F.date_add(first, (p["x"] * 773 + p["y"]).cast("int")))
+
+
+def _to_date(s: Column, form: str) -> Column:
+    return F.try_to_timestamp(s, F.lit(form)).cast("date")
+
+
+def _known(d: Column) -> Column:
+    return d.isNotNull() & F.year(d).between(1800, 2199)
+
+
 def _date(v: Column, key: str) -> Column:
-    """The 400 years from 1800 have 146097 = 189 * 773 days. Day and month of D-M-Y are swapped where only that is a date."""
-    first = v.rlike("^[0-9]{4}")
-    part = lambda s, n: F.substring(v, s, n)
-    ymd = F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2))
-    dmy, mdy = (F.concat_ws("-", part(7, 4), part(a, 2), part(b, 2)) for a, b in ((4, 1), (1, 4)))
-    to = lambda s: F.try_to_date(s, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date")
-    day = F.when(first, to(ymd)).otherwise(F.coalesce(to(dmy), to(mdy)))
-    month_first = ~first & to(dmy).isNull()
+    """Numeric dates; month and day come in either order where only one is a date. Parts keep their padding."""
+
+    def make(a: Column) -> Column:
+        iso = lambda y, m, d: _to_date(F.concat_ws("-", a[y], F.lpad(a[m], 2, "0"), F.lpad(a[d], 2, "0")), "yyyy-MM-dd")
+        year_first = F.length(a[0]) == 4
+        dmy = iso(2, 1, 0)
+        day = F.when(year_first, iso(0, 1, 2)).otherwise(F.coalesce(dmy, iso(2, 0, 1)))
+
+        def write(z: Column) -> Column:
+            part = lambda at, c: F.when(F.length(a[at]) == 2, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
+            sep = F.when(year_first, F.substring(v, 5, 1)).otherwise(F.substr(v, F.length(a[0]) + 1, F.lit(1)))
+            ymd = (F.year(z).cast("string"), part(1, F.month(z)), part(2, F.dayofmonth(z)))
+            ends = F.when(dmy.isNotNull(), F.concat(part(0, F.dayofmonth(z)), sep, part(1, F.month(z)))).otherwise(F.concat(part(0, F.month(z)), sep, part(1, F.dayofmonth(z))))
+            return F.when(year_first, F.concat(ymd[0], sep, ymd[1], sep, ymd[2])).otherwise(F.concat(ends, sep, F.year(z).cast("string")))
+
+        return _with(day, lambda d: F.when(_known(d), _with(_moved_day(d, key), write)).otherwise(v))
+
+    return _with(F.split(v, "[-/.]"), make)
 
-    def make(d: Column) -> Column:
-        n = F.datediff(d, F.lit("1800-01-01").cast("date"))
-        moved = _with(feistel(F.floor(n / 773), n % 773, 189, 773, key, "date"), lambda p: F.date_add(F.lit("1800-01-01").cast("date"), (p["x"] * 773 + p["y"]).cast("int")))
-        text = _with(moved, lambda z: F.when(first, F.date_format(z, "yyyyMMdd")).when(month_first, F.date_format(z, "MMddyyyy")).otherwise(F.date_format(z, "ddMMyyyy")))
-        return F.when(d.isNotNull() & F.year(d).between(1800, 2199), _refill(v, text)).otherwise(v)
 
-    return _with(day, make)
+def _day(v: Column, key: str) -> Column:
+    """Dates with an English month's name, full or of three letters."""
+    comma, first = v.contains(","), v.rlike("^[0-9]")
+    name = F.regexp_extract(v, "[A-Za-z]+", 0)
+    rest = F.regexp_extract_all(v, F.lit("[0-9]+"), F.lit(0))
+    day = _to_date(F.concat_ws(" ", F.initcap(F.substring(name, 1, 3)), F.get(rest, F.lit(0)), F.get(rest, F.lit(1))), "MMM d yyyy")
+
+    def write(z: Column) -> Column:
+        month = F.when(F.length(name) == 3, F.date_format(z, "MMM")).otherwise(F.date_format(z, "MMMM"))
+        number = F.dayofmonth(z).cast("string")
+        number = F.when(F.length(F.get(rest, F.lit(0))) == 2, F.lpad(number, 2, "0")).otherwise(number)
+        return F.concat(F.when(first, F.concat_ws(" ", number, month)).otherwise(F.concat_ws(" ", month, number)), F.when(comma, ", ").otherwise(" "), F.year(z).cast("string"))
+
+    return _with(day, lambda d: F.when(_known(d), _with(_moved_day(d, key), write)).otherwise(v))
+
+
+def _mod97(s: Column) -> Column:
+    """Remainder of letters (A is 10) and digits read as one number."""
+    digits = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    return F.aggregate(digits, F.lit(0), lambda r, d: (r * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+
+def _iban(v: Column, key: str) -> Column:
+    def make(s: Column) -> Column:
+        land, account = F.substring(s, 1, 2), F.substring(s, 5, 40)
+
+        def write(b: Column) -> Column:
+            whole = F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
+            return _with(whole, lambda w: _spaced(v, w))
+
+        fine = F.length(s).between(15, 34) & (_mod97(F.concat(account, land, F.substring(s, 3, 2))) == 1)
+        return F.when(fine, _with(_letters(account, key, "iban"), write)).otherwise(v)
+
+    return _with(F.replace(v, F.lit(" "), F.lit("")), make)
+
+
+def _spaced(shape: Column, text: Column) -> Column:
+    """``text`` with spaces where ``shape`` has them."""
+    chars = F.filter(F.split(shape, ""), lambda c: c != "")
+    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
+    return F.aggregate(
+        chars, start, lambda s, c: F.when(c == " ", F.struct(F.concat(s["s"], c).alias("s"), s["i"].alias("i"))).otherwise(F.struct(F.concat(s["s"], F.substr(text, s["i"], F.lit(1))).alias("s"), (s["i"] + 1).alias("i")))
+    )["s"]
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -203,7 +271,7 @@ def _secret(v: Column, key: str) -> Column:
     return F.when(v.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(v, 5, 1000), key, "key"))).otherwise(_letters(v, key, "hex", True))
 
 
-MAKERS = {"email": _email, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card, "secret": _secret}
+MAKERS = {"email": _email, "ip": _ip, "date": _date, "day": _day, "iban": _iban, "phone": _phone, "ssn": _ssn, "card": _card, "secret": _secret}
 
 
 def kind_of(v: Column) -> Column:
@@ -225,15 +293,19 @@ def pseudonym(v: Column, key: str) -> Column:
 def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """Replace ``text``; with ``found`` add array<struct<kind, value, pseudonym>> in order of occurrence."""
     cols = df.columns
+    mark = "__pii"
+    while any(c.startswith(mark) for c in cols):
+        mark += "_"
     values = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(_any()), F.lit(0)))
-    out = df.withColumn("__values", values)
-    out = out.withColumn("__new", F.transform("__values", lambda v: pseudonym(v, key)))
+    old, fresh = f"{mark}_values", f"{mark}_new"
+    out = df.withColumn(old, values)
+    out = out.withColumn(fresh, F.transform(old, lambda v: pseudonym(v, key)))
     gaps = F.split(F.col(text), _any(), -1)
-    made = F.array_join(F.zip_with(gaps, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    new = F.when(F.size("__new") > 0, made).otherwise(F.col(text))
+    made = F.array_join(F.zip_with(gaps, F.col(fresh), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    new = F.when(F.size(fresh) > 0, made).otherwise(F.col(text))
     names = [new.alias(text) if c == text else F.col(c) for c in cols if c != found]
     if found:
-        names.append(F.coalesce(F.zip_with("__values", "__new", lambda v, p: F.struct(kind_of(v).alias("kind"), v.alias("value"), p.alias("pseudonym"))), F.array()).alias(found))
+        names.append(F.coalesce(F.zip_with(old, fresh, lambda v, p: F.struct(kind_of(v).alias("kind"), v.alias("value"), p.alias("pseudonym"))), F.array()).alias(found))
     return out.select(*names)
 
 
@@ -241,8 +313,6 @@ def _any() -> str:
     """All kinds as one pattern; back-references are counted on."""
     out, groups = [], 0
     for p in KINDS.values():
-        for n in (2, 1):
-            p = p.replace(f"\\{n}", f"\\{n + groups}")
-        out.append(p)
-        groups += p.count("([")
+        out.append(re.sub(r"\\([12])", lambda m, g=groups: f"\\{int(m[1]) + g}", p))
+        groups += re.compile(p).groups
     return "|".join(out)
