@@ -10,11 +10,15 @@ part them. Documents are therefore first dealt to regions they can share with a
 * A linked pair of sizes a <= b differs in at most H = (100-percent)(a+b)/(100+percent) shingles. In classes of similar
   size, shingles are dealt by hash into m = H+1+E slices; a linked pair has E+1 equal slices at least, so one of them is
   not empty unless both have more than E empty slices, and those documents are dealt again by another hash.
-* A region is the set of classes with the same slice. Its pivot is its smallest member; all members are compared with
-  the pivot, and those within the radius form its ball: one component, which needs no comparisons inside.
-* Members of different components remain. Pairs whose distances to the pivot differ by more than the radius are outside
-  each other's window; pairs whose counts of shingles in 64 buckets differ in sum by more than H cannot link. The others
-  are compared exactly: in small regions pair by pair, in large ones tile by tile, so that a task holds two tiles.
+* Every class also has coordinates: its counts of shingles in 64 buckets or more, a quarter of its size at least. Their
+  L1 distance is at most the number of differing shingles, so two classes whose coordinates are further apart than H are
+  outside each other's window.
+* A region is the set of classes with the same slice. Its pivot is its smallest member. Members within the pivot's
+  window form its cell; pairs across cells are looked for in the windows, in small regions pair by pair, in large ones
+  tile by tile, so that a task holds two tiles. Cells that such a pair joins are one; no link crosses cells.
+* A cell's members are compared exactly, tile by tile; only links that join components leave a task. In cells of more
+  than ``LIMIT`` members, those within the radius of their pivots are joined first and need no comparisons among
+  themselves; the others are compared region by region.
 * Regions of more than ``LIMIT`` members are dealt again, by other hashes, into regions within them, and so on: a linked
   pair meets again on every level, while documents that only share the slice part.
 
@@ -40,10 +44,12 @@ from .graph import components
 from .store import Store
 
 SEEDS, SMALL, TILE, LIMIT, TASK = 6, 48, 1024, 16384, 1 << 19
-#: Rounds of dealing large regions again; what is still large then is compared tile by tile as well.
-LEVELS = 3
+#: Classes (three numbers each) that may be broadcast, 6 MB.
+SENT = 1 << 18
 #: Shingles of a tile, about; a tile of long documents has fewer members.
 TILE_SHINGLES = 1 << 19
+#: Rounds of dealing large regions again; what is still large then is compared tile by tile as well.
+LEVELS = 3
 BUCKETS = 64
 
 
@@ -130,8 +136,46 @@ def _sets(batch: pa.RecordBatch, col: int, k: int):
         yield a, b, shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k)
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """The coordinates of each set: its shingles in each bucket, up to 255. Buckets are a power of 4, a quarter of the size or more."""
+    n = np.array([len(s) for s in sets], np.int64)
+    many = np.full(len(sets), BUCKETS)
+    while (small := many * 4 < n).any():
+        many[small] *= 4
+    out = [b""] * len(sets)
+    for b in np.unique(many).tolist():
+        own = np.flatnonzero(many == b)
+        flat = mix(np.concatenate([np.zeros(0, U), *(sets[i] for i in own)]), 90)
+        key = (flat >> U(65 - b.bit_length())).astype(np.int64) + b * np.repeat(np.arange(len(own)), n[own])
+        rows = np.minimum(np.bincount(key, minlength=b * len(own)), 255).astype(np.uint8).reshape(-1, b)
+        for i, r in zip(own.tolist(), rows, strict=True):
+            out[i] = r.tobytes()
+    return out
+
+
+def _folded(rows: list[bytes], b: int) -> np.ndarray:
+    """Coordinates of sketches of one length, in ``b`` buckets."""
+    x = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return x.reshape(len(rows), b, -1).sum(2, dtype=np.int16 if x.shape[1] < 128 * b else np.int32)
+
+
+def _in_window(x: list[bytes], y: list[bytes], total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets each, of ``total`` shingles together, can link by their coordinates."""
+    size = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    ok = np.zeros(len(size), bool)
+    for la, lb in {tuple(r) for r in size.tolist()}:
+        own, b = np.flatnonzero((size == (la, lb)).all(1)), min(la, lb)
+        for lo in range(0, len(own), step := max(1, (1 << 21) // b)):
+            at = own[lo : lo + step]
+            left, right = [x[i] for i in at], [y[i] for i in at]
+            apart = np.abs(_folded(left, b).astype(np.int32) - _folded(right, b)).sum(1)
+            full = np.array([255 in p or 255 in q for p, q in zip(left, right, strict=True)])  # counts that went on
+            ok[at] = full | (apart * (100 + percent) <= (100 - percent) * total[at])
+    return ok
+
+
 def _marks(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, h1, h2, marks`` of every document."""
+    """``doc_id, n, h1, h2, marks, sketch`` of every document."""
 
     def run(batches):
         for batch in batches:
@@ -140,9 +184,9 @@ def _marks(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 table = _table(percent, int(n.max()) if len(n) else 1)
                 at = np.searchsorted(table[:, 0], n, side="right") - 1
                 marks = np.where(n > 0, table[np.maximum(at, 0), 2], 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, (n, h1, h2, marks))], names=["doc_id", "n", "h1", "h2", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, (n, h1, h2, marks)), pa.array(sketches(sets), pa.binary())], names=["doc_id", "n", "h1", "h2", "marks", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, marks long")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, marks long, sketch binary")
 
 
 def _regions(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
@@ -242,22 +286,22 @@ def _regions(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
 
 
 def _reps_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """``rep, h1, n, sketch, shingles`` of the classes in ``reps (rep, h1, h2)``."""
-    texts = docs.join(reps, docs.doc_id == reps.rep).select("text", "rep", "h1", "h2")
+    """``rep, shingles`` of the classes in ``reps (rep, h1, h2)``, made again from the texts.
+
+    Up to ``SENT`` classes are sent to the texts; more meet them in a shuffle.
+    """
+    few = reps.limit(SENT + 1).count() <= SENT
+    texts = docs.join(F.broadcast(reps) if few else reps.hint("merge"), docs.doc_id == reps.rep).select("text", "rep", "h1", "h2")
 
     def run(batches):
         for batch in batches:
             for a, b, sets in _sets(batch, 0, k):
-                n, h1, h2 = set_marks(sets)
+                _, h1, h2 = set_marks(sets)
                 same = (h1 == batch.column(2).slice(a, b - a).to_numpy()) & (h2 == batch.column(3).slice(a, b - a).to_numpy())
-                keep = np.flatnonzero(same)
-                sketch = [np.minimum(np.bincount((mix(sets[i], 90) >> U(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a).take(pa.array(keep)), pa.array(h1[keep]), pa.array(n[keep]), pa.array(sketch, pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                    names=["rep", "h1", "n", "sketch", "shingles"],
-                )
+                keep = np.flatnonzero(same)  # other rows have the same id
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["rep", "shingles"])
 
-    return texts.mapInArrow(run, "rep long, h1 long, n long, sketch binary, shingles binary")
+    return texts.mapInArrow(run, "rep long, shingles binary")
 
 
 def _may_link(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -268,11 +312,7 @@ def _may_link(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for t in batches:
-            if not t.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int32) for i in (4, 5))
-            total = t.column(2).to_numpy() + t.column(3).to_numpy()
-            ok = np.abs(x - y).sum(1) * (100 + percent) <= (100 - percent) * total
+            ok = _in_window(t.column(4).to_pylist(), t.column(5).to_pylist(), t.column(2).to_numpy() + t.column(3).to_numpy(), percent)
             yield t.select([0, 1]).filter(pa.array(ok))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -325,18 +365,81 @@ def _dealt_again(members: DataFrame, sets: DataFrame, percent: int, level: int)
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of the regions that still hold different components, with their region's number and shingles."""
-    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingled"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return members.drop("n").join(size.where("size > 1 and lo < hi").select("region", "size", "shingled"), "region")
+    """Members (region, rep, label) of the regions that hold different labels, with their region's number.
+
+    Of regions with the same members only one stays.
+    """
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), *marks)
+    size = size.where("size > 1 and lo < hi").groupBy("size", "m0", "m1").agg(F.min("region").alias("region"))
+    return members.join(size.select("region", "size"), "region")
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """Members (region, rep, label, tiles) once for every pair of tiles (i, j) that their own tile t is in."""
+    rows = members.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rows = rows.select("region", "rep", "label", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    return rows.select("region", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "label", "t")
+
+
+def _forest(pairs, label: np.ndarray, rep: np.ndarray) -> pa.Table:
+    """Of pairs of rows, those that join labels not yet joined, as (a, b)."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = y
+        return x
+
+    found = []
+    for u, v in pairs:
+        p, q = top(int(label[u])), top(int(label[v]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            found.append((int(rep[u]), int(rep[v])))
+    return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+
+def _windows(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels within each other's window, enough to join all labels that such pairs join.
+
+    Tile by tile: two tiles meet in one task.
+    """
+    rows = _tiled(members.withColumn("tiles", F.ceil(F.col("size") / (2 * TILE)).cast("int")))  # coordinates are small
+    rows = rows.join(light.select("rep", "n", "sketch"), "rep").select("region", "i", "j", "t", "rep", "label", "n", "sketch")
+
+    def meet(table: pa.Table) -> pa.Table:
+        t, rep, label, n = (table.column(c).to_numpy() for c in ("t", "rep", "label", "n"))
+        sketch = table.column("sketch").to_pylist()
+        coarse = np.concatenate([_folded([r], BUCKETS) for r in sketch]).astype(np.int32)
+        full = np.array([255 in r for r in sketch])
+        one, two = np.flatnonzero(t == table.column("i")[0].as_py()), np.flatnonzero(t == table.column("j")[0].as_py())
+
+        def near():
+            for lo in range(0, len(one), 32):
+                rows = one[lo : lo + 32]
+                total = n[rows][:, None] + n[two][None, :]
+                apart = np.abs(coarse[rows][:, None, :] - coarse[two][None, :, :]).sum(2)
+                close = (apart * (100 + percent) <= (100 - percent) * total) | full[rows][:, None] | full[two][None, :]
+                close &= (label[rows][:, None] != label[two][None, :]) & (np.minimum(n[rows][:, None], n[two][None, :]) * 100 >= np.maximum(n[rows][:, None], n[two][None, :]) * percent)
+                u, v = np.nonzero(close)
+                u, v = rows[u], two[v]
+                fine = _in_window([sketch[i] for i in u], [sketch[i] for i in v], n[u] + n[v], percent)
+                yield from zip(u[fine].tolist(), v[fine].tolist(), strict=True)
+
+        return _forest(near(), label, rep)
+
+    return rows.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different components in regions of many members: every pair of tiles meets in one task."""
-    tiles = members.withColumn("tiles", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingled") / TILE_SHINGLES)).cast("int"))
-    tiles = tiles.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    rows = tiles.select("region", "rep", "label", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
-    rows = rows.select("region", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "label", "t")
-    rows = rows.join(sets.select("rep", "shingles"), "rep").select("region", "i", "j", "t", "rep", "label", "shingles")
+    """Exact links (a, b) between different labels, enough to join all labels that links join, tile by tile.
+
+    No pair leaves its task but these: at most one fewer than there are labels in two tiles.
+    """
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingled") / TILE_SHINGLES)).cast("int")
+    rows = _tiled(members.withColumn("tiles", tiles)).join(sets, "rep").select("region", "i", "j", "t", "rep", "label", "shingles")
 
     def meet(table: pa.Table) -> pa.Table:
         t, rep, label = (table.column(c).to_numpy() for c in ("t", "rep", "label"))
@@ -344,27 +447,39 @@ def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         n = np.array([len(s) for s in own])
         _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
         shared = often > 1  # only these can be in two sets
-        place = np.cumsum(shared) - 1
-        rows_of = np.repeat(np.arange(len(own)), n)[shared[at]]
-        cols_of = place[at[shared[at]]]
+        rows_of, cols_of = np.repeat(np.arange(len(own)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
         same, block = np.zeros((len(own), len(own)), np.float32), 4096
         for lo in range(0, int(shared.sum()), block):  # a dense block of shingles at a time
             hit = (cols_of >= lo) & (cols_of < lo + block)
             x = np.zeros((len(own), block), np.float32)
             x[rows_of[hit], cols_of[hit] - lo] = 1
             same += x @ x.T
-        linked = 100 * same >= percent * (n[:, None] + n[None, :] - same)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        u, v = np.nonzero(np.triu(linked & (label[:, None] != label[None, :]), 1))
-        if i != j:
-            across = t[u] != t[v]
-            u, v = u[across], v[across]
-        # A spanning forest of the labels is enough: one link for each pair of labels.
-        lu, lv = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
-        _, first = np.unique(np.stack((lu, lv), 1), axis=0, return_index=True) if len(u) else (None, np.zeros(0, int))
-        return pa.table({"u": rep[u[first]].astype(np.int64), "v": rep[v[first]].astype(np.int64)})
+        linked = (100 * same >= percent * (n[:, None] + n[None, :] - same)) & (label[:, None] != label[None, :])
+        u, v = np.nonzero(np.triu(linked, 1))
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            u, v = u[t[u] != t[v]], v[t[u] != t[v]]
+        return _forest(zip(u.tolist(), v.tolist(), strict=True), label, rep)
+
+    return rows.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
 
-    return rows.groupBy("region", "i", "j").applyInArrow(meet, "u long, v long")
+
+def _shingled(members: DataFrame, light: DataFrame) -> DataFrame:
+    """Members with their region's number of shingles."""
+    total = members.join(light.select("rep", "n"), "rep").groupBy("region").agg(F.sum("n").alias("shingled"))
+    return members.join(total, "region")
+
+
+def _cells(pairs: DataFrame, store: Store) -> DataFrame:
+    """``rep, cell`` of everything that pairs (a, b) join."""
+    return components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), store).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
+
+
+def _across(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels in one region and within each other's window, enough to join all such labels."""
+    few = left.where(f"size <= {SMALL}")
+    other = few.select("region", F.col("rep").alias("b"), F.col("label").alias("lb"))
+    pairs = few.select("region", F.col("rep").alias("a"), F.col("label").alias("la")).join(other, "region").where("a < b and la <> lb").select("a", "b").distinct()
+    return _may_link(pairs, light, percent).union(_windows(left.where(f"size > {SMALL}"), light, percent)).distinct()
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -373,41 +488,49 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     store = Store(spark, "jaccard")
     docs = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"))
     marks = store.cut(_marks(docs, k, percent), "marks")
+    with_id = docs.where("doc_id is not null")
     linkable = marks.where("doc_id is not null and n > 0")
-    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
 
     total = marks.agg(F.sum("marks")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
-    regions = store.cut(_regions(docs.where("doc_id is not null"), k, percent, parts), "regions")
-    reps = classes.join(regions.select(F.col("node").alias("h1")).distinct(), "h1")
-    sets = store.cut(_reps_sets(docs.where("doc_id is not null"), reps.select("rep", "h1", "h2"), k), "sets")
-    light = store.cut(sets.select("rep", "h1", "n", "sketch"), "light")
+    regions = store.cut(_regions(with_id, k, percent, parts), "regions")
+    light = store.cut(classes.join(regions.select(F.col("node").alias("h1")).distinct(), "h1"), "light")
     names = light.select("rep", "h1")
 
-    # Every member against its region's pivot.
-    pivots = regions.where("node <> pivot").select("pivot", "node").distinct()
-    pairs = pivots.join(names.select(F.col("rep").alias("a"), F.col("h1").alias("pivot")), "pivot").join(names.select(F.col("rep").alias("b"), F.col("h1").alias("node")), "node")
-    pairs = store.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    told = store.cut(_compare(_may_link(pairs, light, percent), sets, percent), "told")
-    links = told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = store.cut(components(links, store), "balls")
-
-    # What is left: members of different components in regions of three or more.
-    members = regions.join(light.select("rep", "n", F.col("h1").alias("node")), "node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("region", "rep", "n", F.coalesce("component", "rep").alias("label")).distinct()
-    left = store.cut(_open(members).where("size > 2"), "left")
+    # Cells: members within the window of their region's pivot, then of any other member of their region.
+    pairs = regions.where("node <> pivot").select("pivot", "node").distinct()
+    pairs = pairs.join(names.select(F.col("rep").alias("a"), F.col("h1").alias("pivot")), "pivot").join(names.select(F.col("rep").alias("b"), F.col("h1").alias("node")), "node")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = store.cut(_may_link(pairs, light, percent), "first")
+    cells = store.cut(_cells(first, store), "cells")
+    members = store.cut(regions.join(names.select("rep", F.col("h1").alias("node")), "node").select("region", "rep").distinct(), "members")
+    left = members.join(cells, "rep", "left").select("region", "rep", F.coalesce("cell", "rep").alias("label"))
+    left = store.cut(_open(left).where("size > 2"), "left")
     level = 0
     while level < LEVELS and (large := left.where(f"size > {LIMIT}")).limit(1).count():
         level += 1
-        again = _dealt_again(large, sets, percent, level).distinct().join(light.select("rep", "n"), "rep").select("region", "rep", "n", "label")
-        left = store.cut(left.where(f"size <= {LIMIT}").unionByName(_open(again)), "left")
-    few = left.where(f"size <= {SMALL}")
-    other = few.select("region", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    more = few.select("region", F.col("rep").alias("a"), F.col("label").alias("la")).join(other, "region").where("a < b and la <> lb").select("a", "b").distinct()
-    more = _compare(store.cut(_may_link(more.join(pairs, ["a", "b"], "left_anti"), light, percent), "more"), sets, percent)
-    links = links.union(more.where("linked").select("a", "b")).union(_tiles(left.where(f"size > {SMALL}"), sets, percent))
-    found = store.cut(components(links, store), "components")
-
-    of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+        own = _reps_sets(with_id, light.join(large.select("rep").distinct(), "rep").select("rep", "h1", "h2"), k)
+        left = store.cut(left.where(f"size <= {LIMIT}").unionByName(_open(_dealt_again(large, own, percent, level).distinct())), "left")
+    pairs = store.cut(first.union(_across(left, light, percent)), "pairs")
+    cells = store.cut(_cells(pairs, store), "cells")
+
+    # Exact comparison of each cell's members, tile by tile.
+    sets = store.cut(_reps_sets(with_id, light.join(cells.select("rep"), "rep").select("rep", "h1", "h2"), k), "sets")
+    one = cells.select(F.col("cell").alias("region"), "rep", F.col("rep").alias("label"))
+    one = store.cut(_open(one), "one")
+    links = _tiles(_shingled(one.where(f"size <= {LIMIT}"), light), sets, percent)
+    large = one.where(f"size > {LIMIT}").select(F.col("region").alias("cell")).distinct()
+    if large.limit(1).count():  # pivots first, then what they leave apart, region by region
+        inside = pairs.join(cells.withColumnRenamed("rep", "a"), "a").join(large, "cell", "left_semi").select("a", "b")
+        told = _compare(inside, sets, percent).where("linked").select("a", "b")
+        links = store.cut(links.union(told), "links")
+        balls = store.cut(_cells(links, store).withColumnRenamed("cell", "ball"), "balls")
+        inner = members.join(cells.join(large, "cell", "left_semi"), "rep").join(balls, "rep", "left")
+        inner = inner.select(F.xxhash64("region", "cell").alias("region"), "rep", F.coalesce("ball", "rep").alias("label")).distinct()
+        links = links.union(_tiles(_shingled(_open(inner), light), sets, percent))
+    found = store.cut(_cells(links, store).withColumnRenamed("cell", "component"), "components")
+
+    of = classes.select("h1", "h2", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = marks.join(of, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -64,7 +64,7 @@ def test_jaccard_join(spark, k, percent, seed):
 
 def test_jaccard_join_of_large_regions(spark, monkeypatch):
     """Small limits, so that tiles and regions within regions are used."""
-    for name, value in (("SMALL", 3), ("TILE", 8), ("LIMIT", 30)):
+    for name, value in (("SMALL", 3), ("TILE", 8), ("LIMIT", 30), ("TILE_SHINGLES", 600)):
         monkeypatch.setattr(jaccard_join, name, value)
     data = corpus(4, 150)
     df = spark.createDataFrame(data, "doc_id long, text string, rep string")
@@ -191,3 +191,22 @@ def test_pipeline(spark, tmp_path):
         got.setdefault(r.doc_id, []).extend(r.ids)
     ids = packing.fast_ids(bpe.default_vocabulary())
     assert got == {d: [*ids(t or "").tolist(), 1] for d, t in kept[2].items()}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_windows_never_miss_and_part_the_unrelated(percent):
+    rng = np.random.default_rng(percent)
+    new = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    pairs = []
+    for n in (1, 5, 60, 300, 1100, 5000):
+        for _ in range(20):
+            base = new(n)
+            extra = int(len(base) * (100 - percent) / 100)
+            pairs.append((base, base[: len(base) - extra] if rng.random() < 0.5 else np.union1d(base, new(int(extra * 100 / 101)))))
+    linked = [100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for a, b in pairs]
+    x, y = jaccard_join.sketches([a for a, _ in pairs]), jaccard_join.sketches([b for _, b in pairs])
+    ok = jaccard_join._in_window(x, y, np.array([len(a) + len(b) for a, b in pairs]), percent)
+    assert sum(linked) > 60 and all(o for o, k in zip(ok, linked, strict=True) if k)
+    far = [(new(n), new(n)) for n in (300, 1100, 5000, 20000)]
+    ok = jaccard_join._in_window(jaccard_join.sketches([a for a, _ in far]), jaccard_join.sketches([b for _, b in far]), np.array([len(a) + len(b) for a, b in far]), percent)
+    assert percent < 80 or not ok.any()
