@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..awk.run import Machine
 from ..awk.syntax import Program, parse, walk
-from ..awk.values import printf
+from ..awk.values import printf, wholly
 from ..cluster import ship
 from ..operators.edit import NotExact
 from ..operators.select import quoted
@@ -324,8 +324,6 @@ class State:
 
 
 def _numeric(s: str) -> bool:
-    from ..awk.values import wholly
-
     return wholly(s) is not None
 
 
