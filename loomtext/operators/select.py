@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..lang.pattern import Pattern
 
-#: Line splits, written so that no empty match at the end needs a guard.
-_LINES = {".*\\n?": "[^\\n]*\\n|[^\\n]+", ".*\\n": "[^\\n]*\\n"}
+#: Line splits, written so that no empty match at the end needs a guard, and an unfinished last line is tried once only.
+_LINES = {".*\\n?": "[^\\n]*+\\n|[^\\n]++", ".*\\n": "(?<![^\\n])[^\\n]*+\\n"}
 
 
 def quoted(literal: str) -> str:

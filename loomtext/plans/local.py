@@ -59,20 +59,33 @@ def _pieces(literal: str, k: int) -> list[str]:
     return [literal[n * i // (k + 1) : n * (i + 1) // (k + 1)] for i in range(k + 1)]
 
 
+@lru_cache(maxsize=256)
+def _places(want: bytes) -> dict[int, int]:
+    """For each byte the bits of its places."""
+    return {c: sum(1 << i for i, d in enumerate(want) if d == c) for c in set(want)}
+
+
 def near(text: str, literal: str, k: int) -> bool:
     """Whether some stretch of the text is within ``k`` byte edits of the literal."""
     want, have = literal.encode("utf-8", "surrogateescape"), text.encode("utf-8", "surrogateescape")
     if k >= len(want):
         return True
+    if literal in text:
+        return True
     if literal.isascii() and not any(p in text for p in _pieces(literal, k)):
         return False  # k edits leave one of k + 1 pieces whole
-    row = list(range(len(want) + 1))
+    # Columns of the edit-distance table as two bit vectors of differences, one step for each byte.
+    full, top, places = (1 << len(want)) - 1, 1 << (len(want) - 1), _places(want)
+    up, down, score = full, 0, len(want)
     for byte in have:
-        diagonal, row[0] = row[0], 0
-        for i, c in enumerate(want, 1):
-            diagonal, row[i] = row[i], min(diagonal + (c != byte), row[i] + 1, row[i - 1] + 1)
-        if row[-1] <= k:
+        equal = places.get(byte, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        plus, minus = down | ~(across | up) & full, up & across
+        score += (plus & top > 0) - (minus & top > 0)
+        if score <= k:
             return True
+        plus, minus, equal = plus << 1, minus << 1, equal | down
+        up, down = (minus | ~(equal | plus)) & full, plus & equal & full
     return False
 
 

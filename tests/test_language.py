@@ -144,3 +144,26 @@ def test_rejected(program):
 def test_derived_views_have_no_place():
     with pytest.raises(ProgramError):
         run_document(compile("x/a/ r/,/ =").nodes, "aa")
+
+
+def test_near_is_the_table():
+    """Against the whole edit-distance table, on random texts."""
+    import random
+
+    from loomtext.plans.local import near
+
+    def table(text, want, k):
+        row = list(range(len(want) + 1))
+        best = row[-1]
+        for c in text:
+            diagonal, row[0] = row[0], 0
+            for i, w in enumerate(want, 1):
+                diagonal, row[i] = row[i], min(diagonal + (c != w), row[i] + 1, row[i - 1] + 1)
+            best = min(best, row[-1])
+        return best <= k
+
+    pick = random.Random(3)
+    for _ in range(3000):
+        want, text, k = "".join(pick.choices("abc", k=pick.randint(1, 9))), "".join(pick.choices("abcd", k=pick.randint(0, 14))), pick.randint(0, 4)
+        assert near(text, want, k) == table(text, want, k), (text, want, k)
+    assert near("x" * 50 + "naïve", "naive", 2) and not near("naïve", "naive", 1)
