@@ -9,7 +9,9 @@ Vectors of one label (and length) link when their cosine, in double precision, i
    method has it; this bounds what is tried, not what is kept.
 4. List entries at or above the threshold are links. Where a list is saturated, that is full of links, the links beyond
    it are counted exactly: lists grow to the whole component, whose members are compared tile by tile, so that no task
-   holds more than two tiles and no pair leaves its task.
+   holds more than two tiles and no pair leaves its task. Before that, components that only saturated nodes link (a list
+   that isn't full holds its links) are joined: saturated nodes of different components of a label are compared unless
+   the balls around them, by their centres' angle and their radii, are too far apart.
 5. Audit: ``AUDIT`` nodes are compared with all vectors of their label; if less than ``RECALL`` of their links were
    found, further projections are added and the descent goes on.
 
@@ -160,6 +162,59 @@ def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _LIST)
 
 
+def _crossing(full: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between saturated nodes of different components, one at least for every two components so linked.
+
+    The nodes of a component lie in balls of about ``TILE``. Pairs of balls that their bounds don't keep apart are
+    compared node by node, about two tiles in a task.
+    """
+    tiled = lambda d, by: d.join(d.groupBy(*by).agg(F.count(F.lit(1)).alias("size")), by).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    rows = tiled(full, ["component"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "cell", "label", "dim", "node", "vector")
+
+    def ball(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("vector"), table.column("dim")[0].as_py())
+        c = x.mean(0)
+        c = c / np.linalg.norm(c) if c.any() else x[0]
+        one = table.select(["component", "cell", "label", "dim"]).slice(0, 1)
+        return one.append_column("n", pa.array([len(x)], pa.int64())).append_column("vector", pa.array([c.tolist()], pa.list_(pa.float64()))).append_column("radius", pa.array([float(np.arccos(np.clip((x @ c).min(), -1, 1)))]))
+
+    shape = T.StructType([*rows.select("component", "cell", "label", "dim").schema, *T.StructType.fromDDL("n long, vector array<double>, radius double")])
+    balls = tiled(rows.groupBy("component", "cell").applyInArrow(ball, shape), ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("component", "cell"), F.col("tiles")).cast("int"))
+    balls = balls.select("label", "dim", "component", "cell", "n", "vector", "radius", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    balls = balls.withColumn("i", F.least("t", "o")).withColumn("j", F.greatest("t", "o")).drop("o")
+    widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def near(table: pa.Table) -> pa.Table:
+        i, j, dim = (table.column(c)[0].as_py() for c in ("i", "j", "dim"))
+        component, cell, n, radius, t = (table.column(c).to_numpy() for c in ("component", "cell", "n", "radius", "t"))
+        x = _matrix(table.column("vector"), dim)
+        one, two = np.flatnonzero(t == i), np.flatnonzero(t == j)
+        angle = np.arccos(np.clip(x[one] @ x[two].T, -1, 1)) - radius[one][:, None] - radius[two][None, :]
+        a, b = np.nonzero((angle <= widest) & (component[one][:, None] != component[two][None, :]))
+        a, b = one[a], two[b]
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        return pa.table({"a": component[a], "ca": cell[a], "b": component[b], "cb": cell[b], "n": n[b]})
+
+    pairs = balls.groupBy("label", "dim", "i", "j").applyInArrow(near, "a long, ca int, b long, cb int, n long")
+    many = pairs.groupBy("a", "ca").agg(F.ceil(F.sum("n") / TILE).alias("salts"))
+    pairs = pairs.join(many, ["a", "ca"]).withColumn("salt", F.pmod(F.xxhash64("b", "cb"), F.col("salts")).cast("int"))
+    left = pairs.select("a", "ca", "salt", F.col("a").alias("component"), F.col("ca").alias("cell"), F.lit(True).alias("own")).distinct()
+    right = pairs.select("a", "ca", "salt", F.col("b").alias("component"), F.col("cb").alias("cell"), F.lit(False).alias("own"))
+    met = left.union(right).join(rows, ["component", "cell"]).select("a", "ca", "salt", "own", "component", "node", "dim", "vector")
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, component, node = (table.column(c).to_numpy(zero_copy_only=False) if c == "own" else table.column(c).to_numpy() for c in ("own", "component", "node"))
+        x = _matrix(table.column("vector"), table.column("dim")[0].as_py())
+        one, two = np.flatnonzero(own), np.flatnonzero(~own)
+        linked = x[one] @ x[two].T >= threshold
+        at = np.flatnonzero(linked.any(0))
+        at = at[np.unique(component[two][at], return_index=True)[1]]
+        return pa.table({"u": node[one][linked[:, at].argmax(0)] if len(at) else node[:0], "v": node[two][at]})
+
+    return met.groupBy("a", "ca", "salt").applyInArrow(meet, "u long, v long")
+
+
 def _degrees(members: DataFrame, threshold: float) -> DataFrame:
     """``node, degree``: linked copies of other classes within the same component, tile by tile."""
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -237,6 +292,9 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         links = lists.where(F.col("sim") >= threshold).select("u", "v")
         comp = store.cut(components(links, store), "components")
         full = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("c")).where((F.col("worst") >= threshold) & (F.col("c") == K))
+        crossing = store.cut(_crossing(nodes.join(comp, "node").join(full.select(F.col("u").alias("node")), "node"), threshold), "crossing")
+        if crossing.limit(1).count():
+            comp = store.cut(components(links.union(crossing), store), "components")
         grown = comp.join(full, comp.node == full.u).select("component").distinct()
         whole = nodes.join(comp, "node").join(grown, "component")
         plain = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().join(nodes.select(F.col("node").alias("v"), "copies"), "v")

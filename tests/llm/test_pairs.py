@@ -139,6 +139,31 @@ def test_links_in_tiles(spark, monkeypatch):
     assert sorted(map(tuple, nn_descent.link(df).collect()), key=str) == brute_vectors(data)
 
 
+def test_links_of_saturated_families(spark, caplog):
+    """Families at 0.995 inside and 0.94 across: every list is full of links of its own family."""
+    rng = np.random.default_rng(8)
+    data = []
+    for label, (m, dim) in enumerate([(20, 48), (200, 48)]):
+        base = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        a = base[0]
+        b = 0.945 * base[0] + np.sqrt(1 - 0.945**2) * base[1]
+        for f, centre in enumerate((a, b)):
+            for i in range(m):
+                noise = rng.standard_normal(dim - 2) @ base[2:]
+                x = centre + 0.07 * noise / np.linalg.norm(noise)
+                data.append((1000 * label + 500 * f + i, label, [float(v) for v in x]))
+        far = -0.1 * base[0] + base[2]  # a third family, linked with none
+        for i in range(m):
+            data.append((10000 + 1000 * label + i, label, [float(v) for v in far + 0.01 * rng.standard_normal(dim)]))
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>").repartition(3)
+    with caplog.at_level("INFO", logger="loomtext.llm.nn_descent"):
+        got = sorted(map(tuple, nn_descent.link(df).collect()), key=str)
+    want = brute_vectors(data)
+    assert {r[2] for r in want} == {0, 1000, 10000, 11000} and {r[1] for r in want if r[0] < 500} == {39}
+    assert got == want
+    assert [r.args[1] for r in caplog.records] == [nn_descent.TABLES]  # no audit failed
+
+
 def test_links_of_nothing(spark):
     assert nn_descent.link(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
