@@ -12,8 +12,10 @@ Vectors of one label (and length) link when their cosine, in double precision, i
    holds more than two tiles and no pair leaves its task. Before that, components that only saturated nodes link (a list
    that isn't full holds its links) are joined: saturated nodes of different components of a label are compared unless
    the balls around them, by their centres' angle and their radii, are too far apart.
-5. Audit: ``AUDIT`` nodes are compared with all vectors of their label; if less than ``RECALL`` of their links were
-   found, further projections are added and the descent goes on.
+5. Audit: ``AUDIT`` nodes are compared with all vectors of their label; as long as less than ``RECALL`` of their links
+   were found, further projections are added and the descent goes on. Where that falls behind, that is where the rounds
+   still to be expected from the last one's gain try more pairs than there are, all pairs of a label are compared, tile
+   by tile.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows whose id or label is
 null, link with nothing; vectors of different lengths never link; repeated rows are vectors of their own and link with
@@ -36,7 +38,7 @@ from .store import Store
 K, TABLES, WINDOW, STRIDE, CODE = 10, 3, 160, 96, 24
 ROUNDS, SETTLED = 5, 0.02
 TILE = 1024
-AUDIT, RECALL, EXTRA = 256, 0.99, 3
+AUDIT, RECALL = 256, 0.99
 
 log = logging.getLogger(__name__)
 _LIST = "u long, v long, sim double"
@@ -215,12 +217,36 @@ def _crossing(full: DataFrame, threshold: float) -> DataFrame:
     return met.groupBy("a", "ca", "salt").applyInArrow(meet, "u long, v long")
 
 
-def _degrees(members: DataFrame, threshold: float) -> DataFrame:
-    """``node, degree``: linked copies of other classes within the same component, tile by tile."""
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(size, "component").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.select("component", "node", "copies", "dim", "vector", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
-    rows = rows.select("component", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "copies", "dim", "vector")
+def _forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that join all that the links ``near`` between ``rows`` and ``cols`` join."""
+    u, v = [], []
+    new_row, new_col = near.any(1), near.any(0)
+    for first in np.flatnonzero(new_row):
+        if not new_row[first]:
+            continue
+        front = np.array([first])
+        new_row[first] = False
+        while len(front):
+            at = np.flatnonzero(near[front].any(0) & new_col)
+            new_col[at] = False
+            front = np.flatnonzero(near[:, at].any(1) & new_row)
+            new_row[front] = False
+            for ids in (cols[at], rows[front]):
+                u.append(np.full(len(ids), rows[first]))
+                v.append(ids)
+    return (np.concatenate(u), np.concatenate(v)) if u else (rows[:0], cols[:0])
+
+
+def _degrees(members: DataFrame, threshold: float, by: tuple[str, ...] = ("component",), links: bool = False) -> DataFrame:
+    """``node, degree``: linked copies of other classes with the same ``by``, tile by tile.
+
+    With ``links``, ``u, v, degree``: these with v null, and pairs (u, v) with degree null that join what is linked.
+    """
+    size = members.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    rows = members.join(size, list(by)).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    own = dict.fromkeys((*by, "dim"))
+    rows = rows.select(*own, "node", "copies", "vector", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    rows = rows.select(*own, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "copies", "vector")
 
     def meet(table: pa.Table) -> pa.Table:
         i, j, dim = (table.column(c)[0].as_py() for c in ("i", "j", "dim"))
@@ -230,10 +256,17 @@ def _degrees(members: DataFrame, threshold: float) -> DataFrame:
         near = x[a] @ x[b].T >= threshold
         if i == j:
             np.fill_diagonal(near, False)
-            return pa.table({"node": node[a], "degree": near @ copies[b]})
-        return pa.table({"node": np.concatenate((node[a], node[b])), "degree": np.concatenate((near @ copies[b], near.T @ copies[a]))})
+            out, degree = node[a], near @ copies[b]
+        else:
+            out, degree = np.concatenate((node[a], node[b])), np.concatenate((near @ copies[b], near.T @ copies[a]))
+        if not links:
+            return pa.table({"node": out, "degree": degree})
+        u, v = _forest(near, node[a], node[b])
+        none = pa.nulls(len(u), pa.int64())
+        return pa.table({"u": np.concatenate((out, u)), "v": pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(v)]), "degree": pa.concat_arrays([pa.array(degree), none])})
 
-    return rows.groupBy("component", "i", "j").applyInArrow(meet, "node long, degree long").groupBy("node").agg(F.sum("degree").alias("degree"))
+    met = rows.groupBy(*by, "i", "j").applyInArrow(meet, "u long, v long, degree long" if links else "node long, degree long")
+    return met if links else met.groupBy("node").agg(F.sum("degree").alias("degree"))
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
@@ -276,17 +309,22 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = store.cut(classes.select("node", "label", F.size("vector").alias("dim"), "vector", "copies"), "nodes")
     n = nodes.count()
-    lists, table = None, 0
-    for _ in range(EXTRA):
+    every = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c") / 2)).first()[0] or 0.0
+    lists, table, short = None, 0, 1.0
+    while True:
+        tried, fresh = TABLES * n * WINDOW * WINDOW / STRIDE, lists
         for _ in range(TABLES):
             new = _start(nodes, table, parts)
-            lists = new if lists is None else lists.union(new)
+            fresh = new if fresh is None else fresh.union(new)
             table += 1
-        lists = store.cut(_top(lists), "lists")
+        before, lists = lists, store.cut(_top(fresh), "lists")
+        if before is not None:
+            store.drop(before, comp, crossing, degree)
         for _ in range(ROUNDS):
             before, lists = lists, store.cut(_top(lists.union(_descend(lists, nodes, parts))), "lists")
             changed = lists.join(before, ["u", "v"], "left_anti").count()
             store.drop(before)
+            tried += n * (2 * K) ** 2 / 2
             if changed <= SETTLED * K * n:
                 break
         links = lists.where(F.col("sim") >= threshold).select("u", "v")
@@ -294,6 +332,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         full = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("c")).where((F.col("worst") >= threshold) & (F.col("c") == K))
         crossing = store.cut(_crossing(nodes.join(comp, "node").join(full.select(F.col("u").alias("node")), "node"), threshold), "crossing")
         if crossing.limit(1).count():
+            store.drop(comp)
             comp = store.cut(components(links.union(crossing), store), "components")
         grown = comp.join(full, comp.node == full.u).select("component").distinct()
         whole = nodes.join(comp, "node").join(grown, "component")
@@ -305,6 +344,13 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         log.info("nn-descent: %d nodes, %d projections, audited recall %.4f", n, table, recall)
         if recall >= RECALL:
             break
+        last, short = short, 1 - recall
+        if short >= last or tried * np.log((1 - RECALL) / short) / np.log(short / last) >= every:
+            log.warning("nn-descent: recall %.4f is below %.2f; all %.0f pairs of the labels are compared", recall, RECALL, every)
+            met = store.cut(_degrees(nodes, threshold, ("label", "dim"), links=True), "met")
+            comp = store.cut(components(met.where("v is not null").select("u", "v"), store), "components")
+            degree = met.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("degree"))
+            break
     of = nodes.join(degree, "node", "left").join(comp, "node", "left")
     of = of.select("label", "vector", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     good = rows.where("ok").join(of, ["label", "vector"]).select("vec_id", "n_links", "component_id")

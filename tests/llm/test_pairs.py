@@ -164,6 +164,36 @@ def test_links_of_saturated_families(spark, caplog):
     assert [r.args[1] for r in caplog.records] == [nn_descent.TABLES]  # no audit failed
 
 
+@pytest.mark.parametrize(("pairs", "every"), [(12, True), (40, False)])
+def test_links_when_the_audit_fails(spark, monkeypatch, caplog, pairs, every):
+    """Short windows without a descent miss links: projections go on, or all pairs are compared."""
+    for name, value in (("TABLES", 1), ("WINDOW", 4), ("STRIDE", 2), ("ROUNDS", 0), ("TILE", 32)):
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(12)
+    data = []
+    for i in range(pairs):
+        x, noise = rng.standard_normal((2, 32))
+        for j in (0, 1):
+            data.append((2 * i + j, 0, [float(v) for v in x + j * 0.3 * noise]))
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")
+    with caplog.at_level("INFO", logger="loomtext.llm.nn_descent"):
+        got = sorted(map(tuple, nn_descent.link(df).collect()), key=str)
+    want = brute_vectors(data)
+    audits = [r.args[2] for r in caplog.records if r.levelname == "INFO"]
+    assert audits[0] < nn_descent.RECALL and any(r.levelname == "WARNING" for r in caplog.records) == every
+    assert got == want
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (30, 30), (40, 20)):
+        near = rng.random((n, m)) < 0.04
+        rows, cols = np.arange(n), np.arange(100, 100 + m)
+        nodes = [*rows.tolist(), *cols.tolist()]
+        u, v = nn_descent._forest(near, rows, cols)
+        assert merged(nodes, zip(u.tolist(), v.tolist(), strict=True)) == merged(nodes, [(int(rows[a]), int(cols[b])) for a, b in zip(*np.nonzero(near), strict=True)])
+
+
 def test_links_of_nothing(spark):
     assert nn_descent.link(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
