@@ -19,6 +19,7 @@ part them. Documents are therefore first dealt to regions they can share with a
 * A cell's members are compared exactly, tile by tile; only links that join components leave a task. In cells of more
   than ``LIMIT`` members, those within the radius of their pivots are joined first and need no comparisons among
   themselves; the others are compared region by region.
+* Where links are asked for, all members of each cell are compared, also of large ones, and counted by class.
 * Regions of more than ``LIMIT`` members are dealt again, by other hashes, into regions within them, and so on: a linked
   pair meets again on every level, while documents that only share the slice part.
 
@@ -433,6 +434,21 @@ def _windows(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
 
 
+def _linked(own: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each two of the sets link."""
+    n = np.array([len(s) for s in own])
+    _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = often > 1  # only these can be in two sets
+    rows_of, cols_of = np.repeat(np.arange(len(own)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    same, block = np.zeros((len(own), len(own)), np.float32), 4096
+    for lo in range(0, int(shared.sum()), block):  # a dense block of shingles at a time
+        hit = (cols_of >= lo) & (cols_of < lo + block)
+        x = np.zeros((len(own), block), np.float32)
+        x[rows_of[hit], cols_of[hit] - lo] = 1
+        same += x @ x.T
+    return 100 * same >= percent * (n[:, None] + n[None, :] - same)
+
+
 def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact links (a, b) between different labels, enough to join all labels that links join, tile by tile.
 
@@ -444,17 +460,7 @@ def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         t, rep, label = (table.column(c).to_numpy() for c in ("t", "rep", "label"))
         own = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
-        n = np.array([len(s) for s in own])
-        _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        shared = often > 1  # only these can be in two sets
-        rows_of, cols_of = np.repeat(np.arange(len(own)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
-        same, block = np.zeros((len(own), len(own)), np.float32), 4096
-        for lo in range(0, int(shared.sum()), block):  # a dense block of shingles at a time
-            hit = (cols_of >= lo) & (cols_of < lo + block)
-            x = np.zeros((len(own), block), np.float32)
-            x[rows_of[hit], cols_of[hit] - lo] = 1
-            same += x @ x.T
-        linked = (100 * same >= percent * (n[:, None] + n[None, :] - same)) & (label[:, None] != label[None, :])
+        linked = _linked(own, percent) & (label[:, None] != label[None, :])
         u, v = np.nonzero(np.triu(linked, 1))
         if table.column("i")[0].as_py() != table.column("j")[0].as_py():
             u, v = u[t[u] != t[v]], v[t[u] != t[v]]
@@ -463,6 +469,36 @@ def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
 
 
+def _degrees(cells: DataFrame, sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """``h1, degree``: linked copies of other classes, for every class in ``cells``, tile by tile.
+
+    ``copies`` (h1, copies) are documents of a class. No link crosses cells, so each pair is counted in one region only.
+    """
+
+    def named(batches):
+        for batch in batches:
+            n, h1, _ = set_marks([np.frombuffer(x, U) for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1), pa.array(n), batch.column(1)], names=["rep", "h1", "n", "shingles"])
+
+    # Classes may share a rep, as ids may repeat.
+    rows = sets.mapInArrow(named, "rep long, h1 long, n long, shingles binary").dropDuplicates(["h1"]).join(copies, "h1").join(cells, "rep")
+    rows = rows.select(F.col("cell").alias("region"), F.col("h1").alias("rep"), "n", "copies", "shingles")
+    size = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingled"))
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingled") / TILE_SHINGLES)).cast("int")
+    dealt = _tiled(rows.join(size, "region").select("region", "rep", F.col("copies").alias("label"), tiles.alias("tiles")))
+    dealt = dealt.join(rows.select("rep", "shingles"), "rep").select("region", "i", "j", "rep", F.col("label").alias("copies"), "t", "shingles")
+
+    def meet(table: pa.Table) -> pa.Table:
+        t, rep, copies = (table.column(c).to_numpy() for c in ("t", "rep", "copies"))
+        linked = _linked([np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], percent)
+        np.fill_diagonal(linked, False)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            linked &= t[:, None] != t[None, :]
+        return pa.table({"h1": rep, "degree": linked @ copies})
+
+    return dealt.groupBy("region", "i", "j").applyInArrow(meet, "h1 long, degree long").groupBy("h1").agg(F.sum("degree").alias("degree"))
+
+
 def _shingled(members: DataFrame, light: DataFrame) -> DataFrame:
     """Members with their region's number of shingles."""
     total = members.join(light.select("rep", "n"), "rep").groupBy("region").agg(F.sum("n").alias("shingled"))
@@ -482,8 +518,12 @@ def _across(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return _may_link(pairs, light, percent).union(_windows(left.where(f"size > {SMALL}"), light, percent)).distinct()
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document (links as defined above)."""
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document (links as defined above).
+
+    With ``links`` also ``n_links``: the other documents it links with, copies included; all pairs of a cell are compared.
+    """
+    counted = links
     spark = df.sparkSession
     store = Store(spark, "jaccard")
     docs = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"))
@@ -533,4 +573,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
 
     of = classes.select("h1", "h2", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = marks.join(of, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    cols = ["doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")]
+    if counted:
+        copies = linkable.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+        degree = _degrees(cells, sets, copies.select("h1", "copies"), percent)
+        own = store.cut(copies.join(degree, "h1", "left").select("h1", "h2", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links")), "counts")
+        out = out.join(own, ["h1", "h2"], "left")
+        cols.append(F.when(alone, 0).otherwise(F.col("links")).cast("long").alias("n_links"))
+    return out.select(*cols)

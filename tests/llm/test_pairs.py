@@ -71,6 +71,21 @@ def test_jaccard_join_of_large_regions(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute_join(data, 4, 85)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_links(spark, monkeypatch, small):
+    for name, value in (("SMALL", 3), ("TILE", 8), ("LIMIT", 30), ("TILE_SHINGLES", 600)) if small else ():
+        monkeypatch.setattr(jaccard_join, name, value)
+    data = corpus(5, 150)
+    data += [(0, data[-1][1], "again"), (0, data[-2][1], "again"), (7, data[19][1], "same"), (None, data[19][1], "null"), (2000, data[19][1], "copy")]
+    df = spark.createDataFrame(data, "doc_id long, text string, rep string")
+    got = jaccard_join.join(df, links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    sets = [(d, shingle_set(t, 4)) for d, t, _ in data]
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 85 * len(a | b)
+    want = [(d, len(a), 0 if d is None else sum(j != i and e is not None and near(a, b) for j, (e, b) in enumerate(sets))) for i, (d, a) in enumerate(sets)]
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
