@@ -8,10 +8,10 @@ is again valid (Luhn digits, calendar dates, octets, area codes). No table of va
 | kind | validation | what is permuted |
 |-|-|-|
 | card | 13 to 19 digits, Luhn | all digits but the first; the check digit is made anew |
-| phone | North American plan: area and exchange from 200 on | area, exchange and line |
+| phone | ten digits as area, exchange and line, with or without 1 | area, exchange and line; in the North American plan (area and exchange from 200 on) and outside it, each within itself |
 | ssn | area 001-899 but 666, group and serial not zero | area, group and serial |
 | date | a day of the calendar from 1800 to 2199: Y-M-D, D-M-Y or M-D-Y with - / or ., or an English month's name | the day, within these 400 years |
-| iban | two letters, check digits, 11 to 30 more; remainder 1 modulo 97 | letters and digits of the account, each within its class; the check digits are made anew |
+| iban | two letters, check digits, 11 to 30 more; remainder 1 modulo 97 (others with more letters, all hexadecimal, are secrets) | letters and digits of the account, each within its class; the check digits are made anew |
 | ip | four octets | all 32 bits |
 | email | local part of up to 64 characters | letters and digits of the local part, each within its class |
 | secret | access keys and hexadecimal strings from 16 digits on | letters and digits but a key's prefix, each within its class |
@@ -30,17 +30,19 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: Patterns of the kinds, in order of precedence.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A word that an account number's pattern takes in though it is a hexadecimal string.
+HEX = r"(?<![^ ])(?=[0-9]*[A-F][A-F0-9]*[0-9][0-9]*[A-F])[0-9A-F]{16,}(?![^ ])"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "day": rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} (?:{MONTHS}),? [0-9]{{4}}|(?:{MONTHS}) [0-9]{{1,2}},? [0-9]{{4}})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,128})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,128})(?![0-9A-Za-z])",
 }
 
 
@@ -127,7 +129,16 @@ def _phone(v: Column, key: str) -> Column:
         value = ((area - 200) * 800 + exch - 200) * 10000 + line
         moved = _with(feistel(F.floor(value / 80000), value % 80000, 80000, 80000, key, "phone"), lambda p: p["x"] * 80000 + p["y"])
         back = _with(moved, lambda z: F.concat((F.floor(z / 8000000) + 200).cast("string"), (F.floor(z / 10000) % 800 + 200).cast("string"), _pad(z % 10000, 4)))
-        return _refill(v, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), back))
+        # Outside the plan: 200 areas with 1000 exchanges, 800 with 200; with lines these are 60000 * 60000.
+        other = F.when(area < 200, area * 1000 + exch).otherwise(200000 + (area - 200) * 200 + exch) * 10000 + line
+        shifted = _with(feistel(F.floor(other / 60000), other % 60000, 60000, 60000, key, "phone outside"), lambda p: p["x"] * 60000 + p["y"])
+
+        def write(z: Column) -> Column:
+            n = F.floor(z / 10000)
+            return F.concat(F.when(n < 200000, _pad(n, 6)).otherwise(F.concat((F.floor((n - 200000) / 200) + 200).cast("string"), _pad(n % 200, 3))), _pad(z % 10000, 4))
+
+        moved10 = F.when((area >= 200) & (exch >= 200), back).otherwise(_with(shifted, write))
+        return _refill(v, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), moved10))
 
     return _with(_digits(v), make)
 
@@ -210,10 +221,18 @@ def _iban(v: Column, key: str) -> Column:
             whole = F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
             return _with(whole, lambda w: _spaced(v, w))
 
-        fine = F.length(s).between(15, 34) & (_mod97(F.concat(account, land, F.substring(s, 3, 2))) == 1)
-        return F.when(fine, _with(_letters(account, key, "iban"), write)).otherwise(v)
+        words = F.array_join(F.transform(F.split(v, " "), lambda w: F.when(w.rlike(HEX), _secret(w, key)).otherwise(w)), " ")
+        return F.when(_is_iban(s), _with(_letters(account, key, "iban"), write)).when(v.rlike(HEX), words).otherwise(v)
+
+    return _with(_compact(v), make)
+
+
+def _compact(v: Column) -> Column:
+    return F.replace(v, F.lit(" "), F.lit(""))
+
 
-    return _with(F.replace(v, F.lit(" "), F.lit("")), make)
+def _is_iban(s: Column) -> Column:
+    return F.length(s).between(15, 34) & (_mod97(F.concat(F.substring(s, 5, 40), F.substring(s, 1, 4))) == 1)
 
 
 def _spaced(shape: Column, text: Column) -> Column:
@@ -239,7 +258,7 @@ def _ip(v: Column, key: str) -> Column:
 
 def _letters(s: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
     """Permute letters and digits, each within its class, by a Feistel over the two halves of a string."""
-    classes = [("0", 10), ("a", 6 if hexadecimal else 26), ("A", 26)]
+    classes = [("0", 10), ("a", 6 if hexadecimal else 26), ("A", 6 if hexadecimal else 26)]
 
     def shift(half: Column, other: Column, i: Column) -> Column:
         stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.lit(j), other), 256) for j in "ab"])
@@ -278,7 +297,8 @@ def kind_of(v: Column) -> Column:
     """The kind of a found value; patterns are tried in their order of precedence."""
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        out = F.when(v.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
+        name = F.when(v.rlike(HEX) & ~_is_iban(_compact(v)), "secret").otherwise(kind) if kind == "iban" else F.lit(kind)
+        out = F.when(v.rlike(f"^(?:{KINDS[kind]})$"), name).otherwise(out)
     return out
 
 

@@ -49,6 +49,27 @@ def test_pseudonyms(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymize(df, "other").collect()}[0] != got[0].text
 
 
+def test_pseudonyms_of_other_phones_and_capital_hexadecimals(spark):
+    phones = ["+1 (017) 555-7713", "017-555-7713", "199 999 9999", "000.000.0000", "200-199-0000", "999-000-9999"]
+    secrets = ["9233A8EC" * 5, "AB12CDEF01234567", "AB12CDEF01234567 AA11BB22CC33DD44", "9233a8EC9233A8ec", "9233a8ec9233a8ec"]
+    values = phones + secrets + ["988-555-2485"]
+    df = spark.createDataFrame([(i, f'TOKEN = "{v}"') for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "key", found="found").collect()}
+    shape = lambda s: re.sub("[A-F]", "A", re.sub("[a-f]", "a", re.sub("[0-9]", "9", s)))
+    new = {}
+    for i, v in enumerate(values):
+        (one,) = got[i].found
+        new[v] = one.pseudonym
+        assert got[i].text == f'TOKEN = "{one.pseudonym}"' and one.value == v and one.kind == ("secret" if v in secrets else "phone")
+        assert all(a != b for a, b in zip(v.split(" "), one.pseudonym.split(" "), strict=True) if len(a) > 8) and one.pseudonym != v and shape(one.pseudonym) == shape(v), v
+    digits = lambda s: re.sub("[^0-9]", "", s)[-10:]
+    assert digits(new["+1 (017) 555-7713"]) == digits(new["017-555-7713"])
+    inside = lambda s: digits(s)[0] >= "2" and digits(s)[3] >= "2"
+    assert [inside(new[p]) for p in phones] == [False] * 6 and inside(new["988-555-2485"])
+    many = spark.range(4000).select(F.format_string("%03d-%03d-%04d", F.col("id") % 1000, (F.col("id") / 20).cast("long"), F.col("id")).alias("text"))
+    assert pii.pseudonymize(many, "key").distinct().count() == 4000
+
+
 @pytest.mark.parametrize(("a", "b"), [(189, 773), (10, 10), (1, 7), (80000, 80000)])
 def test_feistel_is_a_bijection(spark, a, b):
     n = min(a * b, 3000)
