@@ -27,10 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; documents without words or id all stay."""
+    """The row with the smallest id of each component, null ids last; rows without words all stay.
+
+    Ids may be null or repeated, so rows are joined by a number of their own, written with them as it must not change.
+    """
     ship(spark)
-    found = jaccard_join.join(docs, k=WORDS, percent=PERCENT).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs.doc_id == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows = Store(spark, "near").cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.join(rows, key="__row", k=WORDS, percent=PERCENT).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")
+    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(first).select("__row")
+    gone = rows.select("__row").join(kept, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def hide_numbers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,6 +263,17 @@ def test_pipeline(spark, tmp_path):
     assert got == {d: [*ids(t or "").tolist(), 1] for d, t in kept[2].items()}
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """One row of each class stays, whatever the ids."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = [(1, a), (1, a), (2, a), (3, b), (3, a), (None, c), (None, c), (None, a), (5, d), (4, d + " end"), (None, None), (6, ""), (6, "")]
+    df = spark.createDataFrame([(*r, "en") for r in docs], "doc_id long, text string, lang string").repartition(3)
+    got = pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (3, b), (None, c), (4, d + " end"), (None, None), (6, ""), (6, "")], key=str)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85])
 def test_windows_never_miss_and_part_the_unrelated(percent):
     rng = np.random.default_rng(percent)
