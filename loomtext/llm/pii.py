@@ -16,25 +16,35 @@ is again valid (Luhn digits, calendar dates, octets, area codes). No table of va
 | email | local part of up to 64 characters | letters and digits of the local part, each within its class |
 | secret | access keys and hexadecimal strings from 16 digits on | letters and digits but a key's prefix, each within its class |
 
-Edge cases: null text stays null and empty text empty; values that fail validation stay; separators, case and all
-other text stay; columns besides the text pass through, names of our own columns may clash as they are replaced.
+Edge cases: null text stays null and empty text empty; values that fail validation stay and aren't listed as found;
+separators, case and all other text stay; columns besides the text pass through, names of our own columns may clash as
+they are replaced; repeated rows get the same pseudonyms; an empty table gives an empty table. A very long text is one
+row and must fit its task; no pattern recurses or goes back over a run of any length, so it takes linear time and a
+bounded stack.
+
+The key reaches the plan as a literal made from it by SHA-256. ``REDACT`` is set as the session's
+``spark.sql.redaction.string.regex`` where that is unset, so plans and event logs don't show it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+MARK = "loomtext-key-"
+#: What shows the key in a plan.
+REDACT = MARK + "[0-9a-f]{64}"
 #: Patterns of the kinds, in order of precedence.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: A word that an account number's pattern takes in though it is a hexadecimal string.
 HEX = r"(?<![^ ])(?=[0-9]*[A-F][A-F0-9]*[0-9][0-9]*[A-F])[0-9A-F]{16,}(?![^ ])"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "day": rf"(?<![0-9A-Za-z])(?:[0-9]{{1,2}} (?:{MONTHS}),? [0-9]{{4}}|(?:{MONTHS}) [0-9]{{1,2}},? [0-9]{{4}})(?![0-9A-Za-z])",
@@ -117,7 +127,7 @@ def _card(v: Column, key: str) -> Column:
         x, y = _number(F.substr(d, F.lit(2), u)), _number(F.substr(d, u + 2, n - u))
         moved = _with(feistel(x, y, _pow10(u), _pow10(n - u), key, "card"), lambda p: F.concat(F.substr(d, F.lit(1), F.lit(1)), _pad(p["x"], u), _pad(p["y"], n - u)))
         whole = _with(moved, lambda m: F.concat(m, ((F.lit(10) - _luhn_sum(m, True) % 10) % 10).cast("string")))
-        return F.when(_luhn_sum(d, False) % 10 == 0, _refill(v, whole)).otherwise(v)
+        return F.when(_luhn_sum(d, False) % 10 == 0, _refill(v, whole))
 
     return _with(_digits(v), make)
 
@@ -152,7 +162,7 @@ def _ssn(v: Column, key: str) -> Column:
         a = F.floor(p["x"] / 99) + 1
         return F.concat_ws("-", _pad(F.when(a >= 666, a + 1).otherwise(a), 3), _pad(p["x"] % 99 + 1, 2), _pad(p["y"] + 1, 4))
 
-    return F.when(ok, _with(feistel(x, serial - 1, 898 * 99, 9999, key, "ssn"), make)).otherwise(v)
+    return F.when(ok, _with(feistel(x, serial - 1, 898 * 99, 9999, key, "ssn"), make))
 
 
 def _moved_day(d: Column, key: str) -> Column:
@@ -186,7 +196,7 @@ def _date(v: Column, key: str) -> Column:
             ends = F.when(dmy.isNotNull(), F.concat(part(0, F.dayofmonth(z)), sep, part(1, F.month(z)))).otherwise(F.concat(part(0, F.month(z)), sep, part(1, F.dayofmonth(z))))
             return F.when(year_first, F.concat(ymd[0], sep, ymd[1], sep, ymd[2])).otherwise(F.concat(ends, sep, F.year(z).cast("string")))
 
-        return _with(day, lambda d: F.when(_known(d), _with(_moved_day(d, key), write)).otherwise(v))
+        return _with(day, lambda d: F.when(_known(d), _with(_moved_day(d, key), write)))
 
     return _with(F.split(v, "[-/.]"), make)
 
@@ -204,7 +214,7 @@ def _day(v: Column, key: str) -> Column:
         number = F.when(F.length(F.get(rest, F.lit(0))) == 2, F.lpad(number, 2, "0")).otherwise(number)
         return F.concat(F.when(first, F.concat_ws(" ", number, month)).otherwise(F.concat_ws(" ", month, number)), F.when(comma, ", ").otherwise(" "), F.year(z).cast("string"))
 
-    return _with(day, lambda d: F.when(_known(d), _with(_moved_day(d, key), write)).otherwise(v))
+    return _with(day, lambda d: F.when(_known(d), _with(_moved_day(d, key), write)))
 
 
 def _mod97(s: Column) -> Column:
@@ -221,8 +231,7 @@ def _iban(v: Column, key: str) -> Column:
             whole = F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
             return _with(whole, lambda w: _spaced(v, w))
 
-        words = F.array_join(F.transform(F.split(v, " "), lambda w: F.when(w.rlike(HEX), _secret(w, key)).otherwise(w)), " ")
-        return F.when(_is_iban(s), _with(_letters(account, key, "iban"), write)).when(v.rlike(HEX), words).otherwise(v)
+        return _with(_letters(account, key, "iban"), write)
 
     return _with(_compact(v), make)
 
@@ -290,42 +299,56 @@ def _secret(v: Column, key: str) -> Column:
     return F.when(v.startswith("AKIA"), F.concat(F.lit("AKIA"), _letters(F.substring(v, 5, 1000), key, "key"))).otherwise(_letters(v, key, "hex", True))
 
 
-MAKERS = {"email": _email, "ip": _ip, "date": _date, "day": _day, "iban": _iban, "phone": _phone, "ssn": _ssn, "card": _card, "secret": _secret}
+def _words(v: Column, key: str) -> Column:
+    """What an account number's pattern found, but whose words are hexadecimal strings."""
+    return F.array_join(F.transform(F.split(v, " "), lambda w: F.when(w.rlike(HEX), _secret(w, key)).otherwise(w)), " ")
+
+
+MAKERS = {"email": _email, "ip": _ip, "date": _date, "day": _day, "iban": _iban, "phone": _phone, "ssn": _ssn, "card": _card, "secret": _secret, "words": _words}
 
 
 def kind_of(v: Column) -> Column:
     """The kind of a found value; patterns are tried in their order of precedence."""
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        name = F.when(v.rlike(HEX) & ~_is_iban(_compact(v)), "secret").otherwise(kind) if kind == "iban" else F.lit(kind)
+        name = F.when(_is_iban(_compact(v)), kind).when(v.rlike(HEX), "words") if kind == "iban" else F.lit(kind)
         out = F.when(v.rlike(f"^(?:{KINDS[kind]})$"), name).otherwise(out)
     return out
 
 
 def pseudonym(v: Column, key: str) -> Column:
-    """The pseudonym of a found value; the value itself where it isn't valid."""
-    out = v
-    for kind in reversed(KINDS):
-        out = F.when(v.rlike(f"^(?:{KINDS[kind]})$"), MAKERS[kind](v, key)).otherwise(out)
-    return out
+    """struct<kind, value, pseudonym> of a found value; the pseudonym is null where the value isn't valid."""
+
+    def made(kind: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for name, make in MAKERS.items():
+            new = F.when(kind == name, make(v, key)).otherwise(new)
+        return F.struct(F.when(kind == "words", "secret").otherwise(kind).alias("kind"), v.alias("value"), new.alias("pseudonym"))
+
+    return _with(kind_of(v), made)
 
 
 def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
-    """Replace ``text``; with ``found`` add array<struct<kind, value, pseudonym>> in order of occurrence."""
+    """Replace ``text``; with ``found`` add array<struct<kind, value, pseudonym>> of the valid values in order of occurrence."""
     cols = df.columns
+    conf = df.sparkSession.conf
+    if not conf.get("spark.sql.redaction.string.regex", None):
+        conf.set("spark.sql.redaction.string.regex", REDACT)
+    secret = MARK + hashlib.sha256(key.encode()).hexdigest()
     mark = "__pii"
     while any(c.startswith(mark) for c in cols):
         mark += "_"
+    # Texts without any digit or at-sign hold none of the kinds.
     values = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(_any()), F.lit(0)))
     old, fresh = f"{mark}_values", f"{mark}_new"
     out = df.withColumn(old, values)
-    out = out.withColumn(fresh, F.transform(old, lambda v: pseudonym(v, key)))
+    out = out.withColumn(fresh, F.transform(old, lambda v: pseudonym(v, secret)))
     gaps = F.split(F.col(text), _any(), -1)
-    made = F.array_join(F.zip_with(gaps, F.col(fresh), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    made = F.array_join(F.zip_with(gaps, F.col(fresh), lambda a, b: F.concat(a, F.coalesce(b["pseudonym"], b["value"], F.lit("")))), "")
     new = F.when(F.size(fresh) > 0, made).otherwise(F.col(text))
     names = [new.alias(text) if c == text else F.col(c) for c in cols if c != found]
     if found:
-        names.append(F.coalesce(F.zip_with(old, fresh, lambda v, p: F.struct(kind_of(v).alias("kind"), v.alias("value"), p.alias("pseudonym"))), F.array()).alias(found))
+        names.append(F.coalesce(F.filter(fresh, lambda x: x["pseudonym"].isNotNull()), F.array()).alias(found))
     return out.select(*names)
 
 
