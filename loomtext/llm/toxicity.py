@@ -7,12 +7,17 @@ sigmoid(theta_j - w.x) with theta_0 < theta_1 < ...; the expected severity is th
 
 Grades come from the labels: from their column ``grade`` if they have one. Otherwise a clean document has grade 0, and
 toxic ones have 1, 2 or 3 by thirds of their evidence, the number of features that are at least ``ODDS`` times as common
-in toxic as in clean documents of the sample. The model is fitted on a bounded sample of
-labelled rows, ``SAMPLE`` at most, those with the smallest hash of their id; everything is scored, as a whole text.
+in toxic as in clean documents of the sample. These thirds are evidence from the features that the model weighs, so
+their scale is the model's own; a severity that means something else needs labels with grades. The model is fitted on a
+bounded sample of labelled rows, ``SAMPLE`` labels (those with the smallest hash of their id) and ``SAMPLE`` rows of
+``SAMPLE_BYTES`` at most in all (those with the smallest hash of their features, where ids repeat); everything is scored,
+as a whole text.
 
 Edge cases: null and empty texts have no features and get the severity of the thresholds alone; labels that are null or
 belong to no document are not used; with no toxic or no clean label in the sample nothing is learned and no text is
-rejected; repeated labels of a document count as often as they occur; extra columns pass through.
+rejected; repeated labels of a document count as often as they occur, as do repeated rows of a labelled id, within the
+sample's bounds; extra columns pass through, those named like a result are replaced; an empty table gives an empty table.
+A very long text is one row and must fit its task, with about 60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +34,8 @@ from .arrowtext import U, slices, tokens, utf8
 
 BITS, SAMPLE, MIN_DF, RIDGE, ODDS, CHI = 22, 8192, 3, 0.05, 20, 8.0
 PREFIXES = (4, 5)
+#: Bytes of features that reach the driver at most, beside 12 for each row.
+SAMPLE_BYTES = 256 << 20
 #: P(grade > 0) from which a document is rejected.
 REJECT = 0.5
 
@@ -174,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = labels.select(F.col(key).alias("__id"), grade.cast("int").alias("grade")).where("__id is not null and grade is not null")
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "grade").limit(sample)
     rows = docs.select(docs[key].alias("__key"), docs[text].alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select(F.col("__text").cast("string").alias("text"), "grade")
-    got = _feature_lists(rows).collect()
+    lists = _feature_lists(rows).withColumn("h", F.xxhash64("features")).orderBy("h", "features", "grade").limit(sample)
+    upto = F.sum(F.octet_length("features")).over(Window.orderBy("h", "features", "grade").rowsBetween(Window.unboundedPreceding, 0))  # of ``sample`` rows
+    got = lists.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("features", "grade").collect()
     lists = [np.frombuffer(r.features, np.int32) for r in got]
     grades = np.array([r.grade for r in got], np.int64)
     if not graded:
