@@ -9,13 +9,17 @@ The permutations are ``h -> h XOR mask_j`` on one random hash, so the ``L`` smal
 sorted hashes; each text is sorted once, whatever ``M`` is.
 
 Edge cases: null text counts as empty; a text shorter than ``K`` is one k-mer; fewer than ``L`` k-mers: all of them;
-two empty texts are alike (1.0), an empty and another text are not (0.0). Equal texts have equal fingerprints.
+two empty texts are alike (1.0), an empty and another text are not (0.0). Equal texts have equal fingerprints. Rows that
+repeat an id, or have none, are ordered by a hash of their text and then by the text; each is a row of its own, and they
+may be spread over many tasks. Columns besides the two that are named aren't read; an empty table gives an empty table. A
+very long text is one row and must fit its task, with about 60 bytes for each of its characters.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,10 @@ from .arrowtext import U, mix
 
 K, L, M = 8, 2, 64
 _BITS, _POS = 40, U(24)
+#: From this many k-mers on, positions no longer fit beside the hash in one word.
+PACKED = 1 << 24
+#: Bytes of text that one task of the walk over all rows is dealt, about.
+TASK_BYTES = 64 << 20
 _MASKS = mix(np.arange(1, M + 1, dtype=U), 11) >> _POS
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = (1 << 64) - 1
@@ -52,7 +60,7 @@ def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the occurrence-numbered k-mers in ascending order, and their positions."""
     n = len(h)
     pos = np.arange(n, dtype=U)
-    if n >= 1 << 24:  # positions no longer fit beside the hash in one word
+    if n >= PACKED:
         order = np.argsort(h, kind="stable")
         hs, pos = h[order], pos[order]
     else:
@@ -64,7 +72,7 @@ def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.concatenate(([True], ~same))
         nth = (at - np.maximum.accumulate(np.where(starts, at, 0))).astype(U)
         hs = np.where(nth > 0, mix(hs + nth * U(0xC2B2AE3D27D4EB4F), 5) >> _POS, hs)
-        if n >= 1 << 24:
+        if n >= PACKED:
             order = np.argsort(hs, kind="stable")
             hs, pos = hs[order], pos[order]
         else:
@@ -128,49 +136,74 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else likeness(from_text(x), from_text(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def with_next(df: DataFrame, key: str, text: str, visit: Callable[[Iterator[tuple], Iterator[tuple]], pa.RecordBatch], schema: T.StructType, parts: int | None = None) -> DataFrame:
+def _cuts(df: DataFrame, parts: int, nulls: int, total: int) -> list[tuple]:
+    """The buckets' upper ends in the order of the walk, as (key, share of that key's hashes); the last one is open.
+
+    A key that is several of the quantiles has as many buckets, cut by the hash of the text; so have null keys.
+    """
+    found = df.stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if total > nulls and parts > 1 else []
+    # Quantiles are doubles; of the keys that round to a hot one the most frequent is meant.
+    rounded = [c for c in set(found) if abs(c) >= 1 << 53 and found.count(c) > 1]
+    exact = {}
+    if rounded:
+        near = df.select("k", F.col("k").cast("double").alias("c")).where(F.col("c").isin(rounded)).groupBy("c", "k").count()
+        exact = {r.c: r.k for r in near.groupBy("c").agg(F.max_by("k", F.struct("count", "k")).alias("k")).collect()}
+    found = [exact[c] if c in exact else min(int(c), (1 << 63) - 1) for c in found]
+    out: list[tuple] = []
+    for k, same in groupby(sorted(found, reverse=True)):
+        n = len(list(same))
+        # Greater keys and, of a hot key, one share after the other; else the key itself begins the next bucket.
+        out += [(k, i / n) for i in range(n)] + ([(k, 1.0)] if n > 1 else [])
+    many = -(-nulls * parts // total) if total else 0
+    return out + [(None, i / many) for i in range(many)]
+
+
+def with_next(df: DataFrame, key: str, text: str, visit: Callable[[list[tuple]], pa.RecordBatch], schema: T.StructType, parts: int | None = None) -> DataFrame:
     """Walk the rows by descending integer ``key`` (nulls last, ties by text), each with the row after it; the last row's is the first.
 
-    The key's range is cut at approximate quantiles into buckets, one task each. The row that follows a bucket is the
-    first row of the next bucket that has rows; it is sent along as a guest, so rows and texts are shuffled once.
-    ``visit`` gets (key, text) rows in pairs and makes a record batch. What the driver collects is two numbers a bucket.
+    The walk is cut at approximate quantiles into buckets of about ``TASK_BYTES`` of text, one task each. The row that
+    follows a bucket is the first row of the next bucket that has rows; it is sent along as a guest, so rows and texts are
+    shuffled once. ``visit`` gets (row, next row) pairs of (key, text) and makes a record batch. What the driver collects
+    is a few numbers a bucket.
     """
     spark = df.sparkSession
     df = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(df.stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    edges = np.array([int(c) for c in cuts], np.int64)
-    last = len(edges)  # buckets from 0 (largest keys) to last (smallest keys, then nulls)
+    seen = df.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNull()), F.sum(F.octet_length("t"))).first()
+    if not seen[0]:
+        return spark.createDataFrame([], schema)
+    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen[2] // TASK_BYTES))
+    cuts = _cuts(df, parts, seen[1], seen[0])
+    hot = sorted({k for k, share in cuts if share > 0 and k is not None})
+    # Bucket i ends where the first i + 1 cuts begin: ranks of the cuts' keys in descending order, nulls last.
+    keys = np.array(sorted({~k for k, _ in cuts if k is not None}), np.int64)
+    place = lambda k: len(keys) if k is None else int(np.searchsorted(keys, ~k))
+    edges = np.array([2 * place(k) + 1 + share / 2 for k, share in cuts])
 
     @F.pandas_udf(T.IntegerType())
-    def bucket(k: pd.Series) -> pd.Series:
-        null = k.isna().to_numpy()
-        at = last - np.searchsorted(edges, k.fillna(0).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(null, last, at).astype("int32"))
-
-    heads = {r.b: r.k for r in df.select(bucket("k").alias("b"), "k").groupBy("b").agg(F.max("k").alias("k")).collect()}
-    if not heads:
-        return spark.createDataFrame([], schema)
+    def bucket(down: pd.Series, none: pd.Series, share: pd.Series) -> pd.Series:
+        down, null = down.to_numpy(), none.to_numpy()
+        at = np.searchsorted(keys, down)
+        equal = at < len(keys)
+        equal[equal] = keys[at[equal]] == down[equal]
+        rank = np.where(null, 2 * len(keys) + 1, 2 * at + equal) + np.where(null | equal, share.to_numpy() / 2, 0)
+        return pd.Series(np.searchsorted(edges, rank, side="right").astype("int32"))
+
+    h = F.when(F.col("k").isNull() | F.col("k").isin(hot), F.shiftrightunsigned(F.xxhash64("t"), 1)) if hot or seen[1] else F.lit(None).cast("long")
+    df = df.withColumn("h", h)
+    share = F.coalesce(F.shiftright("h", 10) / F.lit(float(1 << 53)), F.lit(0.0))
+    down, none = F.bitwise_not("k"), F.col("k").isNull()
+    df = df.withColumn("b", bucket(F.coalesce(down, F.lit(0)), none, share))
+    first = F.min(F.struct(none.alias("none"), down.alias("down"), "h"))
+    heads = {r.b: (r.f.down, r.f.h) for r in df.groupBy("b").agg(first.alias("f")).collect()}
     have = sorted(heads)
-    after = {b: have[(i + 1) % len(have)] for i, b in enumerate(have)}
-    # A row that heads bucket b also visits the bucket before it.
-    guest_in = {after[b]: b for b in have}
-    lookup = {(heads[b], b): guest_in[b] for b in have}
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(k: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(k.astype("Int64"), b, strict=True):
-            g = lookup.get((None if x is pd.NA else int(x), int(y)))
-            out.append([int(y)] if g is None else [int(y), -1 - g])
-        return pd.Series(out)
-
-    n = last + 1
-    dealt = df.withColumn("p", F.explode(places("k", bucket("k")))).select(
-        F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("b"), (F.col("p") < 0).alias("guest"), "k", "t"
-    )
-    dealt = dealt.repartitionById(n, F.col("b")) if hasattr(dealt, "repartitionById") else dealt.repartition(n, "b")
-    dealt = dealt.sortWithinPartitions("b", "guest", F.col("k").desc_nulls_last(), "t")
+    # A row that heads a bucket also visits the bucket before it.
+    rows = [(b, *heads[b], have[i - 1]) for i, b in enumerate(have)]
+    table = spark.createDataFrame(rows, "b int, head long, head_h long, before int")  # a row for each bucket
+    leads = down.eqNullSafe(F.col("head")) & F.col("h").eqNullSafe(F.col("head_h"))
+    to = F.explode(F.when(leads, F.array("b", -1 - F.col("before"))).otherwise(F.array("b"))).alias("p")
+    dealt = df.join(F.broadcast(table), "b").select(to, "k", "h", "t").select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("b"), (F.col("p") < 0).alias("guest"), "k", "t", "h")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("b"))
+    dealt = dealt.sortWithinPartitions("b", "guest", F.col("k").desc_nulls_last(), "h", "t")
 
     def run(batches):
         rows: list[tuple] = []
