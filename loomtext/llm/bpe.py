@@ -5,13 +5,15 @@ the tokenizers library with a byte-level BPE model can be named; its path is a p
 
 Edge cases: null text counts as empty (no ids, decodes to ""); the strings of added tokens are found as the library
 finds them; repeated rows and ties are encoded alike; an empty table gives an empty table; columns besides the text
-column pass through unchanged and an existing column of the output's name is replaced.
+column pass through unchanged and an existing column of the output's name is replaced. A very long text is one row and
+must fit its task, but is worked on in blocks of ``BLOCK`` characters, cut where no pre-token can cross; a single run
+without such a place, such as millions of spaces, is one pre-token and takes time n log n.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -24,12 +26,27 @@ from pyspark.sql import types as T
 
 from .arrowtext import utf8
 
-#: Pre-token results kept for each Python worker.
-CACHE = 400_000
+#: Pre-token results kept for each Python worker: entries, and the longest pre-token that is kept; some 100 MB at most.
+CACHE, CACHED = 400_000, 32
+#: Characters of a text that are split into pre-tokens at once.
+BLOCK = 1 << 16
 #: The published pre-tokenisation pattern of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: No pre-token goes on from something else into white space, and none looks back.
+_SAFE = regex.compile(r"(?<=\S)(?=\s)")
+
+
+def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+    """A text in parts of ``size`` characters or a little more, whose pre-tokens are those of the whole."""
+    at = 0
+    while len(text) - at > size and (m := _SAFE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -97,30 +114,32 @@ class Codec:
                     heappush(queue, (m[0], h, sym[h], made, m[1]))
         return tuple(s for s in sym if s >= 0)
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a block without added tokens; each new pre-token is encoded once."""
         cache, word = self.cache, self.word
         found = self.split_words.findall(text)
-        try:
-            return list(map(cache.__getitem__, found))
-        except KeyError:
-            if len(cache) > CACHE:
+        new = {w: word(w) for w in set(found).difference(cache)}
+        if new:
+            if len(cache) + len(new) > CACHE:
                 cache.clear()
-            for w in set(found).difference(cache):
-                cache[w] = word(w)
-            return list(map(cache.__getitem__, found))
+                new = {w: word(w) for w in set(found)}
+            cache.update((w, x) for w, x in new.items() if len(w) <= CACHED)
+            parts = [new[w] if w in new else cache[w] for w in found]
+        else:
+            parts = map(cache.__getitem__, found)
+        return np.fromiter(chain.from_iterable(parts), np.int32)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, as int32."""
+    def encode(self, text: str, ids: Callable[[str], np.ndarray] | None = None) -> np.ndarray:
+        """Ids of a text, as int32; ``ids`` may be another way to encode a block."""
+        ids = ids or self.ids
+        parts, at = [], 0
         if self.split_added and any(s in text for s in self.added):
-            parts, at = [], 0
             for m in self.split_added.finditer(text):
-                parts += self._plain(text[at : m.start()])
-                parts.append((self.added[m.group()],))
+                parts += map(ids, blocks(text[at : m.start()]))
+                parts.append(np.array([self.added[m.group()]], np.int32))
                 at = m.end()
-            parts += self._plain(text[at:])
-        else:
-            parts = self._plain(text)
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        parts += map(ids, blocks(text[at:] if at else text))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The vocabulary strings of ids, concatenated."""

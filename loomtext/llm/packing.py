@@ -5,7 +5,9 @@ piece for each lower binary digit that is set, longest first. Pieces of one leng
 sequence of its own in that bucket, so batches drawn from a bucket are rectangular and need no padding or masks.
 
 Edge cases: null text counts as empty and has the closing id alone; equal documents make equal pieces under their own
-sequence ids; an empty table has no pieces; an id column with nulls or repeats is passed through as it is.
+sequence ids; an empty table has no pieces; an id column with nulls or repeats is passed through as it is; other
+columns aren't read, whatever their names. A very long text is one row and must fit its task; it is encoded block by
+block, so long runs of one kind (millions of spaces) only cost time n log n.
 """
 
 from __future__ import annotations
@@ -24,8 +26,22 @@ from .bpe import PATTERN, codec, ids_array, pieces_of
 SIZE, CLOSE = 2048, 1
 
 
+#: Runs from twice this length on are never given to the compiled tokenizer: its matcher recurses and its merges are quadratic.
+RUN = 1024
+
+
+def _has_runs(text: str) -> bool:
+    """Whether a text may hold a pre-token of ``2 * RUN`` characters: one of its windows has no two words then."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to ``split`` alone
+        return True
+    return any(len(text[i : i + RUN].split(None, 1)) < 2 for i in range(0, len(text) - RUN + 1, RUN))
+
+
 class FastIds:
-    """Ids of the same vocabulary by a compiled tokenizer whose ranks are the ids; by our own codec if they aren't."""
+    """Ids of the same vocabulary by a compiled tokenizer whose ranks are the ids; by our own codec if they aren't.
+
+    Blocks with very long runs always go to our own codec.
+    """
 
     def __init__(self, path: str):
         self.codec = c = codec(path)
@@ -37,10 +53,13 @@ class FastIds:
 
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=c.added)
 
+    def _block(self, text: str) -> np.ndarray:
+        if _has_runs(text):
+            return self.codec.ids(text)
+        return np.asarray(self.fast.encode_ordinary(text), np.int32)
+
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.codec.added):
-            return self.codec.encode(text).astype(np.uint32)
-        return np.asarray(self.fast.encode_ordinary(text), np.uint32)
+        return self.codec.encode(text, self._block if self.fast else None).astype(np.uint32)
 
 
 @lru_cache(maxsize=4)

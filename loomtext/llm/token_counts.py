@@ -10,7 +10,10 @@ A token that crosses a boundary is allocated by ``rule``:
 A token that holds only part of a character spans that whole character.
 
 Edge cases: null text counts as empty: one empty line section and no tokens; null or absent sections count as none;
-sections beyond the text's end count what lies inside; a section whose end is not after its start counts nothing.
+sections beyond the text's end count what lies inside; a section whose end is not after its start counts nothing;
+repeated rows give their sections again; an empty table gives no rows; columns besides the three that are named aren't
+read. A very long text is one row and must fit its task, with some twenty bytes for each of its own; it is encoded block
+by block.
 """
 
 from __future__ import annotations
