@@ -56,8 +56,10 @@ def test_signature_is_the_order_of_minima(n):
     assert omh.signature(text).tolist() == want
 
 
-def brute_edits(data):
-    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def brute_edits(data, tied=None):
+    tied = tied or {}
+    """Rows of one id are in the order of the hash that the operator names, then of their texts."""
+    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), tied.get((r[0], r[1] or ""), 0), r[1] or ""))
     out = []
     for i, r in enumerate(order):
         t, n = r[1] or "", order[(i + 1) % len(order)][1] or ""
@@ -72,6 +74,21 @@ def test_edit_report(spark, docs, parts):
     assert sorted(map(tuple, omh.edit_report(docs, parts=parts).collect()), key=str) == brute_edits(rows())
 
 
+@pytest.mark.parametrize("parts", [1, 5, 23])
+def test_edit_report_of_hot_ids(spark, parts):
+    """Half of the rows have one id and a quarter none, among very large and very small ids; no task gets most of them."""
+    rng = np.random.default_rng(3)
+    hot = 7 if parts < 23 else (1 << 61) + 7
+    data = [(hot, f"seven {i % 90}") for i in range(200)] + [(None, f"none {i}") for i in range(100)] + [(int(x), f"text {x}") for x in rng.integers(-(1 << 63), 1 << 63, 90)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "greatest")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    tied = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "shiftrightunsigned(xxhash64(text), 1) h").collect() if r.doc_id in (hot, None)} if parts > 1 else {(r.doc_id, r.text): r.h for r in df.where("doc_id is null").selectExpr("doc_id", "text", "shiftrightunsigned(xxhash64(text), 1) h").collect()}
+    out = omh.edit_report(df, parts=parts)
+    assert sorted(map(tuple, out.collect()), key=str) == brute_edits(data, tied)
+    if parts == 23:
+        sizes = out.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+        assert max(sizes) < 60
+
+
 @pytest.mark.parametrize("data", [[(5, "alone text", 0, "", "")], [(None, "n", 0, "", ""), (1, "b", 0, "", ""), (1, "a", 0, "", ""), (None, "m", 0, "", "")], []])
 def test_edit_report_edges(spark, data):
     df = spark.createDataFrame(data, DOCS)
@@ -187,3 +204,37 @@ def test_section_rules(docs):
         token_counts.count_sections(docs, PATH, rule="half")
     with pytest.raises(ValueError):
         token_counts.attribute(np.array([0]), np.array([1]), np.array([0, 0]), np.array([2, 2]), "largest")
+
+
+#: Texts that once ended in a crash: runs without any place to cut, a run of dotted labels, everything in one word.
+LONG = [" " * 2_000_000, "a" + " \n\t" * 50_000 + "b", "ab" * 100_000, "." * 200_000, "x@" + "a." * 100_000, "!\x1c" * 50_000, "the cat sat on the mat. " * 50_000]
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").repartition(len(LONG))
+    ids = {i: bpe.codec(PATH).encode(t) for i, t in enumerate(LONG)}
+    for i, t in enumerate(LONG):
+        assert bpe.codec(PATH).decode(ids[i]) == t.encode() and "".join(bpe.blocks(t)) == t
+        if len(t) < 500_000:
+            assert ids[i].tolist() == want_ids(t)
+    packed = {r.doc_id: r.n for r in packing.pack(df, PATH, with_ids=False).groupBy("doc_id").agg({"doc_tokens": "max"}).toDF("doc_id", "n").collect()}
+    assert packed == {i: len(x) + 1 for i, x in ids.items()}
+    counted = token_counts.count_sections(df, PATH).groupBy("doc_id").sum("tokens").collect()
+    assert {r[0]: r[1] for r in counted} == {i: len(x) for i, x in ids.items()}
+    assert {r.doc_id: r.n for r in bpe.encode(df, PATH).selectExpr("doc_id", "size(ids) n").collect()} == {i: len(x) for i, x in ids.items()}
+    assert omh.edit_report(df).count() == len(LONG)
+
+
+def test_blocks_are_cut_where_no_pre_token_crosses():
+    text = "It's  12 a\n\n b,c 'll  " * 40
+    for size in (1, 3, 7, 50):
+        parts = list(bpe.blocks(text, size))
+        assert "".join(parts) == text and len(parts) > 1
+        assert [i for p in parts for i in want_ids(p)] == want_ids(text)
+
+
+def test_signature_of_more_k_mers_than_a_word_has_room_for(monkeypatch):
+    text = "".join(chr(97 + i * i % 11) for i in range(5000)) + "ab" * 500
+    want = omh.signature(text)
+    monkeypatch.setattr(omh, "PACKED", 100)
+    assert (omh.signature(text) == want).all()
