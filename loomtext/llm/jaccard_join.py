@@ -13,9 +13,11 @@ part them. Documents are therefore first dealt to regions they can share with a
 * Every class also has coordinates: its counts of shingles in 64 buckets or more, a quarter of its size at least. Their
   L1 distance is at most the number of differing shingles, so two classes whose coordinates are further apart than H are
   outside each other's window.
-* A region is the set of classes with the same slice. Its pivot is its smallest member. Members within the pivot's
-  window form its cell; pairs across cells are looked for in the windows, in small regions pair by pair, in large ones
-  tile by tile, so that a task holds two tiles. Cells that such a pair joins are one; no link crosses cells.
+* A region is the set of classes with the same slice. Its pivot is one of its members: the smallest of those that reach
+  the region's task first, which any member may be without changing the result. Members within the pivot's window form
+  its cell; pairs across cells are looked for in the windows, in small regions pair by pair, in large ones tile by tile,
+  so that a task holds two tiles. Large regions are dealt again, by other hashes, as long as that parts them. Cells that
+  such a pair joins are one; no link crosses cells.
 * A cell's members are compared exactly, tile by tile; only links that join components leave a task. In cells of more
   than ``LIMIT`` members, those within the radius of their pivots are joined first and need no comparisons among
   themselves; the others are compared region by region.
@@ -25,9 +27,13 @@ part them. Documents are therefore first dealt to regions they can share with a
 
 Shingles and sets are held as 64-bit fingerprints; sets are told apart by 128 bits.
 
+Sizes and overlaps are integers, exact at any size.
+
 Edge cases: null text counts as empty; documents without words have size 0 and link with nothing; with fewer than
-``k`` words the whole sequence is one shingle; a null id has component null and links with nothing; rows that share an
-id also share its component; an empty table gives an empty table.
+``k`` words the whole sequence is one shingle; a null id has component null and links with nothing; rows that repeat an
+id are documents of their own, whose components have the smallest id that each reaches; columns besides the two that are
+named aren't read; an empty table gives an empty table. A very long text is one row and must fit its task, with about 60
+bytes for each of its words, and two sets of shingles must fit another.
 """
 
 from __future__ import annotations
@@ -49,8 +55,8 @@ SEEDS, SMALL, TILE, LIMIT, TASK = 6, 48, 1024, 16384, 1 << 19
 SENT = 1 << 18
 #: Shingles of a tile, about; a tile of long documents has fewer members.
 TILE_SHINGLES = 1 << 19
-#: Rounds of dealing large regions again; what is still large then is compared tile by tile as well.
-LEVELS = 3
+#: Large regions are dealt again while that leaves at most this share of their members in large regions.
+PARTED = 0.75
 BUCKETS = 64
 
 
@@ -169,7 +175,7 @@ def _in_window(x: list[bytes], y: list[bytes], total: np.ndarray, percent: int)
         for lo in range(0, len(own), step := max(1, (1 << 21) // b)):
             at = own[lo : lo + step]
             left, right = [x[i] for i in at], [y[i] for i in at]
-            apart = np.abs(_folded(left, b).astype(np.int32) - _folded(right, b)).sum(1)
+            apart = np.abs(_folded(left, b).astype(np.int32) - _folded(right, b)).sum(1, dtype=np.int64)
             full = np.array([255 in p or 255 in q for p, q in zip(left, right, strict=True)])  # counts that went on
             ok[at] = full | (apart * (100 + percent) <= (100 - percent) * total[at])
     return ok
@@ -299,7 +305,7 @@ def _reps_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             for a, b, sets in _sets(batch, 0, k):
                 _, h1, h2 = set_marks(sets)
                 same = (h1 == batch.column(2).slice(a, b - a).to_numpy()) & (h2 == batch.column(3).slice(a, b - a).to_numpy())
-                keep = np.flatnonzero(same)  # other rows have the same id
+                keep = np.flatnonzero(same)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["rep", "shingles"])
 
     return texts.mapInArrow(run, "rep long, shingles binary")
@@ -402,7 +408,7 @@ def _forest(pairs, label: np.ndarray, rep: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
-def _windows(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+def _windows(members: DataFrame, light: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) of different labels within each other's window, enough to join all labels that such pairs join.
 
     Tile by tile: two tiles meet in one task.
@@ -421,7 +427,7 @@ def _windows(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, len(one), 32):
                 rows = one[lo : lo + 32]
                 total = n[rows][:, None] + n[two][None, :]
-                apart = np.abs(coarse[rows][:, None, :] - coarse[two][None, :, :]).sum(2)
+                apart = np.abs(coarse[rows][:, None, :] - coarse[two][None, :, :]).sum(2, dtype=np.int64)
                 close = (apart * (100 + percent) <= (100 - percent) * total) | full[rows][:, None] | full[two][None, :]
                 close &= (label[rows][:, None] != label[two][None, :]) & (np.minimum(n[rows][:, None], n[two][None, :]) * 100 >= np.maximum(n[rows][:, None], n[two][None, :]) * percent)
                 u, v = np.nonzero(close)
@@ -431,25 +437,27 @@ def _windows(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
 
         return _forest(near(), label, rep)
 
-    return rows.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
+    return rows.repartition(parts, "region", "i", "j").groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def _linked(own: list[np.ndarray], percent: int) -> np.ndarray:
+def _linked(own: list[np.ndarray], percent: int, block: int = 4096) -> np.ndarray:
     """Whether each two of the sets link."""
-    n = np.array([len(s) for s in own])
+    n = np.array([len(s) for s in own], np.int64)
     _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     shared = often > 1  # only these can be in two sets
     rows_of, cols_of = np.repeat(np.arange(len(own)), n)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
-    same, block = np.zeros((len(own), len(own)), np.float32), 4096
-    for lo in range(0, int(shared.sum()), block):  # a dense block of shingles at a time
-        hit = (cols_of >= lo) & (cols_of < lo + block)
+    order = np.argsort(cols_of, kind="stable")
+    rows_of, cols_of = rows_of[order], cols_of[order]
+    same = np.zeros((len(own), len(own)), np.int64)
+    for lo in range(0, int(shared.sum()), block):  # a dense block of shingles at a time, whose counts fit single precision
+        a, b = np.searchsorted(cols_of, (lo, lo + block))
         x = np.zeros((len(own), block), np.float32)
-        x[rows_of[hit], cols_of[hit] - lo] = 1
-        same += x @ x.T
+        x[rows_of[a:b], cols_of[a:b] - lo] = 1
+        same += (x @ x.T).astype(np.int64)
     return 100 * same >= percent * (n[:, None] + n[None, :] - same)
 
 
-def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiles(members: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Exact links (a, b) between different labels, enough to join all labels that links join, tile by tile.
 
     No pair leaves its task but these: at most one fewer than there are labels in two tiles.
@@ -466,27 +474,20 @@ def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             u, v = u[t[u] != t[v]], v[t[u] != t[v]]
         return _forest(zip(u.tolist(), v.tolist(), strict=True), label, rep)
 
-    return rows.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
+    return rows.repartition(parts, "region", "i", "j").groupBy("region", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def _degrees(cells: DataFrame, sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """``h1, degree``: linked copies of other classes, for every class in ``cells``, tile by tile.
+def _degrees(cells: DataFrame, sets: DataFrame, copies: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``rep, degree``: linked copies of other classes, for every class in ``cells``, tile by tile.
 
-    ``copies`` (h1, copies) are documents of a class. No link crosses cells, so each pair is counted in one region only.
+    ``copies`` (rep, n, copies) are documents of a class. No link crosses cells, so each pair is counted in one region only.
     """
 
-    def named(batches):
-        for batch in batches:
-            n, h1, _ = set_marks([np.frombuffer(x, U) for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1), pa.array(n), batch.column(1)], names=["rep", "h1", "n", "shingles"])
-
-    # Classes may share a rep, as ids may repeat.
-    rows = sets.mapInArrow(named, "rep long, h1 long, n long, shingles binary").dropDuplicates(["h1"]).join(copies, "h1").join(cells, "rep")
-    rows = rows.select(F.col("cell").alias("region"), F.col("h1").alias("rep"), "n", "copies", "shingles")
+    rows = cells.join(copies, "rep").select(F.col("cell").alias("region"), "rep", "n", "copies")
     size = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingled"))
     tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("shingled") / TILE_SHINGLES)).cast("int")
     dealt = _tiled(rows.join(size, "region").select("region", "rep", F.col("copies").alias("label"), tiles.alias("tiles")))
-    dealt = dealt.join(rows.select("rep", "shingles"), "rep").select("region", "i", "j", "rep", F.col("label").alias("copies"), "t", "shingles")
+    dealt = dealt.join(sets, "rep").select("region", "i", "j", "rep", F.col("label").alias("copies"), "t", "shingles")
 
     def meet(table: pa.Table) -> pa.Table:
         t, rep, copies = (table.column(c).to_numpy() for c in ("t", "rep", "copies"))
@@ -494,9 +495,10 @@ def _degrees(cells: DataFrame, sets: DataFrame, copies: DataFrame, percent: int)
         np.fill_diagonal(linked, False)
         if table.column("i")[0].as_py() != table.column("j")[0].as_py():
             linked &= t[:, None] != t[None, :]
-        return pa.table({"h1": rep, "degree": linked @ copies})
+        return pa.table({"rep": rep, "degree": linked @ copies})
 
-    return dealt.groupBy("region", "i", "j").applyInArrow(meet, "h1 long, degree long").groupBy("h1").agg(F.sum("degree").alias("degree"))
+    met = dealt.repartition(parts, "region", "i", "j").groupBy("region", "i", "j").applyInArrow(meet, "rep long, degree long")
+    return met.groupBy("rep").agg(F.sum("degree").alias("degree"))
 
 
 def _shingled(members: DataFrame, light: DataFrame) -> DataFrame:
@@ -510,12 +512,12 @@ def _cells(pairs: DataFrame, store: Store) -> DataFrame:
     return components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), store).select(F.col("node").alias("rep"), F.col("component").alias("cell"))
 
 
-def _across(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+def _across(left: DataFrame, light: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) of different labels in one region and within each other's window, enough to join all such labels."""
     few = left.where(f"size <= {SMALL}")
     other = few.select("region", F.col("rep").alias("b"), F.col("label").alias("lb"))
     pairs = few.select("region", F.col("rep").alias("a"), F.col("label").alias("la")).join(other, "region").where("a < b and la <> lb").select("a", "b").distinct()
-    return _may_link(pairs, light, percent).union(_windows(left.where(f"size > {SMALL}"), light, percent)).distinct()
+    return _may_link(pairs, light, percent).union(_windows(left.where(f"size > {SMALL}"), light, percent, parts)).distinct()
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
@@ -523,19 +525,39 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
 
     With ``links`` also ``n_links``: the other documents it links with, copies included; all pairs of a cell are compared.
     """
-    counted = links
-    spark = df.sparkSession
-    store = Store(spark, "jaccard")
+    store = Store(df.sparkSession, "jaccard")
     docs = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"))
     marks = store.cut(_marks(docs, k, percent), "marks")
+    ids = marks.where("doc_id is not null")
+    if not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _joined(docs, marks, k, percent, links, store)
+    # Ids repeat: rows are joined by a number of their own, written with them as it must not change.
+    numbered = store.cut(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    rows = numbered.select(F.col("row").alias("doc_id"), "text")
+    found = _joined(rows, store.cut(_marks(rows, k, percent), "marks"), k, percent, links, store).withColumnRenamed("doc_id", "row")
+    found = store.cut(found.join(numbered.select("row", "doc_id"), "row"), "found")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    counts = ["n_links"] if links else []
+    out = found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"), *counts)
+    none = marks.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in counts])
+    return out.union(none)
+
+
+def _joined(docs: DataFrame, marks: DataFrame, k: int, percent: int, links: bool, store: Store) -> DataFrame:
+    """The result for documents whose ids don't repeat, from their ``marks``."""
+    spark, counted = docs.sparkSession, links
     with_id = docs.where("doc_id is not null")
     linkable = marks.where("doc_id is not null and n > 0")
-    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
     total = marks.agg(F.sum("marks")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     regions = store.cut(_regions(with_id, k, percent, parts), "regions")
-    light = store.cut(classes.join(regions.select(F.col("node").alias("h1")).distinct(), "h1"), "light")
+    # Coordinates travel for the classes that share a region with others only.
+    some = store.cut(classes.join(regions.select(F.col("node").alias("h1")).distinct(), "h1"), "some")
+    few = some.limit(SENT + 1).count() <= SENT
+    own = marks.select(F.col("doc_id").alias("rep"), "sketch")
+    light = store.cut((own.join(F.broadcast(some), "rep") if few else own.join(some.hint("merge"), "rep")).select("rep", "h1", "h2", "n", "copies", "sketch"), "light")
     names = light.select("rep", "h1")
 
     # Cells: members within the window of their region's pivot, then of any other member of their region.
@@ -547,19 +569,19 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
     members = store.cut(regions.join(names.select("rep", F.col("h1").alias("node")), "node").select("region", "rep").distinct(), "members")
     left = members.join(cells, "rep", "left").select("region", "rep", F.coalesce("cell", "rep").alias("label"))
     left = store.cut(_open(left).where("size > 2"), "left")
-    level = 0
-    while level < LEVELS and (large := left.where(f"size > {LIMIT}")).limit(1).count():
-        level += 1
+    level, before = 0, None
+    while (many := left.where(f"size > {LIMIT}").count()) and (before is None or many <= PARTED * before):
+        level, before, large = level + 1, many, left.where(f"size > {LIMIT}")
         own = _reps_sets(with_id, light.join(large.select("rep").distinct(), "rep").select("rep", "h1", "h2"), k)
         left = store.cut(left.where(f"size <= {LIMIT}").unionByName(_open(_dealt_again(large, own, percent, level).distinct())), "left")
-    pairs = store.cut(first.union(_across(left, light, percent)), "pairs")
+    pairs = store.cut(first.union(_across(left, light, percent, parts)), "pairs")
     cells = store.cut(_cells(pairs, store), "cells")
 
     # Exact comparison of each cell's members, tile by tile.
     sets = store.cut(_reps_sets(with_id, light.join(cells.select("rep"), "rep").select("rep", "h1", "h2"), k), "sets")
     one = cells.select(F.col("cell").alias("region"), "rep", F.col("rep").alias("label"))
     one = store.cut(_open(one), "one")
-    links = _tiles(_shingled(one.where(f"size <= {LIMIT}"), light), sets, percent)
+    links = _tiles(_shingled(one.where(f"size <= {LIMIT}"), light), sets, percent, parts)
     large = one.where(f"size > {LIMIT}").select(F.col("region").alias("cell")).distinct()
     if large.limit(1).count():  # pivots first, then what they leave apart, region by region
         inside = pairs.join(cells.withColumnRenamed("rep", "a"), "a").join(large, "cell", "left_semi").select("a", "b")
@@ -568,17 +590,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, per
         balls = store.cut(_cells(links, store).withColumnRenamed("cell", "ball"), "balls")
         inner = members.join(cells.join(large, "cell", "left_semi"), "rep").join(balls, "rep", "left")
         inner = inner.select(F.xxhash64("region", "cell").alias("region"), "rep", F.coalesce("ball", "rep").alias("label")).distinct()
-        links = links.union(_tiles(_shingled(_open(inner), light), sets, percent))
+        links = links.union(_tiles(_shingled(_open(inner), light), sets, percent, parts))
     found = store.cut(_cells(links, store).withColumnRenamed("cell", "component"), "components")
 
-    of = classes.select("h1", "h2", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = marks.join(of, ["h1", "h2"], "left")
+    of = classes.join(found, "rep", "left").select("h1", "h2", "rep", "copies", F.coalesce("component", "rep").alias("component"))
+    cols = ["doc_id", F.col("n").alias("n_shingles")]
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    cols = ["doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")]
+    cols.append(F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     if counted:
-        copies = linkable.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
-        degree = _degrees(cells, sets, copies.select("h1", "copies"), percent)
-        own = store.cut(copies.join(degree, "h1", "left").select("h1", "h2", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links")), "counts")
-        out = out.join(own, ["h1", "h2"], "left")
+        degree = _degrees(cells, sets, light.select("rep", "n", "copies"), percent, parts)
+        of = store.cut(of.join(degree, "rep", "left").withColumn("links", F.coalesce("degree", F.lit(0)) + F.col("copies") - 1), "counts")
         cols.append(F.when(alone, 0).otherwise(F.col("links")).cast("long").alias("n_links"))
-    return out.select(*cols)
+    return marks.join(of.drop("rep", "copies"), ["h1", "h2"], "left").select(*cols)

@@ -71,6 +71,47 @@ def test_jaccard_join_of_large_regions(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute_join(data, 4, 85)
 
 
+def test_jaccard_counts_are_exact():
+    """At sizes where single precision would round: 100 * 671109 is 85 * 789540, and one less isn't linked."""
+    universe = np.arange(789_540, dtype=np.uint64) * np.uint64(11400714819323198485)
+    universe.sort()
+    inside = np.zeros(len(universe), bool)
+    inside[np.random.default_rng(0).permutation(len(universe))[:671_109]] = True
+    less = inside.copy()
+    less[np.flatnonzero(inside)[0]] = False
+    assert jaccard_join._linked([universe, universe[inside]], 85)[0, 1] and not jaccard_join._linked([universe, universe[less]], 85)[0, 1]
+    sketch = jaccard_join.sketches([universe, universe[inside]])
+    assert jaccard_join._in_window(sketch[:1], sketch[1:], np.array([789_540 + 671_109]), 85).all()
+
+
+def test_jaccard_join_at_the_threshold(spark):
+    words = [f"w{i}" for i in range(1000)]
+    data = [(1, " ".join(words)), (2, " ".join(words[:850])), (3, " ".join(words[:849])), (4, " ".join(words[150:]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(df, k=1).collect())) == [(1, 1000, 1), (2, 850, 1), (3, 849, 1), (4, 850, 1)]
+    assert sorted(map(tuple, jaccard_join.join(df.where("doc_id in (1, 3)"), k=1).collect())) == [(1, 1000, 1), (3, 849, 3)]
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    """Rows of one id are documents of their own."""
+    base = corpus(8, 60)
+    data = [(d if d is None else d % 17, t, e) for d, t, e in base] + [(5, base[-1][1], "a"), (5, base[-1][1], "a"), (5, base[-2][1], "a"), (5, None, "a")]
+    got = jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string, rep string"), links=True)
+    sets = [set() if d is None else shingle_set(t, 4) for d, t, _ in data]
+    links = [(i, j) for i in range(len(data)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    found = merged(range(len(data)), links)
+    least = {}
+    for i, c in found.items():
+        if data[i][0] is not None:
+            least[c] = min(least.get(c, 1 << 60), data[i][0])
+    count = [0] * len(data)
+    for i, j in links:
+        count[i] += 1
+        count[j] += 1
+    want = [(d, len(shingle_set(t, 4)), None if d is None else least[found[i]], count[i]) for i, (d, t, _) in enumerate(data)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_links(spark, monkeypatch, small):
     for name, value in (("SMALL", 3), ("TILE", 8), ("LIMIT", 30), ("TILE_SHINGLES", 600)) if small else ():
