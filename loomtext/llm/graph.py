@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps over DataFrames."""
+"""Connected components by alternating large-star and small-star steps over DataFrames, and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -7,15 +7,33 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
+#: Hot keys that may be broadcast, and the rows from which a key may be one.
+SENT, HOT = 1 << 14, 1 << 16
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours to the smallest of them; ``edges`` (u, v) hold u > v."""
+
+def spread(rows: DataFrame, keys: DataFrame, by: list[str], size: str, total: int, hot: int = HOT, sent: int = SENT) -> DataFrame:
+    """``rows`` joined with ``keys``, a row for each key with its number of rows in ``size``, without hot tasks.
+
+    Of ``total`` rows at most ``sent`` keys can have more than a ``sent``-th each; these are broadcast, by that bound, and
+    their rows stay where they are. The others meet in a shuffle, where no key has more rows than that.
+    """
+    bound = max(hot, -(-total // sent))
+    if total <= bound:
+        return rows.join(keys, by)
+    given = [c for c in keys.columns if c not in by]
+    marked = rows.join(F.broadcast(keys.where(F.col(size) > bound)), by, "left")
+    seldom = marked.where(F.col(size).isNull()).drop(*given).join(keys.where(F.col(size) <= bound), by)
+    return marked.where(F.col(size).isNotNull()).unionByName(seldom)
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Link each node's neighbours to the smallest of them; the ``total`` ``edges`` (u, v) hold u > v."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    out = both.join(least, both.u == least.c).where(F.col("v") > F.col("u") if large else F.lit(True))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    out = spread(both, least, ["u"], "size", 2 * total if large else total).where(F.col("v") > F.col("u") if large else F.lit(True))
     out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
-        out = out.union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
+        out = out.union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -34,5 +52,6 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = mark
-        last, now = now, store.cut(_star(_star(now, True), False), "star")
+        # The first step makes no more edges than it has, the second one adds at most as many nodes.
+        last, now = now, store.cut(_star(_star(now, True, mark[0]), False, 2 * mark[0]), "star")
         store.drop(last)

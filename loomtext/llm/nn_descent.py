@@ -4,22 +4,26 @@ Vectors of one label (and length) link when their cosine, in double precision, i
 
 1. Equal vectors form classes, with their number of copies; from here on a class is one node.
 2. Neighbour lists of ``K`` start from sorted random-projection codes: windows of vectors with neighbouring codes.
-3. Descent: each node's list and its reverse list meet in one group; every pair in a group is a candidate for the lists
-   of both, and the ``K`` best stay. Rounds go on until few entries change. Reverse lists are bounded by ``K``, as the
-   method has it; this bounds what is tried, not what is kept.
+3. Descent: each node's list and its reverse list meet in one group; every pair in a group with at least one entry that is
+   new since the last round is a candidate for the lists of both, and the ``K`` best stay. Groups without new entries don't
+   meet. Rounds go on until few entries change. Reverse lists are bounded by ``K``, as the method has it; this bounds what
+   is tried, not what is kept.
 4. List entries at or above the threshold are links. Where a list is saturated, that is full of links, the links beyond
    it are counted exactly: lists grow to the whole component, whose members are compared tile by tile, so that no task
    holds more than two tiles and no pair leaves its task. Before that, components that only saturated nodes link (a list
    that isn't full holds its links) are joined: saturated nodes of different components of a label are compared unless
    the balls around them, by their centres' angle and their radii, are too far apart.
-5. Audit: ``AUDIT`` nodes are compared with all vectors of their label; as long as less than ``RECALL`` of their links
-   were found, further projections are added and the descent goes on. Where that falls behind, that is where the rounds
-   still to be expected from the last one's gain try more pairs than there are, all pairs of a label are compared, tile
-   by tile.
+5. Audit: nodes without links, with some, and with many are sampled apart, ``AUDIT`` of each, and compared with all
+   vectors of their label. Recall is the mean over vectors of the share of their links that was found, so a large family
+   doesn't hide what is lost in small ones; nodes of each kind count by their number, and no kind with links may fall
+   short. As long as recall is below ``RECALL``, further projections are added and the descent goes on. Where that falls
+   behind, that is where the rounds still to be expected from the last one's gain try more pairs than there are, all pairs
+   of a label are compared, tile by tile. So the result has the recall that is promised, or is exact; ``report`` says which.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows whose id or label is
 null, link with nothing; vectors of different lengths never link; repeated rows are vectors of their own and link with
-one another; an empty table gives an empty table.
+one another, rows that repeat an id too; columns besides the three that are named aren't read; an empty table gives an
+empty table. A vector must fit a task some thousand times, whatever its length.
 """
 
 from __future__ import annotations
@@ -32,13 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .graph import components, spread
 from .store import Store
 
 K, TABLES, WINDOW, STRIDE, CODE = 10, 3, 160, 96, 24
 ROUNDS, SETTLED = 5, 0.02
 TILE = 1024
-AUDIT, RECALL = 256, 0.99
+AUDIT, RECALL = 160, 0.99
+#: Rows with vectors from which a component, a label or a vector is spread over tasks; bytes of vectors for a task.
+HOT, TASK_BYTES = 256, 128 << 20
+#: Bytes of the vectors with most copies that are broadcast at most.
+SENT_BYTES = 32 << 20
 
 log = logging.getLogger(__name__)
 _LIST = "u long, v long, sim double"
@@ -113,18 +121,20 @@ def _start(nodes: DataFrame, table: int, parts: int) -> DataFrame:
 
 
 def _top(entries: DataFrame) -> DataFrame:
-    """The ``K`` best entries of each node."""
-    ranked = entries.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")))
-    return ranked.where(f"r <= {K}").select("u", "v", "sim")
+    """The ``K`` best entries of each node; those that were there before aren't new."""
+    ranked = entries.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.bool_and("new").alias("new")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")))
+    return ranked.where(f"r <= {K}").select("u", "v", "sim", "new")
 
 
 def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """Candidates from neighbours of neighbours, as (u, v, sim) that would enter u's list."""
     back = lists.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.col("sim").desc(), "u"))).where(f"r <= {K}")
-    meet = lists.select(F.col("u").alias("g"), F.col("v").alias("m")).union(back.select(F.col("v").alias("g"), F.col("u").alias("m"))).distinct()
+    meet = lists.select(F.col("u").alias("g"), F.col("v").alias("m"), "new").union(back.select(F.col("v").alias("g"), F.col("u").alias("m"), "new"))
+    meet = meet.groupBy("g", "m").agg(F.bool_or("new").alias("new"))
+    meet = meet.join(meet.where("new").select("g").distinct(), "g", "left_semi")
     worst = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("m"), F.when(F.col("c") == K, F.col("worst")).otherwise(-2.0).alias("worst"))
     rows = meet.join(nodes.select(F.col("node").alias("m"), "dim", "vector"), "m").join(worst, "m")
-    rows = rows.select("g", "m", "dim", "worst", "vector").repartition(parts, "g").sortWithinPartitions("g", "m")
+    rows = rows.select("g", "m", "dim", "worst", "vector", "new").repartition(parts, "g").sortWithinPartitions("g", "m")
 
     def run(batches):
         held = None
@@ -134,7 +144,7 @@ def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
             rest = None if final else table.slice(cuts[-2])
             ends = cuts[1:] if final else cuts[1:-1]
-            m, worst, dim = table.column(1).to_numpy(), table.column(3).to_numpy(), table.column(2).to_numpy()
+            m, worst, dim, new = table.column(1).to_numpy(), table.column(3).to_numpy(), table.column(2).to_numpy(), table.column(5).to_numpy()
             u, v, s = [], [], []
             x = {int(d): _matrix(table.column(4).filter(pa.array(dim == d)), int(d)) for d in np.unique(dim)}
             place = np.zeros(len(g), np.int64)
@@ -145,7 +155,8 @@ def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
                 y = x[int(dim[lo])][p : p + hi - lo]
                 sim = y @ y.T
                 np.fill_diagonal(sim, -3)
-                a, b = np.nonzero(sim > worst[lo:hi, None])
+                own = new[lo:hi]
+                a, b = np.nonzero((sim > worst[lo:hi, None]) & (own[:, None] | own[None, :]))
                 if len(a):
                     u.append(m[lo:hi][a])
                     v.append(m[lo:hi][b])
@@ -164,14 +175,19 @@ def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _LIST)
 
 
-def _crossing(full: DataFrame, threshold: float) -> DataFrame:
+def _tiled(rows: DataFrame, by: list[str], total: int) -> DataFrame:
+    """Rows with the number of ``tiles`` that their group has."""
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    return spread(rows, size, by, "size", total, HOT).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+
+
+def _crossing(full: DataFrame, threshold: float, total: int) -> DataFrame:
     """Links (u, v) between saturated nodes of different components, one at least for every two components so linked.
 
     The nodes of a component lie in balls of about ``TILE``. Pairs of balls that their bounds don't keep apart are
     compared node by node, about two tiles in a task.
     """
-    tiled = lambda d, by: d.join(d.groupBy(*by).agg(F.count(F.lit(1)).alias("size")), by).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    rows = tiled(full, ["component"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "cell", "label", "dim", "node", "vector")
+    rows = _tiled(full, ["component"], total).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "cell", "label", "dim", "node", "vector")
 
     def ball(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("vector"), table.column("dim")[0].as_py())
@@ -181,7 +197,7 @@ def _crossing(full: DataFrame, threshold: float) -> DataFrame:
         return one.append_column("n", pa.array([len(x)], pa.int64())).append_column("vector", pa.array([c.tolist()], pa.list_(pa.float64()))).append_column("radius", pa.array([float(np.arccos(np.clip((x @ c).min(), -1, 1)))]))
 
     shape = T.StructType([*rows.select("component", "cell", "label", "dim").schema, *T.StructType.fromDDL("n long, vector array<double>, radius double")])
-    balls = tiled(rows.groupBy("component", "cell").applyInArrow(ball, shape), ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("component", "cell"), F.col("tiles")).cast("int"))
+    balls = _tiled(rows.groupBy("component", "cell").applyInArrow(ball, shape), ["label", "dim"], total).withColumn("t", F.pmod(F.xxhash64("component", "cell"), F.col("tiles")).cast("int"))
     balls = balls.select("label", "dim", "component", "cell", "n", "vector", "radius", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
     balls = balls.withColumn("i", F.least("t", "o")).withColumn("j", F.greatest("t", "o")).drop("o")
     widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
@@ -237,13 +253,12 @@ def _forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.nd
     return (np.concatenate(u), np.concatenate(v)) if u else (rows[:0], cols[:0])
 
 
-def _degrees(members: DataFrame, threshold: float, by: tuple[str, ...] = ("component",), links: bool = False) -> DataFrame:
+def _degrees(members: DataFrame, threshold: float, total: int, by: tuple[str, ...] = ("component",), links: bool = False) -> DataFrame:
     """``node, degree``: linked copies of other classes with the same ``by``, tile by tile.
 
     With ``links``, ``u, v, degree``: these with v null, and pairs (u, v) with degree null that join what is linked.
     """
-    size = members.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(size, list(by)).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = _tiled(members, list(by), total).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     own = dict.fromkeys((*by, "dim"))
     rows = rows.select(*own, "node", "copies", "vector", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
     rows = rows.select(*own, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "copies", "vector")
@@ -270,8 +285,11 @@ def _degrees(members: DataFrame, threshold: float, by: tuple[str, ...] = ("compo
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of ``AUDIT`` nodes, held against all vectors, that were found."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "label", "dim", "vector").collect()
+    """Recall by vector of ``AUDIT`` nodes of each kind (no, some, or ``K`` links and more found), held against all vectors."""
+    kinds = nodes.join(found, "node", "left").select("node", "label", "dim", "vector", F.coalesce("degree", F.lit(0)).alias("degree"))
+    kinds = kinds.withColumn("kind", F.when(F.col("degree") == 0, 0).when(F.col("degree") < K, 1).otherwise(2))
+    count = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    asked = [r for kind in count for r in kinds.where(F.col("kind") == kind).orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()]
     if not asked:
         return 1.0
     by: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -291,15 +309,25 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(copies[at] @ near)], names=["node", "true"])
 
     true = nodes.select("node", "label", "dim", "vector", "copies").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = true.join(found, "node", "left").agg(F.sum("true"), F.sum(F.coalesce("degree", F.lit(0)))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
-
-
-def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row."""
+    links = {r.node: r.true for r in true.collect()}  # of the nodes asked
+    good = every = 0.0
+    worst = 1.0
+    for kind, n in count.items():
+        shares = [min(1.0, r.degree / links[r.node]) if links.get(r.node) else None for r in asked if r["kind"] == kind]
+        some = [x for x in shares if x is not None]
+        good, every = good + n * sum(some) / len(shares), every + n * len(some) / len(shares)
+        if kind and some:
+            worst = min(worst, sum(some) / len(some))
+    return min(worst, good / every) if every else 1.0
+
+
+def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, report: dict | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row.
+
+    ``report`` gets ``nodes``, ``projections``, the audited ``recall`` and whether all pairs were compared (``exact``).
+    """
     spark = df.sparkSession
     store = Store(spark, "nn")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(df[key].cast("long").alias("vec_id"), df[label].alias("label"), df[vector].alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -308,21 +336,25 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
 
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = store.cut(classes.select("node", "label", F.size("vector").alias("dim"), "vector", "copies"), "nodes")
-    n = nodes.count()
+    n, size, total, dim = nodes.agg(F.count(F.lit(1)), *[F.coalesce(f, F.lit(0)) for f in (F.sum("dim"), F.sum("copies"), F.max("dim"))]).first()
+    # A node's vector, of 4 bytes a number or 8, meets up to 2 K others in a round.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 8 * 2 * K // TASK_BYTES))
     every = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c") / 2)).first()[0] or 0.0
-    lists, table, short = None, 0, 1.0
+    lists, table, short, exact = None, 0, 1.0, False
+    told = report if report is not None else {}
     while True:
         tried, fresh = TABLES * n * WINDOW * WINDOW / STRIDE, lists
         for _ in range(TABLES):
-            new = _start(nodes, table, parts)
+            new = _start(nodes, table, parts).withColumn("new", F.lit(True))
             fresh = new if fresh is None else fresh.union(new)
             table += 1
         before, lists = lists, store.cut(_top(fresh), "lists")
         if before is not None:
             store.drop(before, comp, crossing, degree)
         for _ in range(ROUNDS):
-            before, lists = lists, store.cut(_top(lists.union(_descend(lists, nodes, parts))), "lists")
-            changed = lists.join(before, ["u", "v"], "left_anti").count()
+            tries = _descend(lists, nodes, parts).withColumn("new", F.lit(True))
+            before, lists = lists, store.cut(_top(lists.withColumn("new", F.lit(False)).unionByName(tries)), "lists")
+            changed = lists.where("new").count()
             store.drop(before)
             tried += n * (2 * K) ** 2 / 2
             if changed <= SETTLED * K * n:
@@ -330,7 +362,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         links = lists.where(F.col("sim") >= threshold).select("u", "v")
         comp = store.cut(components(links, store), "components")
         full = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("c")).where((F.col("worst") >= threshold) & (F.col("c") == K))
-        crossing = store.cut(_crossing(nodes.join(comp, "node").join(full.select(F.col("u").alias("node")), "node"), threshold), "crossing")
+        crossing = store.cut(_crossing(nodes.join(comp, "node").join(full.select(F.col("u").alias("node")), "node"), threshold, n), "crossing")
         if crossing.limit(1).count():
             store.drop(comp)
             comp = store.cut(components(links.union(crossing), store), "components")
@@ -339,20 +371,24 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         plain = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().join(nodes.select(F.col("node").alias("v"), "copies"), "v")
         plain = plain.groupBy("u").agg(F.sum("copies").alias("degree")).withColumnRenamed("u", "node")
         plain = plain.join(whole.select("node"), "node", "left_anti")
-        degree = store.cut(plain.unionByName(_degrees(whole, threshold)), "degrees")
+        degree = store.cut(plain.unionByName(_degrees(whole, threshold, n)), "degrees")
         recall = _audit(nodes, degree, threshold)
         log.info("nn-descent: %d nodes, %d projections, audited recall %.4f", n, table, recall)
+        told.update(nodes=n, projections=table, recall=recall, exact=False)
         if recall >= RECALL:
             break
         last, short = short, 1 - recall
         if short >= last or tried * np.log((1 - RECALL) / short) / np.log(short / last) >= every:
             log.warning("nn-descent: recall %.4f is below %.2f; all %.0f pairs of the labels are compared", recall, RECALL, every)
-            met = store.cut(_degrees(nodes, threshold, ("label", "dim"), links=True), "met")
+            met = store.cut(_degrees(nodes, threshold, n, ("label", "dim"), links=True), "met")
+            told.update(recall=1.0, exact=True)
+            exact = True
             comp = store.cut(components(met.where("v is not null").select("u", "v"), store), "components")
             degree = met.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("degree"))
             break
+    store.only(nodes, met if exact else degree, comp)
     of = nodes.join(degree, "node", "left").join(comp, "node", "left")
-    of = of.select("label", "vector", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    good = rows.where("ok").join(of, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    of = of.select("label", "vector", "copies", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    good = spread(rows.where("ok"), of, ["label", "vector"], "copies", total, HOT, max(1, SENT_BYTES // (64 + 8 * dim))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -4,9 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm import jaccard_join, nn_descent
-from loomtext.llm.graph import components
+from loomtext.llm.graph import components, spread
 from loomtext.llm.store import Store, shared_dir
 
 
@@ -332,3 +333,56 @@ def test_windows_never_miss_and_part_the_unrelated(percent):
     far = [(new(n), new(n)) for n in (300, 1100, 5000, 20000)]
     ok = jaccard_join._in_window(jaccard_join.sketches([a for a, _ in far]), jaccard_join.sketches([b for _, b in far]), np.array([len(a) + len(b) for a, b in far]), percent)
     assert percent < 80 or not ok.any()
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_joins_with_hot_keys(spark, hot):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 3, i) for i in range(200)], "k long, x long")
+    keys = rows.groupBy("k").count().withColumnRenamed("count", "size").withColumn("y", -F.col("k"))
+    got = spread(rows, keys, ["k"], "size", 200, hot)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keys, "k").collect())) and got.columns == ["k", "x", "size", "y"]
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from loomtext.llm import graph
+
+    monkeypatch.setattr(graph.spread, "__defaults__", (4, 8))
+    links = [(i, 1000) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(40)] + [(5, 2000)]
+    got = components(spark.createDataFrame(links, "u long, v long"), Store(spark, "test"))
+    assert {r.node: r.component for r in got.collect()} == merged({x for p in links for x in p}, links)
+
+
+def test_the_audit_sees_what_large_families_hide(spark):
+    """A thousand found links of one family don't make up for lost pairs."""
+    from loomtext.llm.nn_descent import _audit
+
+    rng = np.random.default_rng(0)
+    hub, vectors = rng.standard_normal(16), []
+    for i in range(60):
+        vectors.append(hub + rng.standard_normal(16) * 0.01)
+    for i in range(30):
+        a = rng.standard_normal(16)
+        vectors += [a, a + rng.standard_normal(16) * 0.01]
+    nodes = spark.createDataFrame([(i, 1, 16, v.tolist(), 1) for i, v in enumerate(vectors)], "node long, label int, dim int, vector array<float>, copies long")
+    every = [(i, 59) for i in range(60)] + [(i, 1) for i in range(60, 120)]
+    lost = [(i, d) for i, d in every if i < 90]
+    frame = lambda x: spark.createDataFrame(x, "node long, degree long")
+    assert _audit(nodes, frame(every), 0.93) == 1 and 0.7 < _audit(nodes, frame(lost), 0.93) < 0.8
+    assert _audit(nodes.where("false"), frame(every), 0.93) == 1
+
+
+def test_links_report(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist(), i % 2) for i in range(50)], "vec_id long, embedding array<float>, label int")
+    told: dict = {}
+    nn_descent.link(df, report=told)
+    assert told["nodes"] == 50 and told["recall"] >= nn_descent.RECALL and told["projections"] % nn_descent.TABLES == 0 and told["exact"] in (True, False)
+
+
+def test_tables_are_dropped(spark):
+    import os
+
+    store = Store(spark, "test")
+    a, b = (store.cut(spark.range(3), x) for x in "ab")
+    store.only(b)
+    assert not os.path.exists(a._loomtext_path) and b.count() == 3 and store.made == [b]
