@@ -10,7 +10,9 @@ of different conversations never do, however often a first turn or a whole conve
 
 Edge cases: null role or text counts as empty; turns are ordered by turn, role and text, turns without a number first;
 equal conversations have a prompt of all turns and two empty completions; no common turn: an empty prompt; a pair of
-which one side is missing is not emitted; an empty table gives no pairs.
+which one side is missing is not emitted; turns without a conversation's id are left out; repeated turns are turns like
+others; columns to keep that are named like a result are replaced by it; an empty table gives no pairs. A very long
+conversation is one row and must fit its task.
 """
 
 from __future__ import annotations
@@ -54,14 +56,18 @@ def loss_spans(turns: Column, role: str = "assistant") -> Column:
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", keep: tuple[str, ...] = ()) -> DataFrame:
     """From two arrays of turns to ``prompt_turns, prompt, chosen, chosen_spans, rejected, rejected_spans``."""
-    a, b, n = F.col(chosen), F.col(rejected), F.col("__n")
+    results = ("prompt_turns", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans")
+    own = [k for k in keep if k not in results]
+    kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(own)]
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
     rest = lambda c: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
-    cut = pairs.where(a.isNotNull() & b.isNotNull()).withColumn("__n", common_turns(a, b))
-    cut = cut.select(*keep, n.alias("prompt_turns"), F.slice(a, 1, n).alias("__p"), rest(a).alias("__a"), rest(b).alias("__b"))
-    out = [render(F.col("__p")).alias("prompt")]
-    for c, name in (("__a", "chosen"), ("__b", "rejected")):
+    cut = pairs.select(*kept, F.col(chosen).alias("a"), F.col(rejected).alias("b")).where(a.isNotNull() & b.isNotNull()).withColumn("n", common_turns(a, b))
+    back = [F.col(f"k{i}").alias(k) for i, k in enumerate(own)]
+    cut = cut.select(*[f"k{i}" for i in range(len(own))], "n", F.slice(a, 1, n).alias("p"), rest(a).alias("a"), rest(b).alias("b"))
+    out = [render(F.col("p")).alias("prompt")]
+    for c, name in (("a", "chosen"), ("b", "rejected")):
         out += [render(F.col(c)).alias(name), loss_spans(F.col(c)).alias(f"{name}_spans")]
-    return cut.select(*keep, "prompt_turns", *out)
+    return cut.select(*back, n.alias("prompt_turns"), *out)
 
 
 def counterfactual_pairs(convs: DataFrame, key: str = "conv_id") -> DataFrame:

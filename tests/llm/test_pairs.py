@@ -386,3 +386,18 @@ def test_tables_are_dropped(spark):
     a, b = (store.cut(spark.range(3), x) for x in "ab")
     store.only(b)
     assert not os.path.exists(a._loomtext_path) and b.count() == 3 and store.made == [b]
+
+
+def test_pipeline_stages_with_clashing_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"word{i} clean text of {i}", f"g{i}", 0.5, i, "r") for i in range(40)] + [(100 + i, f"vile word{i} text {i}", "bad", 0.1, i, "r") for i in range(20)] + [(None, None, None, None, None, None), (1, "x@b.cd " + "a. " * 50_000, "g", 1.0, 1, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, severity string, p_toxic double, grade int, __row string")
+    spark.createDataFrame([(i, int(i >= 100)) for i, *_ in rows[:-2]], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for _, stage in pipeline.STAGES[:3]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    got = {(r.doc_id, r.severity, r.grade) for r in now.collect()}
+    assert got == {(r[0], r[2], r[4]) for r in rows if r[2] != "bad"}
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0

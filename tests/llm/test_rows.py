@@ -434,3 +434,13 @@ def test_warc_files_in_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(int(r.record_id) for r in got) == list(range(500)) and all(r.body == "x" * (int(r.record_id) % 97) for r in got)
+
+
+def test_preference_pairs_with_clashing_columns_and_long_turns(spark):
+    long = "word " * 200_000
+    turns = [(0, 0, "user", long), (0, 1, "assistant", "yes"), (1, 0, "user", long), (1, 1, "assistant", long)]
+    pairs = preference.counterfactual_pairs(preference.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    pairs = pairs.withColumn("n", F.lit("n")).withColumn("__n", F.lit("m")).withColumn("a", F.lit("a")).withColumn("prompt", F.lit("p"))
+    got = {r.conv_id: r for r in preference.format_pairs(pairs, keep=("conv_id", "n", "__n", "a", "prompt")).collect()}
+    assert got[0].n == "n" and got[0]["__n"] == "m" and got[0].a == "a" and got[0].prompt.count("word") == 200_000 and got[0].prompt_turns == 1
+    assert got[0].rejected == got[1].chosen and got[1].rejected == got[0].chosen
