@@ -175,19 +175,21 @@ def _descend(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _LIST)
 
 
-def _tiled(rows: DataFrame, by: list[str], total: int) -> DataFrame:
-    """Rows with the number of ``tiles`` that their group has."""
-    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+def _tiled(rows: DataFrame, by: list[str], total: int, store: Store) -> DataFrame:
+    """Rows with the number of ``tiles`` that their group has, written as they are read several times."""
+    rows = store.cut(rows, "untiled")
+    size = store.cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("size")), "sizes")
     return spread(rows, size, by, "size", total, HOT).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
 
 
-def _crossing(full: DataFrame, threshold: float, total: int) -> DataFrame:
+def _crossing(full: DataFrame, threshold: float, total: int, store: Store) -> DataFrame:
     """Links (u, v) between saturated nodes of different components, one at least for every two components so linked.
 
     The nodes of a component lie in balls of about ``TILE``. Pairs of balls that their bounds don't keep apart are
     compared node by node, about two tiles in a task.
     """
-    rows = _tiled(full, ["component"], total).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "cell", "label", "dim", "node", "vector")
+    rows = _tiled(full, ["component"], total, store).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = store.cut(rows.select("component", "cell", "label", "dim", "node", "vector"), "cells")
 
     def ball(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("vector"), table.column("dim")[0].as_py())
@@ -197,7 +199,7 @@ def _crossing(full: DataFrame, threshold: float, total: int) -> DataFrame:
         return one.append_column("n", pa.array([len(x)], pa.int64())).append_column("vector", pa.array([c.tolist()], pa.list_(pa.float64()))).append_column("radius", pa.array([float(np.arccos(np.clip((x @ c).min(), -1, 1)))]))
 
     shape = T.StructType([*rows.select("component", "cell", "label", "dim").schema, *T.StructType.fromDDL("n long, vector array<double>, radius double")])
-    balls = _tiled(rows.groupBy("component", "cell").applyInArrow(ball, shape), ["label", "dim"], total).withColumn("t", F.pmod(F.xxhash64("component", "cell"), F.col("tiles")).cast("int"))
+    balls = _tiled(rows.groupBy("component", "cell").applyInArrow(ball, shape), ["label", "dim"], total, store).withColumn("t", F.pmod(F.xxhash64("component", "cell"), F.col("tiles")).cast("int"))
     balls = balls.select("label", "dim", "component", "cell", "n", "vector", "radius", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
     balls = balls.withColumn("i", F.least("t", "o")).withColumn("j", F.greatest("t", "o")).drop("o")
     widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
@@ -214,7 +216,7 @@ def _crossing(full: DataFrame, threshold: float, total: int) -> DataFrame:
             a, b = a[a < b], b[a < b]
         return pa.table({"a": component[a], "ca": cell[a], "b": component[b], "cb": cell[b], "n": n[b]})
 
-    pairs = balls.groupBy("label", "dim", "i", "j").applyInArrow(near, "a long, ca int, b long, cb int, n long")
+    pairs = store.cut(balls.groupBy("label", "dim", "i", "j").applyInArrow(near, "a long, ca int, b long, cb int, n long"), "near")
     many = pairs.groupBy("a", "ca").agg(F.ceil(F.sum("n") / TILE).alias("salts"))
     pairs = pairs.join(many, ["a", "ca"]).withColumn("salt", F.pmod(F.xxhash64("b", "cb"), F.col("salts")).cast("int"))
     left = pairs.select("a", "ca", "salt", F.col("a").alias("component"), F.col("ca").alias("cell"), F.lit(True).alias("own")).distinct()
@@ -253,12 +255,12 @@ def _forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.nd
     return (np.concatenate(u), np.concatenate(v)) if u else (rows[:0], cols[:0])
 
 
-def _degrees(members: DataFrame, threshold: float, total: int, by: tuple[str, ...] = ("component",), links: bool = False) -> DataFrame:
+def _degrees(members: DataFrame, threshold: float, total: int, store: Store, by: tuple[str, ...] = ("component",), links: bool = False) -> DataFrame:
     """``node, degree``: linked copies of other classes with the same ``by``, tile by tile.
 
     With ``links``, ``u, v, degree``: these with v null, and pairs (u, v) with degree null that join what is linked.
     """
-    rows = _tiled(members, list(by), total).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = _tiled(members, list(by), total, store).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     own = dict.fromkeys((*by, "dim"))
     rows = rows.select(*own, "node", "copies", "vector", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
     rows = rows.select(*own, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "node", "copies", "vector")
@@ -340,7 +342,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     # A node's vector, of 4 bytes a number or 8, meets up to 2 K others in a round.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 8 * 2 * K // TASK_BYTES))
     every = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c") / 2)).first()[0] or 0.0
-    lists, table, short, exact = None, 0, 1.0, False
+    lists, table, short = None, 0, 1.0
     told = report if report is not None else {}
     while True:
         tried, fresh = TABLES * n * WINDOW * WINDOW / STRIDE, lists
@@ -349,8 +351,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
             fresh = new if fresh is None else fresh.union(new)
             table += 1
         before, lists = lists, store.cut(_top(fresh), "lists")
-        if before is not None:
-            store.drop(before, comp, crossing, degree)
+        store.only(nodes, lists)
         for _ in range(ROUNDS):
             tries = _descend(lists, nodes, parts).withColumn("new", F.lit(True))
             before, lists = lists, store.cut(_top(lists.withColumn("new", F.lit(False)).unionByName(tries)), "lists")
@@ -362,16 +363,17 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         links = lists.where(F.col("sim") >= threshold).select("u", "v")
         comp = store.cut(components(links, store), "components")
         full = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("c")).where((F.col("worst") >= threshold) & (F.col("c") == K))
-        crossing = store.cut(_crossing(nodes.join(comp, "node").join(full.select(F.col("u").alias("node")), "node"), threshold, n), "crossing")
-        if crossing.limit(1).count():
-            store.drop(comp)
-            comp = store.cut(components(links.union(crossing), store), "components")
-        grown = comp.join(full, comp.node == full.u).select("component").distinct()
-        whole = nodes.join(comp, "node").join(grown, "component")
+        full = store.cut(full.select(F.col("u").alias("node")), "full")
         plain = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().join(nodes.select(F.col("node").alias("v"), "copies"), "v")
         plain = plain.groupBy("u").agg(F.sum("copies").alias("degree")).withColumnRenamed("u", "node")
-        plain = plain.join(whole.select("node"), "node", "left_anti")
-        degree = store.cut(plain.unionByName(_degrees(whole, threshold, n)), "degrees")
+        if full.limit(1).count():
+            crossing = store.cut(_crossing(nodes.join(comp.join(full, "node"), "node"), threshold, n, store), "crossing")
+            if crossing.limit(1).count():
+                comp = store.cut(components(links.union(crossing), store), "components")
+            grown = comp.join(comp.join(full, "node").select("component").distinct(), "component")
+            whole = _degrees(nodes.join(grown, "node"), threshold, n, store)
+            plain = plain.join(grown.select("node"), "node", "left_anti").unionByName(whole)
+        degree = store.cut(plain, "degrees")
         recall = _audit(nodes, degree, threshold)
         log.info("nn-descent: %d nodes, %d projections, audited recall %.4f", n, table, recall)
         told.update(nodes=n, projections=table, recall=recall, exact=False)
@@ -380,15 +382,15 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         last, short = short, 1 - recall
         if short >= last or tried * np.log((1 - RECALL) / short) / np.log(short / last) >= every:
             log.warning("nn-descent: recall %.4f is below %.2f; all %.0f pairs of the labels are compared", recall, RECALL, every)
-            met = store.cut(_degrees(nodes, threshold, n, ("label", "dim"), links=True), "met")
+            met = store.cut(_degrees(nodes, threshold, n, store, ("label", "dim"), links=True), "met")
             told.update(recall=1.0, exact=True)
-            exact = True
             comp = store.cut(components(met.where("v is not null").select("u", "v"), store), "components")
             degree = met.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("degree"))
             break
-    store.only(nodes, met if exact else degree, comp)
     of = nodes.join(degree, "node", "left").join(comp, "node", "left")
     of = of.select("label", "vector", "copies", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    of = store.cut(of, "classes")
+    store.only(of)
     good = spread(rows.where("ok"), of, ["label", "vector"], "copies", total, HOT, max(1, SENT_BYTES // (64 + 8 * dim))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
