@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lang.pattern import Pattern
+from ..lang.pattern import NotExact, Pattern
 from ..lang.program import Subst, concept_pattern
 from ..lang.template import compile_template
 from ..operators import edit, select
@@ -18,19 +20,39 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _made(c: Column, build: Callable[[Column], Column], kind: T.DataType, one: Callable[[str], object]) -> Column:
+    """By expressions; by Python's matcher, in Arrow batches, where these aren't exact."""
+    try:
+        return build(c)
+    except NotExact:
+
+        @F.pandas_udf(kind)
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: None if x is None else one(x))
+
+        return run(c)
+
+
+def _gaps(p: Pattern, text: str) -> list[str]:
+    return [v.text for v in local.gaps(local.View(text, 0), p)]
+
+
 def split_matches(text: Column | str, pattern: str, ignore_case: bool = False) -> Column:
     """array<string> of matches (``x``)."""
-    return select.matches(_col(text), Pattern(pattern, ignore_case))
+    p = Pattern(pattern, ignore_case)
+    return _made(_col(text), lambda c: select.matches(c, p), T.ArrayType(T.StringType()), lambda x: [m[0] for m in p.matches(x)])
 
 
 def split_gaps(text: Column | str, pattern: str, ignore_case: bool = False) -> Column:
     """array<string> of gaps (``y``)."""
-    return select.gaps(_col(text), Pattern(pattern, ignore_case))
+    p = Pattern(pattern, ignore_case)
+    return _made(_col(text), lambda c: select.gaps(c, p), T.ArrayType(T.StringType()), lambda x: _gaps(p, x))
 
 
 def keep(text: Column | str, pattern: str, ignore_case: bool = False) -> Column:
     """Whether there is a match (``g``)."""
-    return select.found(_col(text), Pattern(pattern, ignore_case))
+    p = Pattern(pattern, ignore_case)
+    return _made(_col(text), lambda c: select.found(c, p), T.BooleanType(), p.found)
 
 
 def concept(text: Column | str, name: str) -> Column:
@@ -41,7 +63,8 @@ def concept(text: Column | str, name: str) -> Column:
 def replace(text: Column | str, pattern: str, template: str, every: bool = True, nth: int | None = None) -> Column:
     """Substitution (``s``) with a template of literal text and group references."""
     p = Pattern(pattern)
-    return edit.substitute(_col(text), Subst(p, tuple(compile_template(template, p)), every, nth))
+    s = Subst(p, tuple(compile_template(template, p)), every, nth)
+    return _made(_col(text), lambda c: edit.substitute(c, s), T.StringType(), lambda x: local.stitch(x, local.run_document((s,), x)[0].edits))
 
 
 def fuzzy(text: Column | str, literal: str, distance: int) -> Column:

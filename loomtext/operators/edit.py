@@ -7,16 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lang.pattern import Pattern
+from ..lang.pattern import NotExact, Pattern
 from ..lang.program import Subst
 from ..lang.template import fill
 from .select import java, quoted
 
 
-class NotExact(ValueError):
-    """No built-in expression gives exactly this result; the caller takes the local plan."""
-
-
 def _java_template(s: Subst) -> str:
     out = ""
     for i, piece in enumerate(s.template):

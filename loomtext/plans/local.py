@@ -9,7 +9,7 @@ from itertools import accumulate
 
 from ..awk.run import Machine
 from ..awk.syntax import parse as parse_awk
-from ..lang.pattern import ProgramError
+from ..lang.pattern import Pattern, ProgramError
 from ..lang.program import Awk, Change, Fuzzy, Group, Guard, Node, Reduce, Select, Simple, Subst, Test
 from ..lang.template import fill
 
@@ -120,6 +120,17 @@ def collapse(text: str) -> tuple[int, int] | None:
     return first + 1, len(text)
 
 
+def gaps(v: View, p: Pattern) -> Iterator[View]:
+    """The stretches between a pattern's matches, without empty ones."""
+    at = 0
+    for m in p.matches(v.text):
+        if m.start() > at:
+            yield v.part(at, m.start())
+        at = m.end()
+    if at < len(v.text):
+        yield v.part(at, len(v.text))
+
+
 def record(text: str) -> str:
     """A view as a record: without its line end."""
     return text[:-2] if text.endswith("\r\n") else text[:-1] if text.endswith("\n") else text
@@ -135,13 +146,7 @@ def _step(node: Node, views: Iterator[View], run: Run, own: list[list[str]]) ->
                 yield from (v.part(*m.span()) for m in p.matches(v.text))
         else:
             for v in views:
-                at = 0
-                for m in p.matches(v.text):
-                    if m.start() > at:
-                        yield v.part(at, m.start())
-                    at = m.end()
-                if at < len(v.text):
-                    yield v.part(at, len(v.text))
+                yield from gaps(v, p)
     elif isinstance(node, Fuzzy):
         yield from (v for v in views if near(v.text, node.literal, node.distance))
     elif isinstance(node, Simple):
