@@ -122,7 +122,14 @@ class Result:
     @cached_property
     def views(self) -> DataFrame:
         """``key, seq, start, end, value``: the views that come out, with byte offsets (null for texts of their own)."""
-        return self._local("views")
+        made = self._lowered(lower.spans)
+        if made is None:
+            return self._local("views")
+        docs = self.docs
+        for lit in lower.needed_literals(self.nodes):
+            docs = docs.where(F.col(self.text).contains(lit))
+        at = docs.select(F.col(self.key), F.posexplode(made).alias("seq", "v"))
+        return at.select(self.key, F.col("seq").cast("long").alias("seq"), "v.start", "v.end", "v.value")
 
     @cached_property
     def edits(self) -> DataFrame:

@@ -39,8 +39,7 @@ def text(v: float | str) -> str:
         return "inf" if v > 0 else "-inf"
     if v == int(v) and abs(v) < 1e16:
         return str(int(v))
-    out = f"{v:.6f}".rstrip("0").rstrip(".")
-    return "0" if out in ("-0", "") else out
+    return f"{v:.6f}".rstrip("0").rstrip(".")
 
 
 def true(v: float | str) -> bool:
@@ -76,14 +75,14 @@ def printf(form: str, args: list) -> str:
             return "%"
         conv, flags, width = m["conv"], m["flags"], int(m["width"] or 0)
         if conv is None:
-            raise AwkError("awk: truncated printf format")
+            raise AwkError("the format ends within a conversion")
         prec = None if m["prec"] is None else int(m["prec"] or 0)
         if conv not in "diouxXcsfFeEgG":
-            raise AwkError(f"awk: unsupported printf conversion %{conv}")
+            raise AwkError(f"the format has no conversion %{conv}")
         try:
             v = next(rest)
         except StopIteration:
-            raise AwkError("awk: not enough arguments for printf") from None
+            raise AwkError("the format asks for more values than there are") from None
         sign, numeric = "", conv not in "cs"
         if conv == "s":
             body = text(v) if prec is None else text(v)[:prec]

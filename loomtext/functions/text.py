@@ -70,24 +70,9 @@ def replace(text: Column | str, pattern: str, template: str, every: bool = True,
 def fuzzy(text: Column | str, literal: str, distance: int) -> Column:
     """Whether some stretch of the text is within ``distance`` byte edits of a literal (``~``).
 
-    One of ``distance + 1`` pieces of the literal survives any such edits; rows without any are ruled out by plain
-    containment and only the others reach the Arrow function.
+    A null text has none.
     """
-    c = _col(text)
-    if distance >= len(literal.encode()):
-        return F.lit(True)
-
-    @F.pandas_udf(T.BooleanType())
-    def near(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x is not None and local.near(x, literal, distance))
-
-    if not literal.isascii():
-        return F.coalesce(near(c), F.lit(False))
-    pieces = [literal[len(literal) * i // (distance + 1) : len(literal) * (i + 1) // (distance + 1)] for i in range(distance + 1)]
-    may = F.lit(False)
-    for p in pieces:
-        may = may | c.contains(p)
-    return F.coalesce(may & near(F.when(may, c)), F.lit(False))
+    return F.coalesce(select.near(_col(text), literal, distance), F.lit(distance >= len(literal.encode())))
 
 
 def collapse(text: Column | str) -> Column:

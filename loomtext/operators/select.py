@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lang.pattern import Pattern
+from ..lang.pattern import NotExact, Pattern
 
 #: Line splits, written so that no empty match at the end needs a guard, and an unfinished last line is tried once only.
 _LINES = {".*\\n?": "[^\\n]*+\\n|[^\\n]++", ".*\\n": "(?<![^\\n])[^\\n]*+\\n"}
@@ -47,3 +48,110 @@ def terminated(text: Column) -> Column:
 def reduced(values: Column, sep: str) -> Column:
     """``r``: an array of one joined text, or none."""
     return F.when(F.size(values) > 0, F.array(F.array_join(values, sep))).otherwise(F.slice(values, 1, 0))
+
+
+#: Views of one block of running sums, and characters of one block of near matching.
+BLOCK, STRETCH = 128, 256
+
+
+def placed(text: Column, start: Column) -> Column:
+    """A text and where it begins and ends, in bytes."""
+    return F.struct(start.cast("long").alias("start"), (start + F.octet_length(text)).cast("long").alias("end"), text.alias("value"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is used several times and evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _running(steps: Column) -> Column:
+    """Sums of what stands before each of an array's numbers, by sums of blocks."""
+
+    def of(steps: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / BLOCK).cast("int")), lambda b: _sum(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
+        before = lambda sums: F.transform(sums, lambda _, b: _sum(F.slice(sums, F.lit(1), b)))
+
+        def inside(sums: Column) -> Column:
+            return F.transform(steps, lambda _, i: F.get(sums, F.floor(i / BLOCK).cast("int")) + _sum(F.slice(steps, i - i % BLOCK + 1, i % BLOCK)))
+
+        return _once(_once(whole, before), inside)
+
+    return _once(steps, of)
+
+
+def _parts(text: Column, p: Pattern, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """``use`` of the matches, the gaps around them, and where each gap begins."""
+    if p.literal is None and p.nullable and java(p) == p.java_match:
+        raise NotExact("empty matches have no interleaving")
+    found, rest = F.regexp_extract_all(text, F.lit(java(p)), F.lit(0)), F.split(text, java(p), -1)
+
+    def of(both: Column) -> Column:
+        m, g = both["m"], both["g"]
+        steps = F.zip_with(g, m, lambda a, b: (F.octet_length(a) + F.coalesce(F.octet_length(b), F.lit(0))).cast("long"))
+        return _once(_running(steps), lambda at: use(m, g, at))
+
+    return _once(F.struct(found.alias("m"), rest.alias("g")), of)
+
+
+def matches_at(view: Column, p: Pattern) -> Column:
+    """``x`` with places: array of the matches in a view."""
+    return _parts(view["value"], p, lambda m, g, at: F.transform(m, lambda x, i: placed(x, view["start"] + F.get(at, i) + F.octet_length(F.get(g, i)))))
+
+
+def gaps_at(view: Column, p: Pattern) -> Column:
+    """``y``, ``z`` with places: array of the stretches between matches, without empty ones."""
+    return F.filter(_parts(view["value"], p, lambda m, g, at: F.transform(g, lambda x, i: placed(x, view["start"] + F.get(at, i)))), lambda v: v["value"] != "")
+
+
+def paired(views: Column, text: Column) -> Column:
+    """``N``: views by twos, each pair from the first one's start to the last one's end; a last one alone."""
+
+    def of(v: Column) -> Column:
+        def one(i: Column) -> Column:
+            a, b = F.get(v, 2 * i), F.get(v, 2 * i + 1)
+            start, end = F.least(a["start"], b["start"]), F.greatest(a["end"], b["end"])
+            both = F.substring(text.cast("binary"), start.cast("int") + 1, (end - start).cast("int")).cast("string")
+            return F.when(b.isNull(), a).otherwise(placed(both, start))
+
+        pairs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 2).cast("int") - 1), one)
+        return F.when(F.size(v) > 0, pairs).otherwise(v)
+
+    return _once(views, of)
+
+
+def near(text: Column, literal: str, k: int) -> Column:
+    """``~``: whether some stretch is within ``k`` byte edits of a literal.
+
+    One of ``k + 1`` pieces of the literal survives any such edits: only stretches of the text with such a piece are looked
+    at, window by window. Bytes are compared as Latin-1 characters.
+    """
+    want = literal.encode("utf-8", "surrogateescape").decode("latin-1")
+    n = len(want)
+    if k >= n:
+        return F.lit(True)
+    pieces = [want[n * i // (k + 1) : n * (i + 1) // (k + 1)] for i in range(k + 1)]
+
+    def may(c: Column) -> Column:
+        out = F.lit(False)
+        for p in pieces:
+            out = out | c.contains(p)
+        return out
+
+    def hit(part: Column) -> Column:
+        def at(i: Column) -> Column:
+            out = F.lit(False)
+            for size in range(n - k, n + k + 1):
+                out = out | (F.levenshtein(F.substr(part, i, F.lit(size)), F.lit(want), k) >= 0)
+            return out
+
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), at)
+
+    def of(b: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(b) / STRETCH).cast("int")), lambda i: F.substr(b, i * STRETCH + 1, F.lit(STRETCH + n + k)))
+        return F.when(b.contains(want), True).when(may(b), F.exists(parts, lambda part: may(part) & hit(part))).otherwise(False)
+
+    return _once(F.decode(text.cast("binary"), "ISO-8859-1"), of)

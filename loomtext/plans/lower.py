@@ -1,7 +1,8 @@
 """Lowering programs to Catalyst expressions, without UDFs and without shuffles.
 
 A document's views are an array of texts in its own row, so selectors are array expressions and nothing moves between
-rows. Programs that need places in the document, sequential state or more than one printer raise ``NotExact``.
+rows. Where places in the document are asked for, views are structs of a text and its bytes' start and end. Programs that
+need sequential state or more than one printer raise ``NotExact``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lang.program import Change, Group, Guard, Node, Reduce, Select, Simple, Subst, walk
+from ..lang.program import Change, Fuzzy, Group, Guard, Node, Reduce, Select, Simple, Subst, walk
 from ..operators import edit, select
 from ..operators.edit import NotExact
 
@@ -51,6 +52,8 @@ def _stepped(n: Node, values: Column, alone: Column | None) -> Column:
         return one(alone, n.pattern) if alone is not None else F.flatten(F.transform(values, lambda v: one(v, n.pattern)))
     if isinstance(n, Reduce):
         return select.reduced(values, n.sep)
+    if isinstance(n, Fuzzy):
+        return F.filter(values, lambda v: select.near(v, n.literal, n.distance))
     if isinstance(n, Group):
         return F.flatten(F.transform(values, lambda v: _views(n.body, None, v)))
     if isinstance(n, Simple) and n.kind == "p":
@@ -61,8 +64,10 @@ def _stepped(n: Node, values: Column, alone: Column | None) -> Column:
 def prints(nodes: tuple[Node, ...], text: Column) -> Column:
     """array<string>: what a program with a single ``p`` (or final ``/re/``) prints, in order."""
     printers = [n for n in walk(nodes) if isinstance(n, Simple) and n.kind in "p="]
-    if len(printers) != 1 or any(n.kind == "=" for n in printers):
+    if len(printers) != 1:
         raise NotExact("one printer only")
+    if any(isinstance(n, Simple) and n.kind in "=N" for n in walk(nodes)):
+        return _printed_at(nodes, F.array(select.placed(text, F.lit(0))), text)
     return F.transform(_printed(nodes, None, text), select.terminated)
 
 
@@ -83,6 +88,43 @@ def _printed(nodes: tuple[Node, ...], values: Column | None, text: Column | None
     raise NotExact("no printer")
 
 
+def spans(nodes: tuple[Node, ...], text: Column) -> Column:
+    """array<struct<start, end, value>>: the views that come out, with their places."""
+    return _spans(nodes, F.array(select.placed(text, F.lit(0))), text)
+
+
+def _spans(nodes: tuple[Node, ...], views: Column, text: Column) -> Column:
+    for n in nodes:
+        if isinstance(n, Select) and n.kind in "gv":
+            views = F.filter(views, lambda v: select.found(v["value"], n.pattern) if n.kind == "g" else ~select.found(v["value"], n.pattern))
+        elif isinstance(n, Select):
+            one = select.matches_at if n.kind == "x" else select.gaps_at
+            views = F.flatten(F.transform(views, lambda v: one(v, n.pattern)))
+        elif isinstance(n, Fuzzy):
+            views = F.filter(views, lambda v: select.near(v["value"], n.literal, n.distance))
+        elif isinstance(n, Group):
+            views = F.flatten(F.transform(views, lambda v: _spans(n.body, F.array(v), text)))
+        elif isinstance(n, Simple) and n.kind == "N":
+            views = select.paired(views, text)
+        elif not (isinstance(n, Simple) and n.kind in "p="):
+            raise NotExact(f"{type(n).__name__} needs the local plan")
+    return views
+
+
+def _printed_at(nodes: tuple[Node, ...], views: Column, text: Column) -> Column:
+    for i, n in enumerate(nodes):
+        if isinstance(n, Simple) and n.kind in "p=":
+            if any(not isinstance(m, (Select, Group, Fuzzy)) for m in walk(nodes[i + 1 :])):
+                raise NotExact("commands after the printer")
+            shown = _spans(nodes[:i], views, text)
+            if n.kind == "p":
+                return F.transform(shown, lambda v: select.terminated(v["value"]))
+            return F.transform(shown, lambda v: F.concat(F.concat_ws(",", v["start"], v["end"], v["end"] - v["start"]), F.lit("\n")))
+        if isinstance(n, Group) and any(isinstance(m, Simple) and m.kind in "p=" for m in walk(n.body)):
+            return F.flatten(F.transform(_spans(nodes[:i], views, text), lambda v: _printed_at(n.body, F.array(v), text)))
+    raise NotExact("no printer among the pipeline's commands")
+
+
 def rewritten(nodes: tuple[Node, ...], text: Column) -> Column:
     """The document after a program with a single ``s`` or ``c``."""
     mutators = [n for n in walk(nodes) if isinstance(n, (Subst, Change))]

@@ -54,7 +54,7 @@ class Val:
         whole = (F.abs(x) < 1e16) & (x == F.floor(x))
         digits = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), r"\.$", "")
         odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-        return F.when(x.isNull(), "").when(whole, x.cast("long").cast("string")).otherwise(F.coalesce(odd, F.when(digits.isin("-0", ""), "0").otherwise(digits)))
+        return F.when(x.isNull(), "").when(whole, x.cast("long").cast("string")).otherwise(F.coalesce(odd, digits))
 
     @property
     def wholly(self) -> Column:
@@ -160,7 +160,7 @@ class State:
     def _bin(self, op, left, right):
         x, y = self.expr(left).number, self.expr(right).number
         if op in "/%":
-            safe = F.when(y == 0, F.raise_error(F.lit("awk: division by zero")).cast("double")).otherwise(y)
+            safe = F.when(y == 0, F.raise_error(F.lit("a division by zero")).cast("double")).otherwise(y)
             return num(x / safe if op == "/" else x % safe)
         return num({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "^": lambda: F.pow(x, y)}[op]())
 
@@ -480,7 +480,7 @@ class RecordProgram:
                 cond = t if cond is None else cond & t
             v = state.expr(g.value)
             if g.how in ("min", "max"):  # by number, shown as it stood; texts have no order that aggregation could keep
-                sure = F.when(v.wholly, v.number).otherwise(F.raise_error(F.lit("awk: the least or greatest of values that aren't all numbers depends on their order")).cast("double"))
+                sure = F.when(v.wholly, v.number).otherwise(F.raise_error(F.lit("the least or greatest of values that aren't all numbers depends on their order")).cast("double"))
                 pair = F.struct(sure, v.text.alias("text"))
                 return (F.min if g.how == "min" else F.max)(pair if cond is None else F.when(cond, pair))["text"]
             col = v.number if g.how == "sum" else v.col

@@ -11,6 +11,10 @@ PROGRAMS = [
     r"x/.*\n?/ g/the/ p", r"x/.*\n/ v/the/ p", "/the/", "x/[a-z]+/ p", r"x/\w+/ p", "y/the/ p", "y/[ ,\n]+/ p", "x/a*/ p", "g/^$/ p", "x/$/ p", r"x/.*\n?/ g/T/i p", r"x/.*\n?/ { x/[a-z]+/ r/-/ } p",
     r"x/.*\n?/ :sem:/time/ p", "m/[a-z]+/ { g/t/ p }", r"x/[^\n]+/ x/./ p", "x/the/ r/+/ p", "x/a.b/s p", r"x/.*\n?/ /the/ { p }",
 ]
+PLACED = [
+    "x/the/ =", r"x/.*\n?/ N p", r"x/.*\n?/ N =", "y/the/ =", r"x/[^\n]+/ x/[a-z]+/ =", r"x/.*\n?/ g/the/ { x/[a-z]+/ N = }", "x/[a-zé]+/ ~1/the/ =", "x/[a-z]+/ ~1/teh/ p", r"x/.*\n?/ ~2/doggy/ p", "~1/ünö/ p", "~9/the/ p", "x/b/ =",
+    r"x/.*\n?/ { y/ / = }", "=", "N =", "z/[ ,]+/ N N =", "~1/thé/ =", r"x/\w+/ ~1/sat/ N p",
+]
 EDITS = [
     "s/the/X/g", "s/the/X/", "s/the/X/2", "s/the/X/g2", "s/([a-z])([a-z])/$2$1/g", "s/([a-z])([a-z])/<$2>/", "s/x*/-/g", "s/^/> /g", "s/$/!/g", "s/THE/[&]/gi", "x/[a-z]+/ c/w/", "y/the/ c/w/",
     r"x/.*\n?/ { g/the/ c// }", r"x/.*\n?/ v/the/ s/a/b/", "/the/ { s/e/E/ }", r"x/.*\n?/ s/[a-z]/_/2", "g/the/ s/a/\\$1&/g",
@@ -28,6 +32,37 @@ def test_prints(docs, program):
     assert sorted(run(docs, tier="expressions").outputs.collect()) == sorted(run(docs, tier="local").outputs.collect())
 
 
+@pytest.mark.parametrize("program", PLACED)
+def test_places(docs, program):
+    run = compile(program).run
+    assert sorted(run(docs, tier="expressions").outputs.collect()) == sorted(run(docs, tier="local").outputs.collect())
+    assert sorted(run(docs, tier="expressions").views.collect(), key=str) == sorted(run(docs, tier="local").views.collect(), key=str)
+
+
+def test_places_of_many_views(spark):
+    """More views than a block of running sums, and texts of several stretches."""
+    words = ["the", "é", "teh", "thhe", "x" * 300, "a\n", "🙂"]
+    texts = [" ".join(words[(i * j) % 7] for j in range(1, 900)) for i in range(1, 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for program in (r"x/[^ ]+/ =", r"x/[^ ]+/ N =", "y/t/ =", "x/the/ =", r"x/[^ ]+/ ~1/the/ ="):
+        run = compile(program).run
+        assert sorted(run(df, tier="expressions").outputs.collect()) == sorted(run(df, tier="local").outputs.collect())
+    from loomtext.plans.local import near
+
+    got = df.select("doc_id", *[fuzzy("text", lit, k).alias(f"f{i}") for i, (lit, k) in enumerate(NEAR)]).collect()
+    for r in got:
+        assert [r[f"f{i}"] for i in range(len(NEAR))] == [near(texts[r.doc_id], lit, k) for lit, k in NEAR]
+
+
+NEAR = [("the", 0), ("thxhe", 1), ("tehe thhe", 2), ("🙃", 1), ("xxx 🙂a", 2), ("qqqqq", 2), ("é t", 1), ("x" * 40 + "y", 1), ("the" * 5, 3)]
+
+
+def test_places_without_python(docs):
+    for program in PLACED:
+        plan = compile(program).run(docs, tier="expressions").outputs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize("program", EDITS)
 def test_edits(docs, program):
     run = compile(program).run
@@ -47,9 +82,10 @@ def test_pushed_literal(spark, tmp_path):
 
 
 def test_not_exact(docs):
-    with pytest.raises(NotExact):
-        compile("x/a/ =").run(docs, tier="expressions").outputs
-    assert compile("x/the/ =").run(docs).outputs.count() > 0
+    for program in ("x/a*/ =", "x/a/ + p", "p =", "r/,/ ="):
+        with pytest.raises(NotExact):
+            compile(program).run(docs, tier="expressions").outputs
+    assert compile("x/a*/ =").run(docs).outputs.count() > 0
 
 
 def test_binary_input(spark):
