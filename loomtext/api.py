@@ -183,6 +183,10 @@ class Program:
         return Result(self.nodes, docs, key, text, tier, tuple(carry))
 
 
-def compile(source: str) -> Program:  # noqa: A001
-    """Parse and check a program; raises ``ProgramError``."""
+def compile(source: str, *, n: bool = False, E: bool = True) -> Program:  # noqa: A001, N803
+    """Parse and check a program; raises ``ProgramError``.
+
+    The options ``n`` (print only what is asked for) and ``E`` (extended patterns) are accepted as other tools have them;
+    both always hold.
+    """
     return Program(source, parse(source))

@@ -1,4 +1,4 @@
-"""Making this package importable in the executors' Python workers."""
+"""Making this package importable in the executors' Python workers, and a folder that all of them share."""
 
 from __future__ import annotations
 
@@ -27,3 +27,13 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(packed.getvalue())
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="loomtext-")

@@ -51,7 +51,7 @@ def reduced(values: Column, sep: str) -> Column:
 
 
 #: Views of one block of running sums, and characters of one block of near matching.
-BLOCK, STRETCH = 128, 256
+BLOCK, STRETCH = 32, 256
 
 
 def placed(text: Column, start: Column) -> Column:
@@ -152,6 +152,9 @@ def near(text: Column, literal: str, k: int) -> Column:
 
     def of(b: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(b) / STRETCH).cast("int")), lambda i: F.substr(b, i * STRETCH + 1, F.lit(STRETCH + n + k)))
-        return F.when(b.contains(want), True).when(may(b), F.exists(parts, lambda part: may(part) & hit(part))).otherwise(False)
+        return F.when(may(b), F.exists(parts, lambda part: may(part) & hit(part))).otherwise(False)
 
-    return _once(F.decode(text.cast("binary"), "ISO-8859-1"), of)
+    looked = _once(F.decode(text.cast("binary"), "ISO-8859-1"), of)
+    if literal.isascii():  # pieces of it are the same bytes in both, so most texts are ruled out as they are
+        looked = F.when(may(text), looked).otherwise(False)
+    return F.when(text.contains(literal), True).otherwise(looked)

@@ -1,5 +1,5 @@
-"""Reading corpora and writing rewritten documents back."""
+"""Reading corpora, printing in order, and writing rewritten documents back."""
 
-from .corpus import read_binary, read_texts, write_back, write_texts
+from .corpus import commit, in_order, print_outputs, read_binary, read_input, read_lines, read_texts, stage, write_back, write_outputs, write_texts
 
-__all__ = ["read_binary", "read_texts", "write_back", "write_texts"]
+__all__ = ["commit", "in_order", "print_outputs", "read_binary", "read_input", "read_lines", "read_texts", "stage", "write_back", "write_outputs", "write_texts"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..api import Program, Result
+from ..cluster import scratch
 from ..sources.corpus import read_binary
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -32,19 +34,22 @@ def watch(spark: SparkSession, program: Program, path: str, handle: Callable[[Re
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def poll(spark: SparkSession, program: Program, path: str, every: float = 1.0, rounds: int | None = None) -> Iterator[Result]:
+def poll(spark: SparkSession, program: Program, path: str, every: float = 1.0, rounds: int | None = None, state: str | None = None) -> Iterator[Result]:
     """Re-run over the files whose time or length changed since the last look; the first look takes all.
 
-    The file source of streams doesn't see a file again that was rewritten under its name; this does.
+    The file source of streams doesn't see a file again that was rewritten under its name; this does. Each look is a table
+    of paths, times and lengths below ``state`` (by default the shared folder); the driver holds none of them.
     """
-    seen: dict[str, tuple] = {}
-    n = 0
+    state = state or f"{scratch(spark)}/loomtext/looks-{uuid.uuid4().hex}"
+    last, n = None, 0
     while rounds is None or n < rounds:
-        now = {r.path: (r.modificationTime, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").toLocalIterator()}
-        fresh = [p for p, mark in now.items() if seen.get(p) != mark]
-        seen, n = now, n + 1
-        if fresh:
-            docs = read_binary(spark, path).where(F.col("path").isin(fresh)).withColumn("text", F.col("content").cast("string"))
+        look = f"{state}/{n}"
+        spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").write.mode("overwrite").parquet(look)
+        now = spark.read.schema("path string, modificationTime timestamp, length long").parquet(look)
+        fresh = now if last is None else now.join(last, ["path", "modificationTime", "length"], "left_anti")
+        last, n = now, n + 1
+        if fresh.limit(1).count():
+            docs = read_binary(spark, path).join(fresh.select("path"), "path", "left_semi").withColumn("text", F.col("content").cast("string"))
             yield program.run(docs)
         if rounds is None or n < rounds:
             time.sleep(every)
