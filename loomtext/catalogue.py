@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import compile
+from .awk.values import AwkError
+from .lang.pattern import ProgramError
+from .plans.local import run_document
 from .plans.records import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +199,90 @@ _program(
     "outputs",
     f"select doc_id, cast(0 as bigint) as seq, len({LINES}) || ' ' || len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) || {NL} as text from documents",
 )
+
+
+# Rules of the languages, one by one
+
+_program("zero_width", "x/e*/", "values", _listed("list_transform(regexp_extract_all(event_type, 'e+|[^e]'), lambda x: case when starts_with(x, 'e') then x else '' end)", key="event_id", table="events"), "events", "event_id", "event_type")
+_program(
+    "eof_record",
+    "x/.*/",
+    "values",
+    _listed(f"flatten(list_transform(string_split(text, {NL}), lambda x, i: case when i = len(string_split(text, {NL})) then (case when x = '' then [] else [x] end) when x = '' then [''] else [x, ''] end))"),
+)
+_edit("eof_subst", "s/$/!/g", f"replace(text, {NL}, '!' || {NL}) || '!'")
+_edit("delimiters", r"s#, #/#g", "replace(text, ', ', '/')")
+_edit("delimiter_escaped", r"s,\, [a-z],<&>,g", "regexp_replace(text, '(, [a-z])', '<\\1>', 'g')")
+_edit("template_dollars", "s/the/$$ a$ b/g", "replace(text, 'the', '$ a$ b')")
+_edit("template_open_brace", "s/the/${x/g", "replace(text, 'the', '${x')")
+_edit("template_hex", r"s/the/\x41\t\x7e/g", "replace(text, 'the', 'A' || chr(9) || '~')")
+_edit("template_case_letters", r"s/the/\U&\E\L/g", "replace(text, 'the', 'UtheEL')")
+_edit("template_missing_groups", "s/t(h)|e(r)/[$1$2$7]/g", r"regexp_replace(text, 't(h)|e(r)', '[\1\2]', 'g')")
+_program("separators", "x/[A-Za-z]+/; g/th/; p", "outputs", _listed(f"list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: contains(x, 'th')), lambda x: x || {NL})", "text"))
+_program(
+    "printer_order",
+    r"x/.*\n?/ p { g/the/ p }",
+    "outputs",
+    _listed(f"list_concat(list_transform(list_filter({LINES}, lambda x: contains(x, 'the')), lambda x: {_ended('x')}), list_transform({LINES}, lambda x: {_ended('x')}))", "text"),
+)
+_program("class_operations", "x/[a-z&&[^aeiou]]{3,}/", "values", _listed("regexp_extract_all(text, '[b-df-hj-np-tv-z]{3,}')"))
+_program("class_negated", "x/[[:^alpha:][:digit:]]+/", "values", _listed("regexp_extract_all(text, '[^A-Za-z]+')"))
+_program("verbose_flag", "x/(?x) th [a-z] + # after it\n/", "values", _listed("regexp_extract_all(text, 'th[a-z]+')"))
+_program("swapped_greed", "x/(?U)t.+e/", "values", _listed("regexp_extract_all(text, 't.+?e')"))
+_program("group_loop", "x/(th|er|on)+/", "values", _listed("regexp_extract_all(text, '(?:th|er|on)+')"))
+_program("pair_spans", r"x/.*\n?/ N =", "outputs", f"""with u as (select doc_id, unnest({LINES}) as l, unnest(generate_series(0, len({LINES}) - 1)) as i from documents),
+    b as (select doc_id, i, cast(sum(strlen(l)) over (partition by doc_id order by i) as bigint) as e, strlen(l) as n from u),
+    p as (select doc_id, i // 2 as seq, min(e - n) as s, max(e) as e from b group by doc_id, i // 2)
+    select doc_id, cast(seq as bigint) as seq, s || ',' || e || ',' || (e - s) || {NL} as text from p""")
+
+
+def _per_document(name: str, source: str, sql: str) -> None:
+    """A record program over the lines of each document; SQL for its text in terms of ``w``, lists of the lines' words."""
+    words = f"list_transform({LINES}, lambda x: list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''))"
+    _program(name, r"x/.*\n?/ @{ " + source + " }", "outputs", f"select doc_id, cast(0 as bigint) as seq, {sql} || {NL} as text from (select doc_id, text, {words} as w from documents)")
+
+
+_per_document("awk_loops", "for (i = 1; i <= NF; i++) { if (i == 2) continue; if (i > 3) break; s += length($i) } while (n < NR) n++; END { print s + 0, n }", "cast(coalesce(list_sum(list_transform(w, lambda x: coalesce(length(x[1]), 0) + coalesce(length(x[3]), 0))), 0) as bigint) || ' ' || len(w)")
+_per_document("awk_delete", '{ c[$1]++; delete c["The"] } END { for (k in c) n++; print n + 0, ("The" in c) }', "len(list_distinct(list_filter(list_transform(w, lambda x: coalesce(x[1], '')), lambda x: x <> 'The'))) || ' 0'")
+_per_document("awk_assign", "{ x += NF; y = x--; x++; z[NR % 2] += 2; z[NR % 2] *= 1 } END { print x, y, z[0] + z[1] }", "cast(list_sum(list_transform(w, lambda x: len(x))) as bigint) || ' ' || cast(list_sum(list_transform(w, lambda x: len(x))) as bigint) || ' ' || (2 * len(w))")
+_records("awk_assign_local", "{ x = $3; x += 2; x *= 3; x -= 1; x %= 50; print x, x++, ++x, x--, --x }", "lineitem", f"concat_ws(' ', x, x, x + 2, x + 2, x) || {NL} as text from (select cast((l_quantity + 2) * 3 - 1 as bigint) % 50 as x from lineitem)")
+_records("awk_sprintf", '{ s = sprintf("%05d:%s", $3, $4); print s, length(s) }', "lineitem", f"printf('%05d', cast(l_quantity as int)) || ':' || l_returnflag || ' ' || (6 + length(l_returnflag)) || {NL} as text from lineitem")
+_records("awk_float_fns", "{ print int(1000 * log($1 + 1)), int(1000 * sin($3)), int(1000 * cos($3)), int(1000 * exp($3 / 10)), int(1000 * atan2($3, $6)) }", "lineitem", f"concat_ws(' ', cast(trunc(1000 * ln(l_orderkey + 1)) as bigint), cast(trunc(1000 * sin(l_quantity)) as bigint), cast(trunc(1000 * cos(l_quantity)) as bigint), cast(trunc(1000 * exp(l_quantity / 10)) as bigint), cast(trunc(1000 * atan2(l_quantity, l_linenumber)) as bigint)) || {NL} as text from lineitem")
+_records("awk_number_strings", '{ print "3x" + $3, $4 + 1, " 12 " + 1, -1e-7, 1e15, $3 / 3 }', "lineitem", f"concat_ws(' ', cast(l_quantity as int) + 3, 1, 13, '-0', '1000000000000000', rtrim(rtrim(printf('%.6f', l_quantity / 3), '0'), '.')) || {NL} as text from lineitem")
+_records("awk_truth", '{ print ($4 ? "t" : "f"), ("0" ? "t" : "f"), ("" ? "t" : "f"), !$3, ("a" ? 1 : 0) }', "lineitem", f"concat_ws(' ', 't', 'f', 'f', 0, 1) || {NL} as text from lineitem")
+_records("awk_concat", '{ print "é" $4 $5 1 + 1, length("né") }', "lineitem", f"'é' || l_returnflag || l_linestatus || '2 2' || {NL} as text from lineitem")
+_records("awk_record_fields", "{ $0 = $2 \" \" $1; NF = 1; print $0, $1, NF }", "lineitem", f"l_partkey || ' ' || l_partkey || ' 1' || {NL} as text from lineitem")
+_records("awk_last", "{ last = $1; if ($3 == \"F\") f = $2 } END { print last, f }", "orders", f"max(o_orderkey) || ' ' || arg_max(o_custkey, o_orderkey) filter (o_orderstatus = 'F') || {NL} as text from orders", ["o_orderkey"])
+_records(
+    "awk_random",
+    "BEGIN { for (i = 0; i < 4; i++) print int(1000000 * rand()) }",
+    "orders",
+    f"""text from (with recursive g as (select 0 as i, 2685821657736338717::hugeint as x, 0::hugeint as shown
+        union all select i + 1, z, ((z % 4294967296) * 2685821657736338717 + (((z // 4294967296) * 2685821657736338717) % 4294967296) * 4294967296) % 18446744073709551616 >> 11 from (
+            select i, xor(y, y >> 27) as z from (select i, xor(a, (a % 549755813888) * 33554432) as y from (select i, xor(x, x >> 12) as a from g where i < 4))))
+        select string_agg(cast(shown * 1000000 // 9007199254740992 as varchar) || {NL}, '' order by i) as text from g where i > 0)""",
+)
+
+#: Programs that must be refused, when they are read or when they run.
+REFUSED = [
+    "x/a(?=b)/", r"x/(a)\1/", "x/[a/", "x/a{2/", "x/(?q)a/", "x/[[:none:]]/", "@{ break }", "@{ print 1 / 0 }", "@{ gsub(1, 2) }", "@{ print substr(1) }", "@{ function f() { } }", "@{ print > 1 }",
+    '@{ printf "%d" }', "c/x/ =", "r/,/ +", "q", "s/a/b", "{ p",
+]
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each program over the regions' names: whether it was refused."""
+    docs = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), F.col("r_name").alias("text")).limit(1).collect()
+
+    def refused(source: str) -> bool:
+        try:
+            for d in docs:
+                run_document(compile(source).nodes, d.text)
+        except (ProgramError, AwkError):
+            return True
+        return False
+
+    return spark.createDataFrame([(s, refused(s)) for s in REFUSED], "program string, refused boolean")
+
+
+_add("refused_programs", _refused, "select unnest([" + ", ".join("'" + s.replace("'", "''") + "'" for s in REFUSED) + "]) as program, true as refused")

@@ -3,8 +3,9 @@
 Three classes of programs, found from the tree:
 
 * record-local: nothing read depends on earlier records; one projection.
-* algebraic: variables and array elements only gather (sums, counts, constants, minimum and maximum) and are read in
-  END; partial and final aggregation by ``groupBy``, one group per key, whatever the number of keys.
+* algebraic: variables and array elements only gather (sums, counts, constants, minimum and maximum, and where an order is
+  given the last value) and are read in END; partial and final aggregation by ``groupBy``, one group per key, whatever the
+  number of keys.
 * sequential: anything else; run in order of the given columns by one task, record by record, if the caller allows it.
 
 Rows that come out are ``part, text``: what a record, an END statement or a key printed. Order is promised in sequential
@@ -349,19 +350,19 @@ class Gather:
     guard: tuple[tuple[tuple, bool], ...]
 
 
-def gathers(main: list, guard: tuple = ()) -> list[Gather]:
-    """The gathering statements of a main part; ``NotExact`` if it has others."""
+def gathers(main: list, guard: tuple = (), ordered: bool = False) -> list[Gather]:
+    """The gathering statements of a main part; ``NotExact`` if it has others. Last values need an order."""
     out: list[Gather] = []
     for s in main:
         if s[0] == "block":
-            out += gathers(s[1], guard)
+            out += gathers(s[1], guard, ordered)
         elif s[0] == "if":
             best = _extreme(s)
             if best:
                 out.append(replace(best, guard=guard))
             else:
-                out += gathers([s[2]], (*guard, (s[1], True)))
-                out += gathers([s[3]], (*guard, (s[1], False))) if s[3] else []
+                out += gathers([s[2]], (*guard, (s[1], True)), ordered)
+                out += gathers([s[3]], (*guard, (s[1], False)), ordered) if s[3] else []
         elif s[0] == "expr" and s[1][0] == "incr" and s[1][1][0] in ("var", "index"):
             out.append(Gather(s[1][1], "sum", ("num", s[1][2]), guard))
         elif s[0] == "expr" and s[1][0] == "assign" and s[1][2][0] in ("var", "index"):
@@ -370,6 +371,8 @@ def gathers(main: list, guard: tuple = ()) -> list[Gather]:
                 out.append(Gather(target, "sum", e if op == "+" else ("neg", e), guard))
             elif op is None and e[0] in ("num", "str"):
                 out.append(Gather(target, "const", e, guard))
+            elif op is None and ordered:
+                out.append(Gather(target, "last", e, guard))
             else:
                 raise NotExact("not a gathering statement")
         else:
@@ -431,8 +434,9 @@ class RecordProgram:
     def over(self, df: DataFrame, record: str, order: list[str] | None = None) -> DataFrame:
         """Run over the rows of ``df``; ``order`` allows the sequential class, in that order."""
         ship(df.sparkSession)
-        rows = df.select(F.coalesce(F.regexp_replace(F.col(record).cast("string"), "\\r?\\n\\z", ""), F.lit("")).alias("__record"))
-        for plan in (self._local, self._algebraic):
+        at = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order or ())]
+        rows = df.select(F.coalesce(F.regexp_replace(F.col(record).cast("string"), "\\r?\\n\\z", ""), F.lit("")).alias("__record"), *at)
+        for plan in (self._local, lambda rows: self._algebraic(rows, len(at))):
             try:
                 return plan(rows)
             except NotExact:
@@ -463,11 +467,12 @@ class RecordProgram:
             out = out.unionByName(p)
         return out
 
-    def _algebraic(self, rows: DataFrame | None):
+    def _algebraic(self, rows: DataFrame | None, ordered: int = 0):
         prog, variables, printed = self._parts()
         if not prog.end:
             raise NotExact("nothing is read in the end")
-        found = gathers(prog.main)
+        found = gathers(prog.main, ordered=ordered > 0)
+        place = F.struct(*[F.col(f"__o{i}") for i in range(ordered)]) if ordered else None
         sep = variables["FS"] if isinstance(variables["FS"], str) else str(variables["FS"])
         state = self._state(variables, F.col("__record"), F.col("__fields"))
         src = None if rows is None else rows.withColumn("__fields", split_record(F.col("__record"), sep))
@@ -483,6 +488,8 @@ class RecordProgram:
                 sure = F.when(v.wholly, v.number).otherwise(F.raise_error(F.lit("the least or greatest of values that aren't all numbers depends on their order")).cast("double"))
                 pair = F.struct(sure, v.text.alias("text"))
                 return (F.min if g.how == "min" else F.max)(pair if cond is None else F.when(cond, pair))["text"]
+            if g.how == "last":
+                return F.max_by(v.col, place if cond is None else F.when(cond, place))
             col = v.number if g.how == "sum" else v.col
             col = col if cond is None else F.when(cond, col)
             return (F.sum if g.how == "sum" else F.max)(col)
@@ -500,7 +507,7 @@ class RecordProgram:
             for c in cols[1:]:
                 total = F.coalesce(total, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))
             aggs.append(total.alias(f"s_{name}"))
-            given[name] = _gathered(f"s_{name}", gs[0])
+            given[name] = _gathered(f"s_{name}", gs[0], state)
         keyed: dict[str, tuple[str, Val]] = {}
         groups: dict[str, tuple[Column, list[Column]]] = {}
         for name, gs in arrays.items():
@@ -514,7 +521,7 @@ class RecordProgram:
                 total = F.coalesce(total, F.lit(0.0)) + F.coalesce(c, F.lit(0.0))
             total = F.when(F.coalesce(*cols).isNotNull(), total)
             groups.setdefault(key, (made, []))[1].append(total.alias(f"a_{name}"))
-            keyed[name] = (key, _gathered(f"a_{name}", gs[0]))
+            keyed[name] = (key, _gathered(f"a_{name}", gs[0], state))
         one = None if src is None else src.agg(*aggs)
         tables = {} if src is None else {k: src.groupBy(made.alias("__key")).agg(*cols) for k, (made, cols) in groups.items()}
         parts, number = [], 0
@@ -601,8 +608,8 @@ class RecordProgram:
         return rows.mapInArrow(run, "part int, text string")
 
 
-def _gathered(column: str, g: Gather) -> Val:
-    if g.how == "sum" or (g.how == "const" and g.value[0] == "num"):
+def _gathered(column: str, g: Gather, state: State) -> Val:
+    if g.how == "sum" or (g.how == "const" and g.value[0] == "num") or (g.how == "last" and state.expr(g.value).num):
         return num(F.col(column))
     return string(F.coalesce(F.col(column), F.lit("")))
 

@@ -1,5 +1,7 @@
 """Cases of the record language, record by record and as plans."""
 
+import struct
+
 import pytest
 
 from loomtext.awk.run import Machine
@@ -39,7 +41,8 @@ CASES = [
     ("{ print \"3x\" + 4, \"abc\" + 1, \" 12 \" + 1, \".5\" + 0 }", ["x"], "7 1 13 0.5\n"),
     ("BEGIN { print 1 } END { print NR }", [], "1\n0\n"),
     ("{ print FNR, FILENAME } # a comment", ["x"], " \n"),
-    ("{ r = rand(); print r >= 0 && r < 1, srand(3), srand(4) }", ["x"], "1 0 3\n"),
+    ("{ r = rand(); print r >= 0 && r < 1, srand(3), srand(4), srand(5, 6) }", ["x"], "1 0 3 4\n"),
+    ("{ print -1e-7, 1e-7, -0, 1e-6 }", ["x"], "-0 0 0 0.000001\n"),
 ]
 
 
@@ -54,6 +57,26 @@ def test_run_time_errors(source):
         Machine(source).run(["x"])
 
 
+def plain_random(state, n):
+    out = []
+    for _ in range(n):
+        state ^= state >> 12
+        state = (state ^ state << 25) % 2**64
+        state ^= state >> 27
+        out.append((state * 0x2545F4914F6CDD1D % 2**64 >> 11) / 2**53)
+    return out
+
+
+def test_random_numbers_are_the_known_ones():
+    shown = lambda xs: "".join(f"{x:.17f}\n" for x in xs)
+    source = '{ printf "%.17f\\n", rand() }'
+    assert Machine(source).run(["x"] * 3) == shown(plain_random(0x2545F4914F6CDD1D, 3)) and shown(plain_random(0x2545F4914F6CDD1D, 1)).startswith("0.677211")
+    for seed in (1.0, -2.5, 1e300):
+        bits = int.from_bytes(struct.pack("<d", seed), "little") ^ 0x2545F4914F6CDD1D
+        assert Machine("BEGIN { srand(%r) } %s" % (seed, source)).run(["x"] * 2) == shown(plain_random(bits, 2))
+    assert Machine("BEGIN { srand(1) } { print rand() }").run(["x"]) == "0.522819\n"
+
+
 def test_reproducible_random():
     assert Machine("{ print rand() }").run(["a", "b"]) == Machine("{ print rand() }").run(["a", "b"])
 
@@ -79,9 +102,17 @@ PLANS = [
     ("{ s += $2; print s }", "sequential"),
     ("{ last = $1 } END { print last }", "sequential"),
     ("{ if (!($1 in seen)) print $1; seen[$1] = 1 }", "sequential"),
+    ("{ if (NF) last = $1; n = $2 + 1; at[$3] = $1 } END { print last, n; for (k in at) print k, at[k] }", "sequential"),
 ]
 
 
+def test_last_values_are_gathered(spark):
+    df = spark.createDataFrame(list(enumerate(ROWS)), "i long, line string")
+    plan = records("{ if (NF) last = $1; at[$3] = $2 * 2 } END { print last; for (k in at) print k, at[k] }").over(df, "line", ["i"])
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.text for r in plan.collect()) == sorted(["é\n", " 0\n", "x -7\n", "y 14\n", "z 200\n", "ÿ 14\n"])
+
+
 @pytest.mark.parametrize(("source", "kind"), PLANS)
 def test_plans_agree_with_the_machine(spark, source, kind):
     assert records(source).kind() == kind
