@@ -20,13 +20,38 @@ def quoted(literal: str) -> str:
 
 def java(p: Pattern) -> str:
     """The pattern for selecting, as the JVM's matcher takes it."""
-    if not p.ignore_case and p.source in _LINES:
+    if splits_lines(p):
         return _LINES[p.source]
     return quoted(p.literal) if p.literal is not None else p.java_match
 
 
+def splits_lines(p: Pattern) -> bool:
+    return not p.dot_all and p.source in _LINES
+
+
+def line_parts(text: Column, p: Pattern) -> Column:
+    """A line split's matches without their line feeds; all but an unfinished last line had one."""
+
+    def of(parts: Column) -> Column:
+        whole = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        return whole if p.source == ".*\\n" else F.when(F.get(parts, F.size(parts) - 1) == "", whole).otherwise(parts)
+
+    return _once(F.split(text, "\n", -1), of)
+
+
+def _lines(text: Column, p: Pattern) -> Column:
+    def of(parts: Column) -> Column:
+        n = F.size(parts)
+        whole = F.transform(F.slice(parts, F.lit(1), n - 1), lambda x: F.concat(x, F.lit("\n")))
+        return whole if p.source == ".*\\n" else F.concat(whole, F.filter(F.slice(parts, n, F.lit(1)), lambda x: x != ""))
+
+    return _once(F.split(text, "\n", -1), of)
+
+
 def matches(text: Column, p: Pattern) -> Column:
     """``x``: array of the matches."""
+    if splits_lines(p):
+        return _lines(text, p)
     return F.regexp_extract_all(text, F.lit(java(p)), F.lit(0))
 
 

@@ -66,11 +66,30 @@ def prints(nodes: tuple[Node, ...], text: Column) -> Column:
     printers = [n for n in walk(nodes) if isinstance(n, Simple) and n.kind in "p="]
     if len(printers) != 1:
         raise NotExact("one printer only")
+    lines = _lines_kept(nodes, text)
+    if lines is not None:
+        return lines
     if any(isinstance(n, Simple) and n.kind in "=N" for n in walk(nodes)):
         return _printed_at(nodes, F.array(select.placed(text, F.lit(0))), text)
     return F.transform(_printed(nodes, None, text), select.terminated)
 
 
+def _lines_kept(nodes: tuple[Node, ...], text: Column) -> Column | None:
+    """Lines that hold literals or don't, printed: they are told apart before their line feeds are put back."""
+    if len(nodes) < 2 or not isinstance(nodes[0], Select) or nodes[0].kind != "x" or not select.splits_lines(nodes[0].pattern):
+        return None
+    last, tests = nodes[-1], [(n.pattern, n.kind == "g") for n in nodes[1:-1] if isinstance(n, Select) and n.kind in "gv"]
+    if isinstance(last, Guard) and last.body == (Simple("p"),):
+        tests.append((last.pattern, True))
+        last = last.body[0]
+    if last != Simple("p") or len(tests) + 2 - isinstance(nodes[-1], Guard) != len(nodes) or any(p.literal is None or "\n" in p.literal for p, _ in tests):
+        return None
+    parts = select.line_parts(text, nodes[0].pattern)
+    for p, keep in tests:
+        parts = F.filter(parts, lambda x: x.contains(p.literal) if keep else ~x.contains(p.literal))
+    return F.transform(parts, lambda x: F.concat(x, F.lit("\n")))
+
+
 def _printed(nodes: tuple[Node, ...], values: Column | None, text: Column | None) -> Column:
     for i, n in enumerate(nodes):
         if isinstance(n, Simple) and n.kind == "p":

@@ -11,6 +11,7 @@ PROGRAMS = [
     r"x/.*\n?/ g/the/ p", r"x/.*\n/ v/the/ p", "/the/", "x/[a-z]+/ p", r"x/\w+/ p", "y/the/ p", "y/[ ,\n]+/ p", "x/a*/ p", "g/^$/ p", "x/$/ p", r"x/.*\n?/ g/T/i p", r"x/.*\n?/ { x/[a-z]+/ r/-/ } p",
     r"x/.*\n?/ :sem:/time/ p", "m/[a-z]+/ { g/t/ p }", r"x/[^\n]+/ x/./ p", "x/the/ r/+/ p", "x/a.b/s p", r"x/.*\n?/ /the/ { p }",
 ]
+PROGRAMS += [r"x/.*\n?/ g/the/ v/cat/ p", r"x/.*\n/ p", r"x/.*\n?/ p", r"x/.*\n?/s p", r"x/.*\n?/ v/the\n/ p", r"x/.*\n/ g/a/ { p }", r"x/.*\n?/i g/a/ p", r"x/.*\n?/ x/.*\n?/ p"]
 PLACED = [
     "x/the/ =", r"x/.*\n?/ N p", r"x/.*\n?/ N =", "y/the/ =", r"x/[^\n]+/ x/[a-z]+/ =", r"x/.*\n?/ g/the/ { x/[a-z]+/ N = }", "x/[a-zé]+/ ~1/the/ =", "x/[a-z]+/ ~1/teh/ p", r"x/.*\n?/ ~2/doggy/ p", "~1/ünö/ p", "~9/the/ p", "x/b/ =",
     r"x/.*\n?/ { y/ / = }", "=", "N =", "z/[ ,]+/ N N =", "~1/thé/ =", r"x/\w+/ ~1/sat/ N p",
