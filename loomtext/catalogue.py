@@ -96,6 +96,13 @@ _add(
 _program("tree_expand", "x/k/ + p", "outputs", f"select event_id, cast(0 as bigint) as seq, regexp_extract(props, '\\{{[^{{}}]*\\}}') || {NL} as text from events where contains(props, 'k')", "events", "event_id", "props")
 _program("tree_collapse", "- p", "outputs", f"select event_id, cast(0 as bigint) as seq, regexp_extract(props, '\\{{([^{{}}]*)\\}}', 1) || {NL} as text from events where contains(props, '{{')", "events", "event_id", "props")
 
+_add(
+    "tree_nested",
+    lambda spark, d: compile(r"x/k/ + { + p }").run(_table(spark, d, "events").select("event_id", F.expr("concat('f(', props, ',[', event_type, ']) (k)')").alias("props")), "event_id", "props").outputs,
+    f"select event_id, cast(i as bigint) as seq, case when i = 0 then '(' || props || ',[' || event_type || '])' else '(k)' end || {NL} as text from events, (values (0), (1)) t(i) where contains(props, 'k') and not contains(event_type, 'k')"
+    f" union all select event_id, cast(i as bigint), case when i < 2 then '(' || props || ',[' || event_type || '])' else '(k)' end || {NL} from events, (values (0), (1), (2)) t(i) where contains(props, 'k') and contains(event_type, 'k')",
+)
+
 # Blocks and streams
 
 _program("group_scoped", r"x/.*\n?/ { x/[a-z]+/ r/,/ }", "values", _listed(f"list_transform(list_filter({LINES}, lambda x: regexp_matches(x, '[a-z]')), lambda x: array_to_string(regexp_extract_all(x, '[a-z]+'), ','))"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 from ..awk.run import Machine
@@ -41,6 +42,10 @@ class Run:
     replaced: bool = False
     machines: dict[int, Machine] = field(default_factory=dict)
 
+    @cached_property
+    def brackets(self) -> Brackets:
+        return Brackets(self.doc)
+
     def byte(self, at: int) -> int:
         if not hasattr(self, "_bytes"):
             self._bytes = None if self.doc.isascii() else [0, *accumulate(len(c.encode("utf-8", "surrogateescape")) for c in self.doc)]
@@ -89,22 +94,35 @@ def near(text: str, literal: str, k: int) -> bool:
     return False
 
 
-def expand(doc: str, start: int, end: int) -> tuple[int, int]:
-    """The smallest bracketed stretch around [start, end); itself if there is none."""
+class Brackets:
+    """For every place of a text the innermost open bracket before it and the innermost closing one after it."""
 
-    def seek(places, up: str, down: str) -> int | None:
-        depth = 0
+    def __init__(self, doc: str):
+        self.at = [i for i, c in enumerate(doc) if c in OPEN or c in CLOSE]
+        self.left = self._tops(doc, self.at, OPEN)
+        self.right = self._tops(doc, self.at[::-1], CLOSE)[::-1]
+
+    @staticmethod
+    def _tops(doc: str, places: list[int], up: str) -> list[int | None]:
+        stack, out = [], []
         for i in places:
             if doc[i] in up:
-                if not depth:
-                    return i
-                depth -= 1
-            elif doc[i] in down:
-                depth += 1
-        return None
+                stack.append(i)
+            elif stack:
+                stack.pop()
+            out.append(stack[-1] if stack else None)
+        return out
 
-    left, right = seek(range(start - 1, -1, -1), OPEN, CLOSE), seek(range(end, len(doc)), CLOSE, OPEN)
-    return (start, end) if left is None or right is None else (left, right + 1)
+    def around(self, start: int, end: int) -> tuple[int, int]:
+        """The smallest bracketed stretch around [start, end); itself if there is none."""
+        i, j = bisect_left(self.at, start), bisect_left(self.at, end)
+        left, right = self.left[i - 1] if i else None, self.right[j] if j < len(self.at) else None
+        return (start, end) if left is None or right is None else (left, right + 1)
+
+
+def expand(doc: str, start: int, end: int) -> tuple[int, int]:
+    """The smallest bracketed stretch around [start, end); itself if there is none."""
+    return Brackets(doc).around(start, end)
 
 
 def collapse(text: str) -> tuple[int, int] | None:
@@ -226,7 +244,7 @@ def _simple(kind: str, views: Iterator[View], run: Run, own: list[list[str]]) ->
                 yield View(run.doc[a:b], a)
     elif kind == "+":
         for v in views:
-            a, b = expand(run.doc, _real(v).start, v.end)
+            a, b = run.brackets.around(_real(v).start, v.end)
             yield View(run.doc[a:b], a)
     else:
         for v in views:

@@ -1,5 +1,7 @@
 """Cases of the structural language: program, input, what is printed (or the rewritten document)."""
 
+import random
+
 import pytest
 
 from loomtext import ProgramError, compile
@@ -167,3 +169,27 @@ def test_near_is_the_table():
         want, text, k = "".join(pick.choices("abc", k=pick.randint(1, 9))), "".join(pick.choices("abcd", k=pick.randint(0, 14))), pick.randint(0, 4)
         assert near(text, want, k) == table(text, want, k), (text, want, k)
     assert near("x" * 50 + "naïve", "naive", 2) and not near("naïve", "naive", 1)
+
+
+def test_brackets_by_a_plain_search():
+    from loomtext.plans.local import CLOSE, OPEN, Brackets
+
+    rng = random.Random(1)
+    for _ in range(300):
+        doc = "".join(rng.choice("ab()[]{}") for _ in range(rng.randrange(30)))
+        found = Brackets(doc)
+        for start in range(len(doc) + 1):
+            for end in range(start, len(doc) + 1):
+                depth, left, right = 0, None, None
+                for i in range(start - 1, -1, -1):
+                    if doc[i] in OPEN and not depth:
+                        left = i
+                        break
+                    depth += (doc[i] in CLOSE) - (doc[i] in OPEN)
+                depth = 0
+                for i in range(end, len(doc)):
+                    if doc[i] in CLOSE and not depth:
+                        right = i
+                        break
+                    depth += (doc[i] in OPEN) - (doc[i] in CLOSE)
+                assert found.around(start, end) == ((start, end) if left is None or right is None else (left, right + 1))

@@ -125,6 +125,13 @@ def test_plans_agree_with_the_machine(spark, source, kind):
             records(source).over(df, "line")
 
 
+def test_white_space_is_unicode_s(spark):
+    chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"a{c}b",) for c in chars if c not in "\n"], "line string")
+    got = {r.text for r in records("{ if (NF == 2) print $0 }").over(df, "line").collect()}
+    assert got == {f"a{c}b\n" for c in map(chr, [9, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "line string")
     assert records("{ print }").over(none, "line").count() == 0
