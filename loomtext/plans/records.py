@@ -6,26 +6,29 @@ Three classes of programs, found from the tree:
 * algebraic: variables and array elements only gather (sums, counts, constants, minimum and maximum, and where an order is
   given the last value) and are read in END; partial and final aggregation by ``groupBy``, one group per key, whatever the
   number of keys.
+* running: records also print variables that only add up, or NR. Rows are dealt by ranges of the given order and written;
+  each range adds up by itself, beginning with what the ranges before it add up to.
 * sequential: anything else; run in order of the given columns by one task, record by record, if the caller allows it.
 
-Rows that come out are ``part, text``: what a record, an END statement or a key printed. Order is promised in sequential
-runs only; keys of ``for (k in a)`` have none anyway.
+Rows that come out are ``part, text``: what a record, an END statement or a key printed. In running and sequential
+programs ``part`` is their order; keys of ``for (k in a)`` have none anyway.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..awk.run import Machine
 from ..awk.syntax import Program, parse, walk
 from ..awk.values import printf, wholly
-from ..cluster import ship
+from ..cluster import scratch, ship
 from ..operators.edit import NotExact
 from ..operators.select import quoted
 
@@ -325,6 +328,93 @@ class State:
         return F.when(any_.isNotNull(), F.concat(*[F.coalesce(p, F.lit("")) for p in self.printed]))
 
 
+@dataclass
+class Running(State):
+    """A record where variables add up over records: ``names`` of those that each adding statement has, in order.
+
+    On the first walk the statements' values are found; on the second one their sums are the columns ``__x`` (before the
+    record) and ``__w`` (after it).
+    """
+
+    names: tuple[str, ...] = ()
+    first: bool = True
+    added: list[Column] = field(default_factory=list)
+
+    def _var(self, name):
+        if name == "NR":
+            return num(F.lit(0.0) if self.first else F.col("__nr"))
+        return self._sum(name) if name in self.names else super()._var(name)
+
+    def _sum(self, name: str) -> Val:
+        if self.first:
+            return num(F.lit(0.0))
+        start = self.given[name].number if name in self.given else None
+        return num(_total([F.col(f"__{'w' if i < len(self.added) else 'x'}{i}") for i, n in enumerate(self.names) if n == name], start))
+
+    def _add(self, name: str, value: Column) -> None:
+        when = self.under()
+        self.added.append(value if when is None else F.when(when, value))
+
+    def _assign(self, op, target, e):
+        if target[0] != "var" or target[1] not in self.names:
+            return super()._assign(op, target, e)
+        value = self.expr(e).number
+        self._add(target[1], value if op == "+" else -value)
+        return self._sum(target[1])
+
+    def _incr(self, target, step, before):
+        if target[0] != "var" or target[1] not in self.names:
+            return super()._incr(target, step, before)
+        old = self._sum(target[1])
+        self._add(target[1], F.lit(float(step)))
+        return self._sum(target[1]) if before else num(old.number)
+
+
+def _total(parts: list[Column], start: Column | None) -> Column:
+    """The sum of what was added; null if nothing ever was."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.when(out.isNotNull() | p.isNotNull(), F.coalesce(out, F.lit(0.0)) + F.coalesce(p, F.lit(0.0)))
+    return out if start is None else start + F.coalesce(out, F.lit(0.0))
+
+
+def adding(main: list) -> tuple[str, ...]:
+    """The variable of each adding statement (``s += e``, ``n++``), in order; ``NotExact`` if one reads what is added up."""
+    found: list[tuple[str, list]] = []
+    others: list[tuple[tuple, list]] = []
+
+    def scan(statements: list, conds: list) -> None:
+        for s in statements:
+            if s[0] == "block":
+                scan(s[1], conds)
+            elif s[0] == "if":
+                scan([s[2]] + ([s[3]] if s[3] else []), [*conds, s[1]])
+            elif s[0] == "expr" and s[1][0] == "incr" and s[1][1][0] == "var" and s[1][1][1] not in ("NR", "NF"):
+                found.append((s[1][1][1], conds))
+            elif s[0] == "expr" and s[1][0] == "assign" and s[1][1] in ("+", "-") and s[1][2][0] == "var" and s[1][2][1] not in ("NR", "NF"):
+                found.append((s[1][2][1], [*conds, s[1][3]]))
+            elif s[0] == "next":
+                others.append((("next",), conds))
+            else:
+                others.extend((t[2] if t[0] == "assign" else t[1], [*conds, t[3] if t[0] == "assign" else t[1]]) for t in walk(s) if t[0] in ("assign", "incr"))
+
+    scan(main, [])
+    running = {name for name, _ in found} | {"NR"}
+    while True:  # what is made of sums runs as well
+        more = set(running)
+        for target, parts in others:
+            if any(t[0] == "var" and t[1] in running for p in parts for t in walk(p)):
+                if target[0] != "var" or target[1] in {name for name, _ in found}:
+                    raise NotExact("a record changes by what is added up")
+                more.add(target[1])
+        if more == running:
+            break
+        running = more
+    if any(t[0] == "var" and t[1] in running for _, parts in found for p in parts for t in walk(p)) or any(t[0] == "var" and t[1] in {n for n, _ in found} for t, _ in others):
+        raise NotExact("adds what it has added up")
+    return tuple(name for name, _ in found)
+
+
 def _numeric(s: str) -> bool:
     return wholly(s) is not None
 
@@ -442,6 +532,11 @@ class RecordProgram:
                 return plan(rows)
             except NotExact:
                 continue
+        if order:
+            try:
+                return self._running(rows, len(order))
+            except NotExact:
+                pass
         if order is None:
             raise NotExact("this program depends on the order of records: name the columns that order them")
         return self._sequential(df, record, order)
@@ -561,6 +656,47 @@ class RecordProgram:
             return None
         return self._after(rows, printed, parts or [rows.sparkSession.createDataFrame([], "part int, text string")])
 
+    def _running(self, rows: DataFrame, ordered: int) -> DataFrame:
+        prog, variables, printed = self._parts()
+        names = adding(prog.main)
+        sep = variables["FS"] if isinstance(variables["FS"], str) else str(variables["FS"])
+        plain = self._state(variables, F.col("__record"), F.col("__fields"))
+        state = lambda first: Running(plain.record, plain.fields, plain.fs, plain.ofs, plain.ors, plain.subsep, given=dict(plain.given), names=names, first=first)
+        one, two = state(True), state(False)
+        for walked in (one, two):
+            walked.assigned = frozenset(t[2][1] if t[0] == "assign" else t[1][1] for t in walk(prog.main) if t[0] in ("assign", "incr") and (t[2] if t[0] == "assign" else t[1])[0] == "var") - set(names)
+            walked.follow(prog.main)
+        end = self._state(variables, F.lit(""), None)
+        end.given |= {"NR": num(F.col("__nr"))} | {n: num(_total([F.col(f"__w{i}") for i, m in enumerate(names) if m == n], end.given[n].number if n in end.given else None)) for n in names}
+        end.follow(prog.end)
+
+        spark, order = rows.sparkSession, [f"__o{i}" for i in range(ordered)]
+        values = [c.cast("double").alias(f"__a{i}") for i, c in enumerate(one.added)]
+        split = rows.withColumn("__fields", split_record(F.col("__record"), sep))
+        folder = f"{scratch(spark)}/loomtext/ranges-{uuid.uuid4().hex}"
+        # Written, as the ranges must be the same in both passes; their number is that of the shuffle's tasks.
+        split.select("__record", *order, *values).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(folder)
+        dealt = spark.read.parquet(folder)
+        n = range(len(values))
+        before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        total = dealt.groupBy("__range").agg(*[F.sum(f"__a{i}").alias(f"__t{i}") for i in n], F.count(F.lit(1)).alias("__t"))
+        start = total.select("__range", *[F.sum(f"__t{i}").over(before).alias(f"__b{i}") for i in n], F.sum("__t").over(before).alias("__b"))  # a row for each range
+        by = Window.partitionBy("__range").orderBy(*order)
+        here, past = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+        numbered = dealt.withColumn("__i", F.row_number().over(by))
+        for i in n:
+            numbered = numbered.withColumn(f"__h{i}", F.sum(f"__a{i}").over(here)).withColumn(f"__p{i}", F.sum(f"__a{i}").over(past))
+        summed = numbered.join(F.broadcast(start), "__range")
+        nr = (F.coalesce("__b", F.lit(0)) + F.col("__i")).cast("double").alias("__nr")
+        sums = [_total([F.col(f"__b{i}"), F.col(f"__{c}{i}")], None).alias(f"__{d}{i}") for i in n for c, d in (("h", "w"), ("p", "x"))]
+        summed = summed.select("__record", split_record(F.col("__record"), sep).alias("__fields"), nr, *sums)
+        most = F.lit((1 << 31) - 1)
+        parts = [summed.select(F.least(F.col("__nr"), most).cast("int").alias("part"), two.result().alias("text")).where("text is not null")]
+        if end.printed:
+            whole = dealt.agg(F.count(F.lit(1)).cast("double").alias("__nr"), *[F.sum(f"__a{i}").alias(f"__w{i}") for i in n])
+            parts.append(whole.select(most.alias("part"), end.result().alias("text")).where("text is not null"))
+        return self._after(rows, printed, parts)
+
     def _inside(self, end: State, var: str, array: str, keyed: dict, key: str) -> State:
         """The state of a loop over keys: the key, and the elements under that key."""
 

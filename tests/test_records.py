@@ -106,6 +106,30 @@ PLANS = [
 ]
 
 
+RUNNING = [
+    "{ s += $2; print $1, s }", "{ print s, NR; s += $2; n++; print s, n }", "{ if ($3 == \"x\") { s += $2; n++ } print s, n, s / (n + 1), NR }", "BEGIN { s = 5; OFS = \"-\" } { s -= $2; print s, $1 } END { print s, NR, u }",
+    "{ if (!NF) next; n++; print n \":\" $1 }", "{ n++; if (n > 2) print NR, n; x = n * 2; print x }", "{ print NR, $0 }", "{ s += $2; s += 1; print s; s++ } END { print s }",
+]
+
+
+@pytest.mark.parametrize("source", RUNNING)
+def test_running_sums(spark, source):
+    rows = [ROWS[(i * i) % 6] for i in range(200)]
+    df = spark.createDataFrame([(i // 7, i, r) for i, r in enumerate(rows)], "a int, b int, line string").repartition(7)
+    out = records(source).over(df, "line", ["a", "b"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Window")[0] and "MapInArrow" not in plan
+    got = "".join(r.text for r in sorted(out.collect(), key=lambda r: r.part))
+    assert got == Machine(source).run(rows)
+
+
+@pytest.mark.parametrize("source", ["{ s += s + 1; print s }", "{ if (s > 3) s += 1; s += $2; print s }", "{ x = s; s += x; print s }", "{ $2 = s; s += $2; print }", "{ s += $2; print s; if (NR % 2) s = 0 }", "{ if (n > 2) next; n++; print n }"])
+def test_sums_of_sums_run_in_one_task(spark, source):
+    df = spark.createDataFrame(list(enumerate(ROWS)), "i long, line string")
+    assert "MapInArrow" in (plan := records(source).over(df, "line", ["i"]))._jdf.queryExecution().executedPlan().toString()
+    assert "".join(r.text for r in sorted(plan.collect())) == Machine(source).run(ROWS)
+
+
 def test_last_values_are_gathered(spark):
     df = spark.createDataFrame(list(enumerate(ROWS)), "i long, line string")
     plan = records("{ if (NF) last = $1; at[$3] = $2 * 2 } END { print last; for (k in at) print k, at[k] }").over(df, "line", ["i"])
