@@ -52,11 +52,32 @@ log = logging.getLogger(__name__)
 _LIST = "u long, v long, sim double"
 
 
+def _packed(nodes: DataFrame) -> DataFrame:
+    """Vectors (of floats or doubles) as bytes, which are sorted, shuffled and sent to Python without a look at each number."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "vector" else f for f in nodes.schema])
+    at = nodes.columns.index("vector")
+
+    def run(batches):
+        for b in batches:
+            col = b.column(at)
+            numbers = np.ascontiguousarray(col.flatten().to_numpy(zero_copy_only=False))
+            ends = np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)))) * numbers.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(col), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(numbers)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return nodes.mapInArrow(run, schema)
+
+
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors in double precision."""
+    """Unit vectors in double precision, from packed ones."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    x = np.asarray(col.flatten()).astype(np.float64).reshape(-1, dim)
+    if not len(col):
+        return np.zeros((0, dim))
+    _, ends, raw = col.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(col.type) else np.int32)
+    raw = np.frombuffer(raw, np.uint8)[ends[col.offset] : ends[col.offset + len(col)]]
+    x = raw.view("<f4" if len(raw) == 4 * dim * len(col) else "<f8").astype(np.float64).reshape(-1, dim)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -196,9 +217,9 @@ def _crossing(full: DataFrame, threshold: float, total: int, store: Store) -> Da
         c = x.mean(0)
         c = c / np.linalg.norm(c) if c.any() else x[0]
         one = table.select(["component", "cell", "label", "dim"]).slice(0, 1)
-        return one.append_column("n", pa.array([len(x)], pa.int64())).append_column("vector", pa.array([c.tolist()], pa.list_(pa.float64()))).append_column("radius", pa.array([float(np.arccos(np.clip((x @ c).min(), -1, 1)))]))
+        return one.append_column("n", pa.array([len(x)], pa.int64())).append_column("vector", pa.array([c.astype("<f8").tobytes()], pa.binary())).append_column("radius", pa.array([float(np.arccos(np.clip((x @ c).min(), -1, 1)))]))
 
-    shape = T.StructType([*rows.select("component", "cell", "label", "dim").schema, *T.StructType.fromDDL("n long, vector array<double>, radius double")])
+    shape = T.StructType([*rows.select("component", "cell", "label", "dim").schema, *T.StructType.fromDDL("n long, vector binary, radius double")])
     balls = _tiled(rows.groupBy("component", "cell").applyInArrow(ball, shape), ["label", "dim"], total, store).withColumn("t", F.pmod(F.xxhash64("component", "cell"), F.col("tiles")).cast("int"))
     balls = balls.select("label", "dim", "component", "cell", "n", "vector", "radius", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
     balls = balls.withColumn("i", F.least("t", "o")).withColumn("j", F.greatest("t", "o")).drop("o")
@@ -297,8 +318,8 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
     by: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     for key in {(r.label, r.dim) for r in asked}:
         own = [r for r in asked if (r.label, r.dim) == key]
-        q = np.array([r.vector for r in own], np.float64)
-        by[key] = (np.array([r.node for r in own], np.int64), q / np.linalg.norm(q, axis=1)[:, None])
+        q = _matrix(pa.array([bytes(r.vector) for r in own], pa.binary()), key[1])
+        by[key] = (np.array([r.node for r in own], np.int64), q)
     sent = nodes.sparkSession.sparkContext.broadcast(by)  # AUDIT vectors
 
     def run(batches):
@@ -337,7 +358,9 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     rows = rows.withColumn("ok", F.coalesce(F.when(valid, F.when(fine, (norm > 0) & (norm < float("inf")))), F.lit(False)))
 
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = store.cut(classes.select("node", "label", F.size("vector").alias("dim"), "vector", "copies"), "nodes")
+    classes = store.cut(classes, "classes")
+    numbers = "vector" if classes.schema["vector"].dataType.elementType == T.FloatType() else F.col("vector").cast("array<double>").alias("vector")
+    nodes = store.cut(_packed(classes.select("node", "label", F.size("vector").alias("dim"), numbers, "copies")), "nodes")
     n, size, total, dim = nodes.agg(F.count(F.lit(1)), *[F.coalesce(f, F.lit(0)) for f in (F.sum("dim"), F.sum("copies"), F.max("dim"))]).first()
     # A node's vector, of 4 bytes a number or 8, meets up to 2 K others in a round.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 8 * 2 * K // TASK_BYTES))
@@ -351,7 +374,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
             fresh = new if fresh is None else fresh.union(new)
             table += 1
         before, lists = lists, store.cut(_top(fresh), "lists")
-        store.only(nodes, lists)
+        store.only(classes, nodes, lists)
         for _ in range(ROUNDS):
             tries = _descend(lists, nodes, parts).withColumn("new", F.lit(True))
             before, lists = lists, store.cut(_top(lists.withColumn("new", F.lit(False)).unionByName(tries)), "lists")
@@ -387,7 +410,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
             comp = store.cut(components(met.where("v is not null").select("u", "v"), store), "components")
             degree = met.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("degree"))
             break
-    of = nodes.join(degree, "node", "left").join(comp, "node", "left")
+    of = classes.join(degree, "node", "left").join(comp, "node", "left")
     of = of.select("label", "vector", "copies", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     of = store.cut(of, "classes")
     store.only(of)

@@ -354,7 +354,7 @@ def test_components_with_a_hub(spark, monkeypatch):
 
 def test_the_audit_sees_what_large_families_hide(spark):
     """A thousand found links of one family don't make up for lost pairs."""
-    from loomtext.llm.nn_descent import _audit
+    from loomtext.llm.nn_descent import _audit, _packed
 
     rng = np.random.default_rng(0)
     hub, vectors = rng.standard_normal(16), []
@@ -364,6 +364,7 @@ def test_the_audit_sees_what_large_families_hide(spark):
         a = rng.standard_normal(16)
         vectors += [a, a + rng.standard_normal(16) * 0.01]
     nodes = spark.createDataFrame([(i, 1, 16, v.tolist(), 1) for i, v in enumerate(vectors)], "node long, label int, dim int, vector array<float>, copies long")
+    nodes = _packed(nodes)
     every = [(i, 59) for i in range(60)] + [(i, 1) for i in range(60, 120)]
     lost = [(i, d) for i, d in every if i < 90]
     frame = lambda x: spark.createDataFrame(x, "node long, degree long")
