@@ -112,14 +112,16 @@ def _parts(text: Column, p: Pattern, use: Callable[[Column, Column, Column], Col
     """``use`` of the matches, the gaps around them, and where each gap begins."""
     if p.literal is None and p.nullable and java(p) == p.java_match:
         raise NotExact("empty matches have no interleaving")
-    found, rest = F.regexp_extract_all(text, F.lit(java(p)), F.lit(0)), F.split(text, java(p), -1)
+    rest = F.split(text, java(p), -1)
 
-    def of(both: Column) -> Column:
-        m, g = both["m"], both["g"]
+    def of(m: Column, g: Column) -> Column:
         steps = F.zip_with(g, m, lambda a, b: (F.octet_length(a) + F.coalesce(F.octet_length(b), F.lit(0))).cast("long"))
         return _once(_running(steps), lambda at: use(m, g, at))
 
-    return _once(F.struct(found.alias("m"), rest.alias("g")), of)
+    if p.literal is not None:  # all matches are the same text
+        return _once(rest, lambda g: of(F.array_repeat(F.lit(p.literal), F.size(g) - 1), g))
+    found = F.regexp_extract_all(text, F.lit(java(p)), F.lit(0))
+    return _once(F.struct(found.alias("m"), rest.alias("g")), lambda both: of(both["m"], both["g"]))
 
 
 def matches_at(view: Column, p: Pattern) -> Column:
