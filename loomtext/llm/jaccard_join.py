@@ -18,6 +18,8 @@ part them. Documents are therefore first dealt to regions they can share with a
   its cell; pairs across cells are looked for in the windows, in small regions pair by pair, in large ones tile by tile,
   so that a task holds two tiles. Large regions are dealt again, by other hashes, as long as that parts them. Cells that
   such a pair joins are one; no link crosses cells.
+* Regions that largely coincide, as those of a common passage's slices do, are put together, which keeps every pair that
+  meets and adds neither rows nor comparisons.
 * A cell's members are compared exactly, tile by tile; only links that join components leave a task. In cells of more
   than ``LIMIT`` members, those within the radius of their pivots are joined first and need no comparisons among
   themselves; the others are compared region by region.
@@ -58,6 +60,8 @@ TILE_SHINGLES = 1 << 19
 #: Large regions are dealt again while that leaves at most this share of their members in large regions.
 PARTED = 0.75
 BUCKETS = 64
+#: Regions are put together, by another hash each time, while that leaves at most this share of their rows.
+FOLDED = 0.75
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -382,10 +386,36 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(size.select("region", "size"), "region")
 
 
+def _merged(members: DataFrame, store: Store) -> DataFrame:
+    """Members (region, rep, label, size) of open regions, a table of ``store`` that is dropped, with regions that largely coincide as one.
+
+    Regions whose first member by a hash is the same are put together if the square of what they hold together is at most
+    the sum of their squares, so neither rows nor comparisons grow, and whoever met still meets.
+    """
+    now, seed, rows, before = members, 0, members.count(), None
+    while rows and (before is None or rows <= FOLDED * before):
+        first = now.groupBy("region").agg(F.min(F.xxhash64("rep", F.lit(seed))).alias("first"))
+        # Each row holds its region's size, so these sum up to squares.
+        held = now.join(first, "region").groupBy("first", "rep").agg(F.sum(F.col("size").cast("double")).alias("size"), F.min("region").alias("lo"), F.max("region").alias("hi"))
+        held = held.groupBy("first").agg(F.count(F.lit(1)).cast("double").alias("held"), F.sum("size").alias("squares"), F.min("lo").alias("into"), F.max("hi").alias("hi"))
+        into = first.join(held.where("into < hi and held * held <= squares"), "first").select("region", "into")
+        moved = store.cut(now.join(into, "region", "left").select(F.coalesce("into", "region").alias("region"), "rep", "label").distinct(), "moved")
+        last, now = now, store.cut(_open(moved), "merged")
+        store.drop(last, moved)
+        seed, before, rows = seed + 1, rows, now.count()
+    return now
+
+
 def _tiled(members: DataFrame) -> DataFrame:
-    """Members (region, rep, label, tiles) once for every pair of tiles (i, j) that their own tile t is in."""
-    rows = members.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    rows = rows.select("region", "rep", "label", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    """Members (region, rep, label, tiles) once for every pair of tiles (i, j) that their own tile t is in.
+
+    With a column ``own``, the first ``own`` tiles are those of members with ``main``, which don't meet each other.
+    """
+    own = F.col("own") if "own" in members.columns else F.lit(0)
+    main = F.col("main") if "own" in members.columns else F.lit(False)
+    t = F.when(main, F.pmod(F.xxhash64("rep"), own)).otherwise(own + F.pmod(F.xxhash64("rep"), F.col("tiles") - own))
+    rows = members.withColumn("t", t.cast("int"))
+    rows = rows.select("region", "rep", "label", "t", F.explode(F.sequence(F.when(main, own).otherwise(F.lit(0)), F.col("tiles") - 1)).alias("o"))
     return rows.select("region", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "label", "t")
 
 
@@ -411,9 +441,14 @@ def _forest(pairs, label: np.ndarray, rep: np.ndarray) -> pa.Table:
 def _windows(members: DataFrame, light: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) of different labels within each other's window, enough to join all labels that such pairs join.
 
-    Tile by tile: two tiles meet in one task.
+    Tile by tile: two tiles meet in one task, but for two of the label with most members, which is joined already. So a
+    label's members are copied by the tiles of the others only.
     """
-    rows = _tiled(members.withColumn("tiles", F.ceil(F.col("size") / (2 * TILE)).cast("int")))  # coordinates are small
+    most = members.where(f"size > {2 * TILE}").groupBy("region", "label").agg(F.count(F.lit(1)).alias("most"))
+    most = most.groupBy("region").agg(F.max(F.struct("most", "label")).alias("x")).select("region", "x.most", F.col("x.label").alias("top"))
+    rows = members.join(most, "region", "left").withColumn("main", F.coalesce(F.col("label") == F.col("top"), F.lit(False)))
+    tiles = [F.ceil(n / (2 * TILE)).cast("int") for n in (F.coalesce("most", F.lit(0)), F.col("size") - F.coalesce("most", F.lit(0)))]  # coordinates are small
+    rows = _tiled(rows.withColumn("own", tiles[0]).withColumn("tiles", tiles[0] + tiles[1]))
     rows = rows.join(light.select("rep", "n", "sketch"), "rep").select("region", "i", "j", "t", "rep", "label", "n", "sketch")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -568,12 +603,12 @@ def _joined(docs: DataFrame, marks: DataFrame, k: int, percent: int, links: bool
     cells = store.cut(_cells(first, store), "cells")
     members = store.cut(regions.join(names.select("rep", F.col("h1").alias("node")), "node").select("region", "rep").distinct(), "members")
     left = members.join(cells, "rep", "left").select("region", "rep", F.coalesce("cell", "rep").alias("label"))
-    left = store.cut(_open(left).where("size > 2"), "left")
+    left = _merged(store.cut(_open(left).where("size > 2"), "left"), store)
     level, before = 0, None
     while (many := left.where(f"size > {LIMIT}").count()) and (before is None or many <= PARTED * before):
         level, before, large = level + 1, many, left.where(f"size > {LIMIT}")
         own = _reps_sets(with_id, light.join(large.select("rep").distinct(), "rep").select("rep", "h1", "h2"), k)
-        left = store.cut(left.where(f"size <= {LIMIT}").unionByName(_open(_dealt_again(large, own, percent, level).distinct())), "left")
+        left = _merged(store.cut(left.where(f"size <= {LIMIT}").unionByName(_open(_dealt_again(large, own, percent, level).distinct())), "left"), store)
     pairs = store.cut(first.union(_across(left, light, percent, parts)), "pairs")
     cells = store.cut(_cells(pairs, store), "cells")
 
@@ -590,7 +625,8 @@ def _joined(docs: DataFrame, marks: DataFrame, k: int, percent: int, links: bool
         balls = store.cut(_cells(links, store).withColumnRenamed("cell", "ball"), "balls")
         inner = members.join(cells.join(large, "cell", "left_semi"), "rep").join(balls, "rep", "left")
         inner = inner.select(F.xxhash64("region", "cell").alias("region"), "rep", F.coalesce("ball", "rep").alias("label")).distinct()
-        links = links.union(_tiles(_shingled(_open(inner), light), sets, percent, parts))
+        inner = _merged(store.cut(_open(inner), "inner"), store)
+        links = links.union(_tiles(_shingled(inner, light), sets, percent, parts))
     found = store.cut(_cells(links, store).withColumnRenamed("cell", "component"), "components")
 
     of = classes.join(found, "rep", "left").select("h1", "h2", "rep", "copies", F.coalesce("component", "rep").alias("component"))

@@ -72,6 +72,63 @@ def test_jaccard_join_of_large_regions(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute_join(data, 4, 85)
 
 
+def passages(copies, others):
+    """Near copies of one text, and texts that share most of it but don't link."""
+    base = [f"p{i}" for i in range(200)]
+    texts = [" ".join([*base[:-1], f"copy{i}"]) for i in range(copies)]
+    texts += [" ".join([*base[:140], *[f"own{i}x{j}" for j in range(60)]]) for i in range(others)]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def counted(monkeypatch, name):
+    """The rows that go into and come from a step of the join."""
+    rows, step = [], getattr(jaccard_join, name)
+
+    def run(members, *more):
+        out = step(members, *more)
+        rows.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, name, run)
+    return rows
+
+
+def test_tiles_of_one_label_do_not_meet(spark, monkeypatch):
+    for name, value in (("SMALL", 3), ("TILE", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows, made = counted(monkeypatch, "_tiled"), []
+    for copies in (64, 128):
+        data, at = passages(copies, 6), len(rows)
+        got = jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=str) == brute_join(data, 4, 85)
+        made.append(rows[at])  # those of the windows
+    assert all(out <= 3 * into for into, out in made) and made[1][1] <= 2.5 * made[0][1]
+
+
+def test_merged_regions_lose_no_pair_and_add_no_work(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r, int(x), int(x) // 3) for r in range(40) for x in rng.choice(50, 40, replace=False)]
+    rows += [(100 + r, int(x), int(x)) for r in range(60) for x in [0, *rng.choice(np.arange(1000, 1200), 3, replace=False)]]
+
+    def meet(rows):
+        held = {}
+        for region, rep, label, *_ in rows:
+            held.setdefault(region, {})[rep] = label
+        pairs = {(a, b) for h in held.values() for a in h for b in h if a < b and h[a] != h[b]}
+        return pairs, sum(map(len, held.values())), sum(len(h) ** 2 for h in held.values())
+
+    store = Store(spark, "test")
+    opened = store.cut(jaccard_join._open(spark.createDataFrame(rows, "region long, rep long, label long")), "open")
+    before = [tuple(r) for r in opened.collect()]
+    after = [tuple(r) for r in jaccard_join._merged(opened, store).collect()]
+    (pairs, n, work), (now, m, less) = meet(before), meet(after)
+    assert pairs <= now and less <= work and m < n - 1000
+    sizes = {}
+    for region, *_ in after:
+        sizes[region] = sizes.get(region, 0) + 1
+    assert all(size == sizes[region] for region, _, _, size in after)
+
+
 def test_jaccard_counts_are_exact():
     """At sizes where single precision would round: 100 * 671109 is 85 * 789540, and one less isn't linked."""
     universe = np.arange(789_540, dtype=np.uint64) * np.uint64(11400714819323198485)
