@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import CHUNK, U, mix, shingles, slices, utf8
-from .graph import components
+from .graph import components, gathered
 from .store import Store
 
 SEEDS, SMALL, TILE, LIMIT, TASK = 6, 48, 1024, 16384, 1 << 19
@@ -394,13 +394,14 @@ def _merged(members: DataFrame, store: Store) -> DataFrame:
     """
     now, seed, rows, before = members, 0, members.count(), None
     while rows and (before is None or rows <= FOLDED * before):
+        last, now = now, gathered(now, rows)
         first = now.groupBy("region").agg(F.min(F.xxhash64("rep", F.lit(seed))).alias("first"))
         # Each row holds its region's size, so these sum up to squares.
         held = now.join(first, "region").groupBy("first", "rep").agg(F.sum(F.col("size").cast("double")).alias("size"), F.min("region").alias("lo"), F.max("region").alias("hi"))
         held = held.groupBy("first").agg(F.count(F.lit(1)).cast("double").alias("held"), F.sum("size").alias("squares"), F.min("lo").alias("into"), F.max("hi").alias("hi"))
         into = first.join(held.where("into < hi and held * held <= squares"), "first").select("region", "into")
         moved = store.cut(now.join(into, "region", "left").select(F.coalesce("into", "region").alias("region"), "rep", "label").distinct(), "moved")
-        last, now = now, store.cut(_open(moved), "merged")
+        now = store.cut(_open(gathered(moved, rows)), "merged")
         store.drop(last, moved)
         seed, before, rows = seed + 1, rows, now.count()
     return now
@@ -601,8 +602,9 @@ def _joined(docs: DataFrame, marks: DataFrame, k: int, percent: int, links: bool
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = store.cut(_may_link(pairs, light, percent), "first")
     cells = store.cut(_cells(first, store), "cells")
-    members = store.cut(regions.join(names.select("rep", F.col("h1").alias("node")), "node").select("region", "rep").distinct(), "members")
-    left = members.join(cells, "rep", "left").select("region", "rep", F.coalesce("cell", "rep").alias("label"))
+    met = regions.count()  # no fewer than members, and than classes in cells
+    members = store.cut(gathered(regions.join(names.select("rep", F.col("h1").alias("node")), "node").select("region", "rep").distinct(), met), "members")
+    left = gathered(members, met).join(gathered(cells, met), "rep", "left").select("region", "rep", F.coalesce("cell", "rep").alias("label"))
     left = _merged(store.cut(_open(left).where("size > 2"), "left"), store)
     level, before = 0, None
     while (many := left.where(f"size > {LIMIT}").count()) and (before is None or many <= PARTED * before):
@@ -615,7 +617,7 @@ def _joined(docs: DataFrame, marks: DataFrame, k: int, percent: int, links: bool
     # Exact comparison of each cell's members, tile by tile.
     sets = store.cut(_reps_sets(with_id, light.join(cells.select("rep"), "rep").select("rep", "h1", "h2"), k), "sets")
     one = cells.select(F.col("cell").alias("region"), "rep", F.col("rep").alias("label"))
-    one = store.cut(_open(one), "one")
+    one = store.cut(_open(gathered(one, cells.count())), "one")
     links = _tiles(_shingled(one.where(f"size <= {LIMIT}"), light), sets, percent, parts)
     large = one.where(f"size > {LIMIT}").select(F.col("region").alias("cell")).distinct()
     if large.limit(1).count():  # pivots first, then what they leave apart, region by region

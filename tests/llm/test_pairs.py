@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import jaccard_join, nn_descent
+from loomtext.llm import graph, jaccard_join, nn_descent
 from loomtext.llm.graph import components, spread
 from loomtext.llm.store import Store, shared_dir
 
@@ -129,6 +129,55 @@ def test_merged_regions_lose_no_pair_and_add_no_work(spark):
     assert all(size == sizes[region] for region, _, _, size in after)
 
 
+def tasks(spark, f):
+    """How many tasks ``f`` runs, and its result."""
+    sc, group = spark.sparkContext, f"tasks {f} {id(f)}"
+    sc.setJobGroup(group, group)
+    try:
+        out = f()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return sum(i.numCompletedTasks for i in infos if i), out
+
+
+@pytest.fixture
+def forty(spark):
+    """Shuffles of 40 partitions, however few the rows."""
+    now = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_rows_are_not_shuffled(spark, forty):
+    """Components and merged regions of small tables don't pay for each partition of a shuffle, round by round."""
+    store = Store(spark, "test")
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long").coalesce(1)
+    n, found = tasks(spark, lambda: components(links, store).collect())
+    assert {tuple(r) for r in found} == {(i, 0) for i in range(61)} and n < 40
+    rows = [(r, x, x) for r in range(40) for x in range(3 + r % 2)]
+    opened = store.cut(jaccard_join._open(spark.createDataFrame(rows, "region long, rep long, label long").coalesce(1)).coalesce(1), "open")
+    n, found = tasks(spark, lambda: jaccard_join._merged(opened, store).collect())
+    assert {(r.rep, r.label) for r in found} == {(x, x) for x in range(4)} and n < 40
+
+
+def test_few_rows_or_many_give_the_same(spark, monkeypatch):
+    """Tables that are too large for one task: components in rounds, regions merged in shuffles."""
+    monkeypatch.setattr(graph, "FEW", 0)
+    test_merged_regions_lose_no_pair_and_add_no_work(spark)
+    for links in ([], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)] + [(50, 51), (51, 50), (7, 7)], [(i * 37 % 101, i * 53 % 101) for i in range(90)]):
+        test_components(spark, links)
+    test_components_with_a_hub(spark, monkeypatch)
+    data = corpus(6, 150)
+    df = spark.createDataFrame(data, "doc_id long, text string, rep string")
+    assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute_join(data, 4, 85)
+
+
 def test_jaccard_counts_are_exact():
     """At sizes where single precision would round: 100 * 671109 is 85 * 789540, and one less isn't linked."""
     universe = np.arange(789_540, dtype=np.uint64) * np.uint64(11400714819323198485)
