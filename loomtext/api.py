@@ -14,6 +14,7 @@ from .cluster import ship
 from .lang.program import Awk, Node, Simple, edits_text, parse, walk
 from .operators.edit import NotExact
 from .plans import lower
+from .plans.carried import adds, ends
 from .plans.local import run_document, stitch
 
 _OUT = [T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())]
@@ -74,6 +75,15 @@ class Result:
     def _local(self, what: str) -> DataFrame:
         df = self.docs.select(F.col(self.key), F.col(self.text), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(self.order)])
         carry = bool(self.order)
+        if carry and what in ("outputs", "rendered"):
+            try:
+                adds(self.nodes)
+            except NotExact:
+                pass
+            else:
+                ship(df.sparkSession)
+                made = ends(self.docs, self.nodes, self.key, self.text, self.order, _text)
+                return made if what == "rendered" else made.select(self.key, F.lit(0).cast("long").alias("seq"), "text")
         if carry:  # documents one after the other, by request
             df = df.repartition(1).sortWithinPartitions(*[f"__o{i}" for i in range(len(self.order))])
         ship(df.sparkSession)
@@ -178,7 +188,8 @@ class Program:
         """Run over a corpus; ``tier`` is ``auto``, ``expressions`` (or fail) or ``local``.
 
         Record programs start anew for each document. ``carry`` names columns that order the documents and lets variables,
-        arrays and NR live on from one to the next, which takes a single task.
+        arrays and NR live on from one to the next. That takes a single task, unless a program only adds up and its END
+        prints sums (``plans/carried.py``).
         """
         return Result(self.nodes, docs, key, text, tier, tuple(carry))
 

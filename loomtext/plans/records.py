@@ -415,6 +415,21 @@ def adding(main: list) -> tuple[str, ...]:
     return tuple(name for name, _ in found)
 
 
+def dealt_by_range(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt by ranges of ``order``, numbered in ``__range``."""
+    folder = f"{scratch(rows.sparkSession)}/loomtext/ranges-{uuid.uuid4().hex}"
+    # Written, as the ranges must be the same in both passes; their number is that of the shuffle's tasks.
+    rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def starts(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each range: the sum of each column over the ranges before it, as ``<column>b``."""
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    total = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"{c}t") for c in columns])
+    return total.select("__range", *[F.sum(f"{c}t").over(before).alias(f"{c}b") for c in columns])
+
+
 def _numeric(s: str) -> bool:
     return wholly(s) is not None
 
@@ -670,25 +685,20 @@ class RecordProgram:
         end.given |= {"NR": num(F.col("__nr"))} | {n: num(_total([F.col(f"__w{i}") for i, m in enumerate(names) if m == n], end.given[n].number if n in end.given else None)) for n in names}
         end.follow(prog.end)
 
-        spark, order = rows.sparkSession, [f"__o{i}" for i in range(ordered)]
+        order = [f"__o{i}" for i in range(ordered)]
         values = [c.cast("double").alias(f"__a{i}") for i, c in enumerate(one.added)]
         split = rows.withColumn("__fields", split_record(F.col("__record"), sep))
-        folder = f"{scratch(spark)}/loomtext/ranges-{uuid.uuid4().hex}"
-        # Written, as the ranges must be the same in both passes; their number is that of the shuffle's tasks.
-        split.select("__record", *order, *values).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(folder)
-        dealt = spark.read.parquet(folder)
+        dealt = dealt_by_range(split.select("__record", *order, *values).withColumn("__a", F.lit(1)), order)
         n = range(len(values))
-        before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        total = dealt.groupBy("__range").agg(*[F.sum(f"__a{i}").alias(f"__t{i}") for i in n], F.count(F.lit(1)).alias("__t"))
-        start = total.select("__range", *[F.sum(f"__t{i}").over(before).alias(f"__b{i}") for i in n], F.sum("__t").over(before).alias("__b"))  # a row for each range
+        start = starts(dealt, ["__a", *[f"__a{i}" for i in n]])
         by = Window.partitionBy("__range").orderBy(*order)
         here, past = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
         numbered = dealt.withColumn("__i", F.row_number().over(by))
         for i in n:
             numbered = numbered.withColumn(f"__h{i}", F.sum(f"__a{i}").over(here)).withColumn(f"__p{i}", F.sum(f"__a{i}").over(past))
         summed = numbered.join(F.broadcast(start), "__range")
-        nr = (F.coalesce("__b", F.lit(0)) + F.col("__i")).cast("double").alias("__nr")
-        sums = [_total([F.col(f"__b{i}"), F.col(f"__{c}{i}")], None).alias(f"__{d}{i}") for i in n for c, d in (("h", "w"), ("p", "x"))]
+        nr = (F.coalesce("__ab", F.lit(0)) + F.col("__i")).cast("double").alias("__nr")
+        sums = [_total([F.col(f"__a{i}b"), F.col(f"__{c}{i}")], None).alias(f"__{d}{i}") for i in n for c, d in (("h", "w"), ("p", "x"))]
         summed = summed.select("__record", split_record(F.col("__record"), sep).alias("__fields"), nr, *sums)
         most = F.lit((1 << 31) - 1)
         parts = [summed.select(F.least(F.col("__nr"), most).cast("int").alias("part"), two.result().alias("text")).where("text is not null")]

@@ -32,3 +32,28 @@ def test_counts_over_empty_documents(spark, tmp_path):
 
 def test_loops_over_empty_documents(spark, tmp_path):
     assert not differing(spark, tmp_path, "awk_loops")
+
+
+def test_carried_sums_need_no_single_task(spark, tmp_path):
+    assert not differing(spark, tmp_path, "awk_carried")
+    plan = QUERIES["awk_carried"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
+
+
+CARRIED = [
+    "n += NF END { print NR, n }", "if (NF > 2) { s -= $2; n++ } else next; s += 1 END { if (NR) printf \"%d %s|\", NR, s; print n, u }",
+    "n += NF; print n END { print NR }", "last = $1; n++ END { print last, n }", "n++ END { print NF, $1 }", "BEGIN { n = 1 } n++ END { print n }", "c[$1]++; n++ END { print n, c[1] }", "n++ END { print n; n = 0 }",
+]
+
+
+@pytest.mark.parametrize("source", CARRIED)
+def test_carried_as_in_one_run(spark, source):
+    from loomtext import compile
+    from loomtext.plans.local import run_document
+
+    texts = ["", "1 2 3\n4\n", "", "x", "5 6 7\n" * 3, "\n", None] * 5
+    program, machines = compile(r"x/.*\n?/ @{ " + source + " }"), {}
+    want = [(i, "".join(run_document(program.nodes, t or "", machines)[0].printed)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, -i // 2, i, t) for i, t in enumerate(texts)], "doc_id int, a int, b int, text string").repartition(5)
+    for run in (program.run(df, carry=("b",)).rendered, program.run(df, carry=("b",)).outputs.select("doc_id", "text")):
+        assert sorted(map(tuple, run.collect())) == want
