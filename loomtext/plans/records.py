@@ -32,10 +32,11 @@ from ..cluster import scratch, ship
 from ..operators.edit import NotExact
 from ..operators.select import quoted
 
-_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-_WHOLE = _NUMBER + r"\s*$"
 #: Unicode's white space, as a plain class, which the JVM's matcher tells sooner than its own ``\s``.
 _SPACE = r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+_NOT_BLANK = _SPACE.replace("\\r ", "\\r").removesuffix("+")
+_NUMBER = "^" + _SPACE.replace("]+", "]*") + r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+_WHOLE = _NUMBER + _SPACE.replace("]+", "]*$")
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,19 @@ class Val:
 
     col: Column
     num: bool
+    known: tuple[Column, Column] | None = None  # number and wholly, where a projection before has them
 
     @property
     def number(self) -> Column:
         if self.num:
             return F.coalesce(self.col, F.lit(0.0))
-        return F.coalesce(F.regexp_extract(self.col, _NUMBER, 1).try_cast("double"), F.lit(0.0))
+        if self.known:
+            return self.known[0]
+        return self.parse(self.wholly)
+
+    def parse(self, wholly: Column) -> Column:
+        """The number of a text; the cast takes more than numbers, so only what is wholly one goes there at once."""
+        return F.coalesce(F.when(wholly, self.col.try_cast("double")), F.regexp_extract(self.col, _NUMBER, 1).try_cast("double"), F.lit(0.0))
 
     @property
     def text(self) -> Column:
@@ -63,7 +71,7 @@ class Val:
 
     @property
     def wholly(self) -> Column:
-        return F.lit(True) if self.num else F.regexp_like(self.col, F.lit(_WHOLE))
+        return F.lit(True) if self.num else self.known[1] if self.known else F.regexp_like(self.col, F.lit(_WHOLE))
 
     @property
     def true(self) -> Column:
@@ -88,7 +96,9 @@ def split_record(s: Column, sep: str) -> Column:
     """Fields of a record (array<string>)."""
     none = F.array().cast("array<string>")
     if sep == " ":
-        parts = F.filter(F.split(s, _SPACE, -1), lambda x: x != "")
+        # The JVM compiles a pattern for each row that is split, but none for a single blank.
+        blanks = F.when(F.regexp_like(s, F.lit(_NOT_BLANK)), F.regexp_replace(s, _SPACE, " ")).otherwise(s)
+        parts = F.array_remove(F.split(blanks, " ", -1), "")
     elif sep == "":
         parts = F.filter(F.split(s, "", -1), lambda x: x != "")
     else:
@@ -114,6 +124,15 @@ class State:
     guard: Column | None = None
     done: Column | None = None
     printed: list[Column] = field(default_factory=list)
+    lets: list[tuple[str, Column]] | None = None
+    parsed: dict[int, Val] = field(default_factory=dict)
+
+    def let(self, c: Column) -> Column:
+        """A column that is worked out once, in a projection of its own, where the plan has these (``lets``)."""
+        if self.lets is None:
+            return c
+        self.lets.append((f"__l{len(self.lets)}", c))
+        return F.col(self.lets[-1][0])
 
     def under(self) -> Column | None:
         parts = [p for p in (self.guard, None if self.done is None else ~self.done) if p is not None]
@@ -151,7 +170,14 @@ class State:
     def _field(self, at):
         if at[0] == "num":
             i = int(at[1])
-            return string(self.record if i == 0 else F.coalesce(F.get(self.fields, F.lit(i - 1)), F.lit("")))
+            if i not in self.parsed:
+                v = string(self.record if i == 0 else F.coalesce(F.get(self.fields, F.lit(i - 1)), F.lit("")))
+                if self.lets is not None:
+                    v = string(self.let(v.col))
+                    wholly = self.let(v.wholly)
+                    v = replace(v, known=(self.let(v.parse(wholly)), wholly))
+                self.parsed[i] = v
+            return self.parsed[i]
         i = self.expr(at).number.cast("int")
         return string(F.when(i == 0, self.record).otherwise(F.coalesce(F.get(self.fields, i - 1), F.lit(""))))
 
@@ -266,6 +292,7 @@ class State:
                 n = F.greatest(value.number.cast("int"), F.lit(0))
                 self.fields = F.slice(F.concat(self.fields, F.array_repeat(F.lit(""), F.greatest(n - F.size(self.fields), F.lit(0)))), F.lit(1), n)
                 self.record = F.array_join(self.fields, self.ofs)
+                self.parsed = {}
                 return value
             if when is not None:
                 old = self.vars.get(name)
@@ -284,6 +311,7 @@ class State:
                 record = F.array_join(fields, self.ofs)
             self.record = record if when is None else F.when(when, record).otherwise(self.record)
             self.fields = fields if when is None else F.when(when, fields).otherwise(self.fields)
+            self.parsed = {}
             return value
         raise NotExact("arrays outlive records")
 
@@ -302,11 +330,16 @@ class State:
             elif kind == "printf":
                 self.emit(formatted([self.expr(a) for a in s[1]]))
             elif kind == "if":
-                cond, outer = self.expr(s[1]).true, self.guard
-                self.guard = cond if outer is None else outer & cond
+                cond, outer, now = self.expr(s[1]).true, self.guard, self.under()
+                if self.lets is not None:  # null where it isn't reached
+                    cond = self.let(cond if now is None else F.when(now, cond))
+                    yes, no = (cond, ~cond) if now is None else (F.coalesce(cond, F.lit(False)), F.coalesce(~cond, F.lit(False)))
+                else:
+                    yes, no = (cond, ~cond) if outer is None else (outer & cond, outer & ~cond)
+                self.guard = yes
                 self.follow([s[2]])
                 if s[3]:
-                    self.guard = ~cond if outer is None else outer & ~cond
+                    self.guard = no
                     self.follow([s[3]])
                 self.guard = outer
             elif kind == "next":
@@ -318,12 +351,14 @@ class State:
 
     def emit(self, text: Column) -> None:
         when = self.under()
-        self.printed.append(text if when is None else F.when(when, text))
+        self.printed.append(self.let(text if when is None else F.when(when, text)))
 
     def result(self) -> Column:
         """All printed text, null if nothing was."""
         if not self.printed:
             return F.lit(None).cast("string")
+        if len(self.printed) == 1:
+            return self.printed[0]
         any_ = F.coalesce(*self.printed)
         return F.when(any_.isNotNull(), F.concat(*[F.coalesce(p, F.lit("")) for p in self.printed]))
 
@@ -541,7 +576,9 @@ class RecordProgram:
         """Run over the rows of ``df``; ``order`` allows the sequential class, in that order."""
         ship(df.sparkSession)
         at = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order or ())]
-        rows = df.select(F.coalesce(F.regexp_replace(F.col(record).cast("string"), "\\r?\\n\\z", ""), F.lit("")).alias("__record"), *at)
+        line = F.col(record).cast("string")
+        ended = F.when(line.endswith("\n"), F.regexp_replace(line, "\\r?\\n\\z", "")).otherwise(line)
+        rows = df.select(F.coalesce(ended, F.lit("")).alias("__record"), *at)
         for plan in (self._local, lambda rows: self._algebraic(rows, len(at))):
             try:
                 return plan(rows)
@@ -563,10 +600,17 @@ class RecordProgram:
         sep = variables["FS"] if isinstance(variables["FS"], str) else str(variables["FS"])
         state = self._state(variables, F.col("__record"), F.col("__fields"))
         state.assigned = frozenset(t[2][1] if t[0] == "assign" else t[1][1] for t in walk(prog.main) if t[0] in ("assign", "incr") and (t[2] if t[0] == "assign" else t[1])[0] == "var")
+        state.lets = []
         state.follow(prog.main)
         if rows is None:
             return None
-        out = rows.withColumn("__fields", split_record(F.col("__record"), sep)).select(F.lit(1).alias("part"), state.result().alias("text")).where("text is not null")
+        out = rows.withColumn("__fields", split_record(F.col("__record"), sep))
+        for name, c in state.lets:
+            out = out.withColumn(name, c)
+        if _prints(prog.main):
+            out = out.select(F.lit(1).alias("part"), state.result().alias("text"))
+        else:  # behind a generator: else the filter would be pushed below the projections and repeat them all
+            out = out.select(F.lit(1).alias("part"), F.stack(F.lit(1), state.result()).alias("text")).where("text is not null")
         return self._after(rows, printed, [out])
 
     @staticmethod
@@ -761,6 +805,16 @@ def _gathered(column: str, g: Gather, state: State) -> Val:
     return string(F.coalesce(F.col(column), F.lit("")))
 
 
+def _prints(statements: list) -> bool:
+    """Whether each record prints something."""
+    for s in statements:
+        if s[0] in ("print", "printf") or (s[0] == "block" and _prints(s[1])) or (s[0] == "if" and s[3] and _prints([s[2]]) and _prints([s[3]])):
+            return True
+        if any(t[0] == "next" for t in walk(s)):
+            return False
+    return False
+
+
 def _flat(statements: list) -> list:
     out = []
     for s in statements:

@@ -57,3 +57,27 @@ def test_carried_as_in_one_run(spark, source):
     df = spark.createDataFrame([(i, -i // 2, i, t) for i, t in enumerate(texts)], "doc_id int, a int, b int, text string").repartition(5)
     for run in (program.run(df, carry=("b",)).rendered, program.run(df, carry=("b",)).outputs.select("doc_id", "text")):
         assert sorted(map(tuple, run.collect())) == want
+
+
+def test_conditions_are_worked_out_once(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 26.0, "R", "F", 1)], "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["awk_control"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 2  # one for white space, one for $3
+    assert [r.text for r in out.collect()] == ["big 1\n"]
+
+
+@pytest.mark.parametrize("source", ["{ if ($2 + 0 == 0) next; if (10 / $2 > 1) print $1; else if ($3) print \"c\"; else print }", "{ if ($1) { if ($2 > 5) print $2; else $2 = 7 } print $2 + 1, $0 }", "{ if (NF) { print $3; next } else print \"none\"; print \"more\" }"])
+def test_local_conditions_agree_with_the_machine(spark, source):
+    from loomtext.awk.run import Machine
+    from loomtext.plans.records import records
+
+    lines = ["a 0 1", "b 2 x", "", " c\t\u00a0 3  0 ", "d 20", "1e1 +6. .5", "0 1 1", "5x \u2003-6e1d Infinity", "nan 1f 0x1p3"]
+    got = records(source).over(spark.createDataFrame([(x,) for x in lines], "line string"), "line")
+    assert sorted("".join(r.text for r in got.collect()).splitlines()) == sorted(Machine(source).run(lines).splitlines())
+
+
+def test_numbers_behind_any_white_space(spark):
+    from loomtext.plans.records import records
+
+    df = spark.createDataFrame([("\u00a05\u2003:x",), ("\x0b-3:y",)], "line string")
+    assert {r.text for r in records("BEGIN { FS = \":\" } { print $1 + 1, $1 < 10 }").over(df, "line").collect()} == {"6 1\n", "-2 1\n"}
