@@ -19,7 +19,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..awk.run import Machine
 from ..awk.syntax import Program, parse, walk
-from ..awk.values import printf, wholly
+from ..awk.values import conversions, printf, printf_all, wholly
 from ..cluster import scratch, ship
 from ..operators.edit import NotExact
 from ..operators.select import quoted
@@ -265,7 +264,7 @@ class State:
             stop = F.length(s) if n == 2 else F.least((m + vals[2].number - 1).cast("int"), F.length(s))
             return string(F.substr(s, start, F.greatest(stop - start + 1, F.lit(0))))
         if name == "sprintf" and n:
-            return string(formatted(vals))
+            return string(formatted(vals, args[0]))
         raise NotExact(f"{name} isn't a function of one record")
 
     def _assign(self, op, target, e):
@@ -328,7 +327,7 @@ class State:
                 vals = [self.expr(a).text for a in s[1]] or [self.record]
                 self.emit(F.concat(F.concat_ws(self.ofs, *vals), F.lit(self.ors)))
             elif kind == "printf":
-                self.emit(formatted([self.expr(a) for a in s[1]]))
+                self.emit(formatted([self.expr(a) for a in s[1]], s[1][0]))
             elif kind == "if":
                 cond, outer, now = self.expr(s[1]).true, self.guard, self.under()
                 if self.lets is not None:  # null where it isn't reached
@@ -469,16 +468,20 @@ def _numeric(s: str) -> bool:
     return wholly(s) is not None
 
 
-def formatted(vals: list[Val]) -> Column:
-    """printf: exact digits of the C library's rules, in Arrow batches."""
-    kinds = [v.num for v in vals[1:]]
+def formatted(vals: list[Val], form: tuple = ()) -> Column:
+    """printf: exact digits of the C library's rules, in Arrow batches. Values of a constant ``form`` come as it takes them."""
+    kinds = conversions(form[1]) if form[:1] == ("str",) else ()
+    numeric = [v.num or i < len(kinds) and kinds[i] not in "sc" for i, v in enumerate(vals[1:])]
 
-    @F.pandas_udf(T.StringType())
-    def run(form: pd.Series, *args: pd.Series) -> pd.Series:
-        rows = zip(*[[("" if x is None or x != x and not k else float(x)) if k else x for x in a] for a, k in zip(args, kinds, strict=True)], strict=True) if args else iter([()] * len(form))
-        return pd.Series([printf(f, list(r)) for f, r in zip(form, rows, strict=True)])
+    @F.arrow_udf(T.StringType())
+    def run(forms: pa.Array, *args: pa.Array) -> pa.Array:
+        distinct = forms.unique().to_pylist()
+        if len(distinct) == 1 and distinct[0] is not None and (made := printf_all(distinct[0], args)) is not None:
+            return pa.array(made, pa.string())
+        rows = zip(*[["" if x is None else x for x in a.to_pylist()] for a in args], strict=True) if args else iter([()] * len(forms))
+        return pa.array([printf(f or "", list(r)) for f, r in zip(forms.to_pylist(), rows, strict=True)], pa.string())
 
-    return run(vals[0].text, *[v.col if v.num else v.text for v in vals[1:]])
+    return run(vals[0].text, *[v.col if v.num else v.number if n else v.text for v, n in zip(vals[1:], numeric, strict=True)])
 
 
 @dataclass(frozen=True)

@@ -81,3 +81,28 @@ def test_numbers_behind_any_white_space(spark):
 
     df = spark.createDataFrame([("\u00a05\u2003:x",), ("\x0b-3:y",)], "line string")
     assert {r.text for r in records("BEGIN { FS = \":\" } { print $1 + 1, $1 < 10 }").over(df, "line").collect()} == {"6 1\n", "-2 1\n"}
+
+
+@pytest.mark.parametrize("flags", ["", "-", "0", "+", " ", "+0", "-0"])
+def test_printf_of_columns_is_printf(flags):
+    import pyarrow as pa
+
+    from loomtext.awk.values import printf, printf_all
+
+    numbers = [0.0, -0.0, 1.5, -2.5, 0.125, 0.375, 1e15, -5e17, 123456.789, 1e-9]
+    for conv in "sdiouxXfFeE":
+        values = ["", "é", "abcde"] if conv == "s" else numbers
+        for size in ("", "12", ".", ".3", "12.0"):
+            form = f"%%a%{flags}{size}{conv}|"
+            assert printf_all(form, [pa.array(values)]) == [printf(form, [v]) for v in values], form
+    assert printf_all("%d", [pa.array([float("nan")])]) is printf_all("%g", [pa.array([1.0])]) is printf_all("%d", []) is None
+
+
+def test_printf_plan_agrees_with_the_machine(spark):
+    from loomtext.awk.run import Machine
+    from loomtext.plans.records import records
+
+    lines = ["a 0 1", "", "b 1e400 -1e400", "c -7.9 2.675", "é 9223372036854775807 1e20", "d 3 0.125"]
+    for source in ('{ printf "%-4s|%5d|%08.2f|%x|%u\\n", $1, $2, $3 / 8, $2, $3 }', '{ printf "%c%s %g %5.1e\\n", $1, $2 / 3, $3, $3 }', '{ f = NF ? "%s=%d\\n" : "%s\\n"; printf f, $1, $2 }'):
+        got = records(source).over(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1), "line")
+        assert "".join(r.text for r in got.collect()) == Machine(source).run(lines)
